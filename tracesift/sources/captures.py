@@ -1,0 +1,245 @@
+"""Capture files as ``packets``, and DNS and TLS names out of payloads.
+
+Only record framing and the two name formats need Python; both run inside
+tasks on Arrow batches, one task per capture file. Long captures are expected
+as rotated files, each below Spark's 2 GB limit for a binary value.
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracesift.schemas import SCHEMAS, TrafficTables, conform
+
+from . import packets as pk
+
+_BATCH = 5000
+_PACKET_COLUMNS = [part.split()[0] for part in SCHEMAS["packets"].split(", ")]
+
+
+def pcap_records(data: bytes) -> Iterator[tuple[float, bytes, int]]:
+    """(time, frame, original length) of each record of a classic pcap file."""
+    orders = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6),
+              b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
+    if data[:4] not in orders:
+        return
+    order, scale = orders[data[:4]]
+    head = struct.Struct(order + "IIII")
+    at = 24
+    while at + 16 <= len(data):
+        sec, frac, kept, full = head.unpack_from(data, at)
+        at += 16
+        if at + kept > len(data):
+            return
+        yield sec + frac / scale, data[at : at + kept], full
+        at += kept
+
+
+def _mac(raw: bytes) -> str:
+    return ":".join(f"{b:02x}" for b in raw)
+
+
+def _ip(raw: bytes) -> str:
+    return ".".join(str(b) for b in raw)
+
+
+def decode_frame(frame: bytes) -> dict:
+    """Ethernet, ARP, IPv4 and transport header fields of one frame."""
+    out: dict = {}
+    if len(frame) < 14:
+        return out
+    kind, body = int.from_bytes(frame[12:14], "big"), frame[14:]
+    if kind == 0x8100 and len(body) >= 4:
+        kind, body = int.from_bytes(body[2:4], "big"), body[4:]
+    out.update(dst_mac=_mac(frame[:6]), src_mac=_mac(frame[6:12]), eth_type=kind)
+    if kind == 0x0806 and len(body) >= 28:
+        out.update(arp_op=int.from_bytes(body[6:8], "big"), arp_sha=_mac(body[8:14]), arp_spa=_ip(body[14:18]), arp_tpa=_ip(body[24:28]))
+    if kind != 0x0800 or len(body) < 20:
+        return out
+    head = (body[0] & 15) * 4
+    flags = int.from_bytes(body[6:8], "big")
+    out.update(ip_id=int.from_bytes(body[4:6], "big"), ttl=body[8], ip_proto=body[9], src_ip=_ip(body[12:16]),
+               dst_ip=_ip(body[16:20]), frag=bool(flags & 0x2000 or flags & 0x1FFF))
+    rest = body[head : max(int.from_bytes(body[2:4], "big"), head)]
+    if body[9] == 6 and len(rest) >= 20:
+        ports = struct.unpack_from("!HH", rest)
+        out.update(src_port=ports[0], dst_port=ports[1], tcp_flags=rest[13], tcp_window=int.from_bytes(rest[14:16], "big"),
+                   payload=bytes(rest[(rest[12] >> 4) * 4 :]))
+    elif body[9] == 17 and len(rest) >= 8:
+        ports = struct.unpack_from("!HH", rest)
+        out.update(src_port=ports[0], dst_port=ports[1], payload=bytes(rest[8:]))
+    elif body[9] == 1 and len(rest) >= 2:
+        out.update(icmp_type=rest[0], icmp_code=rest[1])
+    return out
+
+
+def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            rows = []
+            for number, (ts, frame, full) in enumerate(pcap_records(content), 1):
+                row = dict.fromkeys(_PACKET_COLUMNS)
+                row.update(decode_frame(frame), capture=path, pkt_no=number, ts=ts, frame_len=full)
+                rows.append(row)
+                if len(rows) == _BATCH:
+                    yield _typed(rows)
+                    rows = []
+            if rows:
+                yield _typed(rows)
+
+
+def _typed(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_PACKET_COLUMNS)
+    for part in SCHEMAS["packets"].split(", "):
+        name, kind = part.split()
+        if kind in ("int", "bigint"):
+            out[name] = out[name].astype("Int64" if kind == "bigint" else "Int32")
+        elif kind == "boolean":
+            out[name] = out[name].astype("boolean")
+    return out
+
+
+def read_packets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Packets of pcap files."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(_frames, SCHEMAS["packets"])
+
+
+# --- DNS ------------------------------------------------------------------------------
+
+
+def _dns_name(data: bytes, at: int) -> tuple[str, int]:
+    """Name at an offset and the offset after it; follows compression pointers."""
+    labels, after, hops = [], None, 0
+    while at < len(data) and hops < 64:
+        size = data[at]
+        if size >= 0xC0:
+            after = at + 2 if after is None else after
+            at, hops = int.from_bytes(data[at : at + 2], "big") & 0x3FFF, hops + 1
+        elif size == 0:
+            return ".".join(labels), (at + 1 if after is None else after)
+        else:
+            labels.append(data[at + 1 : at + 1 + size].decode("utf-8", "replace"))
+            at += 1 + size
+    return ".".join(labels), (at if after is None else after)
+
+
+def dns_records(data: bytes) -> list[tuple[str, str, str | None, str | None]]:
+    """(query, type, answer, rcode): answer null for questions."""
+    if len(data) < 12:
+        return []
+    flags, questions, answers = struct.unpack_from("!HHH", data, 2)
+    at, asked = 12, []
+    try:
+        for _ in range(questions):
+            name, at = _dns_name(data, at)
+            asked.append((name, str(int.from_bytes(data[at : at + 2], "big"))))
+            at += 4
+        if not flags & 0x8000:
+            return [(name, kind, None, None) for name, kind in asked]
+        out = []
+        for _ in range(answers):
+            _, at = _dns_name(data, at)
+            kind, size = int.from_bytes(data[at : at + 2], "big"), int.from_bytes(data[at + 8 : at + 10], "big")
+            value, at = data[at + 10 : at + 10 + size], at + 10
+            if kind == 1 and size == 4:
+                answer = _ip(value)
+            elif kind in (2, 5, 12):
+                answer = _dns_name(data, at)[0]
+            elif kind == 16:
+                answer = value[1:].decode("utf-8", "replace")
+            else:
+                answer = value.hex()
+            out.append((asked[0][0] if asked else "", str(kind), answer, str(flags & 15)))
+            at += size
+        return out
+    except (IndexError, struct.error):
+        return []
+
+
+_DNS_COLUMNS = "capture string, ts double, src_ip string, dst_ip string, query string, qtype string, answer string, rcode string"
+
+
+def dns_messages(packets: DataFrame) -> DataFrame:
+    """Decoded DNS records of port-53 packets; the port filter runs in Spark."""
+    rows = packets.where((F.col("src_port") == 53) | (F.col("dst_port") == 53)).where(F.col("ip_proto").isin(6, 17))
+    rows = rows.select("capture", "ts", "src_ip", "dst_ip", "payload")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["capture", "ts", "src_ip", "dst_ip", "query", "qtype", "answer", "rcode"]
+        for b in batches:
+            found = [
+                (c, t, s, d, *record)
+                for c, t, s, d, p in zip(b.capture, b.ts, b.src_ip, b.dst_ip, b.payload)
+                for record in dns_records(p or b"")
+            ]
+            yield pd.DataFrame(found, columns=names)
+
+    return rows.mapInPandas(decode, _DNS_COLUMNS)
+
+
+# --- TLS --------------------------------------------------------------------------------
+
+
+def client_hello_name(record: bytes) -> str | None:
+    """Server name of a ClientHello record: null if it is none, '' without a name."""
+    if len(record) < 6 or record[0] != 22 or record[5] != 1:
+        return None
+    hello = record[5:]
+    try:
+        at = 38
+        at += 1 + hello[at]
+        at += 2 + int.from_bytes(hello[at : at + 2], "big")
+        at += 1 + hello[at]
+        end = at + 2 + int.from_bytes(hello[at : at + 2], "big")
+        at += 2
+        while at + 4 <= end:
+            kind, size = struct.unpack_from("!HH", hello, at)
+            at += 4
+            if kind == 0 and size > 5:
+                length = int.from_bytes(hello[at + 3 : at + 5], "big")
+                if at + 5 + length <= len(hello):
+                    return hello[at + 5 : at + 5 + length].decode("ascii", "replace")
+            at += size
+    except (IndexError, struct.error):
+        pass
+    return ""
+
+
+def tls_handshakes(packets: DataFrame) -> DataFrame:
+    """ClientHello rows; only payloads that start a handshake record reach Python."""
+    first = F.substring("payload", 1, 1) == F.unhex(F.lit("16"))
+    rows = packets.where((F.col("ip_proto") == 6) & (F.length("payload") > 5) & first)
+    rows = rows.select("capture", "ts", "src_ip", "dst_ip", "dst_port", "payload")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.assign(sni=[client_hello_name(p) for p in b.payload])
+            yield b[b.sni.notna()].drop(columns="payload")
+
+    hellos = rows.mapInPandas(
+        decode, "capture string, ts double, src_ip string, dst_ip string, dst_port int, sni string"
+    )
+    return conform(hellos.withColumn("sni", F.nullif("sni", F.lit(""))), "tls_handshakes")
+
+
+def tables_of(packets: DataFrame) -> TrafficTables:
+    """All protocol tables of a packet table (lazy)."""
+    dns = dns_messages(packets)
+    return TrafficTables(
+        packets=packets, connections=pk.connections(packets),
+        dns_queries=conform(dns.where(F.col("answer").isNull()), "dns_queries"),
+        dns_responses=conform(dns.where(F.col("answer").isNotNull()), "dns_responses"),
+        http_requests=pk.http_requests(packets), tls_handshakes=tls_handshakes(packets),
+        ot_transactions=pk.ot_transactions(packets), cleartext_creds=pk.cleartext_creds(packets),
+        icmp_errors=pk.icmp_errors(packets),
+    )
+
+
+def load_captures(spark: SparkSession, paths: str | list[str]) -> TrafficTables:
+    return tables_of(read_packets(spark, paths))
