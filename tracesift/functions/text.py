@@ -110,14 +110,19 @@ def subdomain(domain: Column | str) -> Column:
     return F.when(F.size(labels) >= 3, F.concat_ws(".", F.slice(labels, F.lit(1), F.size(labels) - 2)))
 
 
+def one_decimal(value: Column, unit: str = "") -> Column:
+    """One decimal place, ties to even."""
+    return F.format_string("%.1f" + unit, F.bround(value.cast("double"), 1))
+
+
 def bytes_text(n: Column | str) -> Column:
     """``512 B``, ``1.5 KB``, ``2.0 MB``, ``3.1 GB``."""
     n = col(n)
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2))
-        .otherwise(F.format_string("%.1f GB", n / 1024**3))
+        .when(n < 1024**2, one_decimal(n / 1024, " KB"))
+        .when(n < 1024**3, one_decimal(n / 1024**2, " MB"))
+        .otherwise(one_decimal(n / 1024**3, " GB"))
     )
 
 
@@ -128,10 +133,10 @@ def bytes_text_scaled(n: Column | str, largest: str = "TB") -> Column:
     n = col(n)
     out = None
     for power, unit in enumerate(units[:-1]):
-        text = F.format_string(f"%.1f {unit}", n / F.lit(float(1024**power)))
+        text = one_decimal(n / F.lit(float(1024**power)), f" {unit}")
         test = F.abs(n) < 1024 ** (power + 1)
         out = F.when(test, text) if out is None else out.when(test, text)
-    return out.otherwise(F.format_string(f"%.1f {units[-1]}", n / F.lit(float(1024 ** (len(units) - 1)))))
+    return out.otherwise(one_decimal(n / F.lit(float(1024 ** (len(units) - 1))), f" {units[-1]}"))
 
 
 def token_estimate(text: Column | str) -> Column:

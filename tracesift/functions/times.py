@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .network import col
+from .text import one_decimal
 
 
 def zeek_time(value: Column | str) -> Column:
@@ -27,7 +28,7 @@ def epoch_bucket(ts: Column | str, seconds: float) -> Column:
 def duration_text(seconds: Column | str) -> Column:
     s = col(seconds)
     return (
-        F.when(s < 60, F.format_string("%.1fs", s))
-        .when(s < 3600, F.format_string("%.1fmin", s / 60))
-        .otherwise(F.format_string("%.1fhrs", s / 3600))
+        F.when(s < 60, one_decimal(s, "s"))
+        .when(s < 3600, one_decimal(s / 60, "min"))
+        .otherwise(one_decimal(s / 3600, "hrs"))
     )

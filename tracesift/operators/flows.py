@@ -15,7 +15,10 @@ from .ranking import ranked_top_n, top_n, top_per_group, with_group_totals
 
 CONVERSATION_KEYS = ["src_ip", "dst_ip", "dst_port", "proto"]
 _IP = re.compile(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
-_BY_KEY = [F.asc(k) for k in CONVERSATION_KEYS]
+
+
+def _by_key() -> list[Column]:
+    return [F.asc(k) for k in CONVERSATION_KEYS]
 
 
 def conversations(connections: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
@@ -223,7 +226,7 @@ def top_conversations(convs: DataFrame, top: int = 20, sort_by: str = "bytes") -
         raise ValueError("sort_by must be bytes, packets or duration")
     timed = convs.withColumn("duration", span())
     metric = {"bytes": "bytes_out"}.get(sort_by, sort_by)
-    ranked = ranked_top_n(timed, top, F.desc(metric), *_BY_KEY)
+    ranked = ranked_top_n(timed, top, F.desc(metric), *_by_key())
     return ranked.select(
         "rank", *CONVERSATION_KEYS, "packets", "bytes_out", F.round("duration", 3).alias("duration"),
         nw.direction("src_ip", "dst_ip").alias("direction"),
@@ -236,7 +239,7 @@ def long_connections(
     """Conversations that last at least (or, exclusively, longer than) a threshold."""
     timed = touching(convs, ip).withColumn("duration", span())
     test = F.col("duration") >= min_seconds if inclusive else F.col("duration") > min_seconds
-    ranked = top_n(timed.where(test), top, F.desc("duration"), *_BY_KEY)
+    ranked = top_n(timed.where(test), top, F.desc("duration"), *_by_key())
     return ranked.select(*CONVERSATION_KEYS, F.round("duration", 3).alias("duration"), "packets", "bytes_out")
 
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from tracesift.functions import fixed_values as fv
 from tracesift.functions import text as tx
 
-from .ranking import positive, top_n, top_per_group, with_group_totals
+from .ranking import evaluated_once, positive, top_n, top_per_group, with_group_totals
 
-_WHERE = F.struct("file_path", "line_no")
+
+def _where() -> Column:
+    return F.struct("file_path", "line_no")
 
 
 def resolve_pattern(name_or_regex: str) -> str:
@@ -38,7 +40,7 @@ def non_blank(lines: DataFrame, sample_lines: int | None = None) -> DataFrame:
 
 
 def _extracted(lines: DataFrame, pattern: str, sample_lines: int | None) -> DataFrame:
-    hits = first_lines(lines, sample_lines).withColumn("value", tx.first_match("line", resolve_pattern(pattern)))
+    hits = evaluated_once(first_lines(lines, sample_lines), "value", tx.first_match("line", resolve_pattern(pattern)))
     return hits.where(F.col("value").isNotNull())
 
 
@@ -47,7 +49,7 @@ def value_frequency(lines: DataFrame, pattern: str, limit: int = 10, sample_line
     counted = (
         _extracted(lines, pattern, sample_lines)
         .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min(_WHERE).alias("_first"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min(_where()).alias("_first"))
     )
     top = top_n(counted, limit, F.desc("cnt"), F.asc("_first"))
     return top.select("value", "cnt", F.col("_first.file_path").alias("first_file"), F.col("_first.line_no").alias("first_line"))
@@ -72,6 +74,17 @@ def frequency_totals(lines: DataFrame, pattern: str, sample_lines: int | None =
     )
 
 
+def pattern_profile(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Matching lines and distinct values of many named patterns, in one pass."""
+    chosen = names or list(fv.LOG_PATTERNS)
+    tagged = F.array(
+        *[F.struct(F.lit(n).alias("pattern"), tx.first_match("line", fv.LOG_PATTERNS[n]).alias("value")) for n in chosen]
+    )
+    hits = lines.select(F.inline(F.filter(tagged, lambda s: s["value"].isNotNull())))
+    per_value = hits.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"))
+    return per_value.groupBy("pattern").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("distinct_values"))
+
+
 def signature_discovery(
     lines: DataFrame,
     limit: int = 5,
@@ -105,7 +118,7 @@ def signature_discovery(
 def attack_pattern_scan(lines: DataFrame, limit: int = 5, sample_lines: int | None = 500) -> DataFrame:
     """Quick structural scan: no UUID rule, signatures cut at 200 characters."""
     found = signature_discovery(lines, limit, sample_lines, max_chars=200, skip_rules=("<UUID>",))
-    share = F.format_string("%.0f", F.col("cnt") / F.col("lines_processed") * 100)
+    share = F.format_string("%.0f", F.bround(F.col("cnt") / F.col("lines_processed") * 100, 0))
     return found.select(
         F.concat(F.lit("["), share, F.lit("%] "), F.substring("signature", 1, 120)).alias("value"),
         "cnt",
@@ -127,7 +140,7 @@ def section_scan(lines: DataFrame, workflow: str, limit: int = 10) -> DataFrame:
     found = (
         lines.select("file_path", "line_no", F.explode(F.filter(tagged, lambda s: s["value"].isNotNull())).alias("s"))
         .groupBy("s.section_no", "s.section", "s.value")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min(_WHERE).alias("_first"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min(_where()).alias("_first"))
     )
     top = top_per_group(found, ["section_no", "section"], limit, F.desc("cnt"), F.asc("_first"), name="rank")
     return top.select("section", "rank", "value", "cnt")

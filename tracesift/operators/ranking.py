@@ -21,6 +21,15 @@ def positive(name: str, value: int) -> int:
     return value
 
 
+def evaluated_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that later filters and projections share.
+
+    A filter on a plain computed column is pushed below the projection and so
+    computes the column a second time; it is not pushed below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(positive("n", n))
 

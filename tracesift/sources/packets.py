@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracesift.functions import fixed_values as fv
 from tracesift.functions import network as nw
+from tracesift.operators.ranking import evaluated_once
 from tracesift.schemas import conform
 
 
@@ -73,75 +74,82 @@ def loop_packets(packets: DataFrame) -> DataFrame:
 def ot_transactions(packets: DataFrame) -> DataFrame:
     """Packets on an industrial port with Modbus, S7comm and DNP3 details.
 
-    The port filter comes first; bytes are read only of what is left.
+    The port filter comes first; bytes are read only of what is left, each once.
     """
     ports = fv.OT_PROTOCOL_PORTS
     name = F.coalesce(nw.lookup(F.col("dst_port"), ports), nw.lookup(F.col("src_port"), ports))
     rows = packets.where(F.col("dst_port").isin(*ports) | F.col("src_port").isin(*ports)).withColumn("protocol", name)
-    raw = F.coalesce(_latin(), F.lit(""))
-    tcp = F.col("ip_proto") == 6
-    modbus = tcp & (F.col("protocol") == "Modbus") & (F.length("raw") >= 8)
-    code = _byte(F.col("raw"), 7)
-    base = code.bitwiseAND(F.lit(127))
-    failed = code >= 128
-    s7 = tcp & (F.col("protocol") == "S7comm")
-    at = F.instr("raw", "2") - 1  # 0x32 starts an S7 header
-    has_s7 = s7 & (at >= 0) & (at + 2 < F.length("raw"))
-    pdu = _byte(F.col("raw"), at + 1)
-    s7_code = F.when(has_s7 & pdu.isin(1, 3) & (at + 8 < F.length("raw")), _byte(F.col("raw"), at + 7))
-    dnp3 = tcp & (F.col("protocol") == "DNP3") & F.col("raw").startswith("\x05d") & (F.length("raw") > 13)
-    dnp3_code = _byte(F.col("raw"), 13)
-
-    def hex_name(value: Column) -> Column:
-        return F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(value), 2, "0")))
-
-    fc_name = lambda value: F.concat(F.lit("FC-"), value.cast("string"))
-    function_name = (
-        F.when(modbus, nw.lookup(base, fv.MODBUS_FUNCTIONS, fc_name(base)))
-        .when(s7_code.isNotNull(), nw.lookup(s7_code, fv.S7_FUNCTIONS, hex_name(s7_code)))
-        .when(dnp3, nw.lookup(dnp3_code, fv.DNP3_FUNCTIONS, fc_name(dnp3_code)))
+    raw, tcp, size = F.col("raw"), F.col("ip_proto") == 6, F.length("raw")
+    is_ = lambda protocol: tcp & (F.col("protocol") == protocol)
+    rows = rows.withColumn("raw", F.coalesce(_latin(), F.lit("")))
+    # 0x32 ("2") starts an S7 header; ``at`` is where it stands
+    rows = rows.withColumn("at", F.when(is_("S7comm") & raw.contains("2"), F.instr(raw, "2") - 1))
+    codes = F.struct(
+        F.when(is_("Modbus") & (size >= 8), _byte(raw, 7)).alias("modbus"),
+        F.when(is_("Modbus") & (size >= 8), _byte(raw, 6)).alias("unit"),
+        F.when(is_("Modbus"), _byte(raw, 8)).alias("error"),
+        F.when(F.col("at") + 2 < size, _byte(raw, F.col("at") + 1)).alias("pdu"),
+        F.when(F.col("at") + 8 < size, _byte(raw, F.col("at") + 7)).alias("s7"),
+        F.when(is_("DNP3") & raw.startswith("\x05d"), _byte(raw, 13)).alias("dnp3"),
     )
-    out = rows.withColumn("raw", raw).select(
+    rows = evaluated_once(rows, "c", codes)
+    base, pdu, dnp3 = F.col("c.modbus").bitwiseAND(F.lit(127)), F.col("c.pdu"), F.col("c.dnp3")
+    failed = F.col("c.modbus") >= 128
+    s7 = F.when(pdu.isin(1, 3), F.col("c.s7"))
+    hex_name = lambda v: F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(v), 2, "0")))
+    fc_name = lambda v: F.concat(F.lit("FC-"), v.cast("string"))
+    out = rows.select(
         "capture", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
-        F.when(modbus, _byte(F.col("raw"), 6)).alias("unit_id"),
-        F.when(modbus, base).when(dnp3, dnp3_code).alias("function_code"),
-        function_name.alias("function_name"),
-        F.when(has_s7, nw.lookup(pdu, fv.S7_PDU_TYPES, hex_name(pdu))).alias("pdu_type"),
-        F.when(modbus, base.isin(*fv.MODBUS_WRITES))
-        .when(s7_code.isNotNull(), s7_code.isin(*fv.S7_WRITES))
-        .when(dnp3, dnp3_code.isin(*fv.DNP3_WRITES)).alias("is_write"),
-        F.when(s7_code.isNotNull(), s7_code.isin(*fv.S7_CONTROLS))
-        .when(dnp3, dnp3_code.isin(*fv.DNP3_CONTROLS)).alias("is_control"),
-        F.when(modbus, base.isin(*fv.MODBUS_DIAGNOSTICS)).alias("is_diagnostic"),
-        F.when(modbus, failed).alias("is_exception"),
-        F.when(modbus & failed, _byte(F.col("raw"), 8)).alias("exception_code"),
+        F.col("c.unit").alias("unit_id"),
+        F.coalesce(base, dnp3).alias("function_code"),
+        F.coalesce(
+            nw.lookup(base, fv.MODBUS_FUNCTIONS, fc_name(base)),
+            nw.lookup(s7, fv.S7_FUNCTIONS, hex_name(s7)),
+            nw.lookup(dnp3, fv.DNP3_FUNCTIONS, fc_name(dnp3)),
+        ).alias("function_name"),
+        nw.lookup(pdu, fv.S7_PDU_TYPES, hex_name(pdu)).alias("pdu_type"),
+        F.coalesce(base.isin(*fv.MODBUS_WRITES), s7.isin(*fv.S7_WRITES), dnp3.isin(*fv.DNP3_WRITES)).alias("is_write"),
+        F.coalesce(s7.isin(*fv.S7_CONTROLS), dnp3.isin(*fv.DNP3_CONTROLS)).alias("is_control"),
+        base.isin(*fv.MODBUS_DIAGNOSTICS).alias("is_diagnostic"),
+        failed.alias("is_exception"),
+        F.when(failed, F.col("c.error")).alias("exception_code"),
     )
     return conform(out, "ot_transactions")
 
 
 def cleartext_creds(packets: DataFrame) -> DataFrame:
-    """First matching credential rule of each packet; no payload is kept."""
-    raw = F.col("raw")
-    any_port = lambda ports: F.coalesce(F.col("dst_port").isin(*ports), F.lit(False)) | F.coalesce(
+    """First matching credential rule of each packet; no payload is kept.
+
+    The rule's number is found once a packet, its texts are looked up after.
+    """
+    rules = fv.CREDENTIAL_RULES
+    either = lambda ports: F.coalesce(F.col("dst_port").isin(*ports), F.lit(False)) | F.coalesce(
         F.col("src_port").isin(*ports), F.lit(False)
     )
-    hit = None
-    for protocol, ports, pattern, description in fv.CREDENTIAL_RULES:
-        test = F.lit(True) if ports is None else any_port(ports)
+    rule = None
+    for number, (_, ports, pattern, _) in enumerate(rules):
+        test = F.lit(True) if ports is None else either(ports)
         if pattern is not None:
-            test = test & raw.rlike(pattern)
-        port = F.col("dst_port")
+            test = test & F.col("raw").rlike(pattern)
+        rule = F.when(test, number) if rule is None else rule.when(test, number)
+    rows = packets.where(F.length("payload") >= 4).select(
+        "capture", "ts", "src_ip", "dst_ip", "src_port", "dst_port", _latin().alias("raw")
+    )
+    found = evaluated_once(rows, "rule", rule).where(F.col("rule").isNotNull())
+    # rules without a pattern report the service's side of the packet
+    sender = F.lit(False)
+    for number, (_, ports, pattern, _) in enumerate(rules):
         if pattern is None:
-            port = F.when(F.col("dst_port").isin(*ports), F.col("dst_port")).otherwise(F.col("src_port"))
-        found = F.struct(
-            F.lit(protocol).alias("protocol"), F.lit(description).alias("description"), port.cast("int").alias("port")
-        )
-        hit = F.when(test, found) if hit is None else hit.when(test, found)
-    rows = packets.where(F.length("payload") >= 4).withColumn("raw", _latin()).withColumn("hit", hit)
-    found = rows.where(F.col("hit").isNotNull()).select(
-        "capture", "ts", "src_ip", "dst_ip", "hit.port", "hit.protocol", "hit.description"
+            sender = sender | ((F.col("rule") == number) & ~F.coalesce(F.col("dst_port").isin(*ports), F.lit(False)))
+    return conform(
+        found.select(
+            "capture", "ts", "src_ip", "dst_ip",
+            F.when(sender, F.col("src_port")).otherwise(F.col("dst_port")).alias("port"),
+            nw.lookup(F.col("rule"), {n: r[0] for n, r in enumerate(rules)}).alias("protocol"),
+            nw.lookup(F.col("rule"), {n: r[3] for n, r in enumerate(rules)}).alias("description"),
+        ),
+        "cleartext_creds",
     )
-    return conform(found, "cleartext_creds")
 
 
 def http_requests(packets: DataFrame) -> DataFrame:
