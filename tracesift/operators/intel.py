@@ -49,21 +49,20 @@ def extract_indicators(reports: DataFrame, types: list[str] | None = None) -> Da
     unknown = set(types) - set(fv.REPORT_INDICATORS)
     if unknown:
         raise ValueError(f"unknown indicator types {sorted(unknown)}")
-    found = F.concat(
-        *[
-            F.transform(
-                _located_matches(F.col("text"), fv.REPORT_INDICATORS[t]),
-                lambda m, t=t: F.struct(F.lit(t).alias("ioc_type"), m["raw"].alias("raw_value"), m["start"].alias("start")),
-            )
-            for t in types
-        ]
-    )
+
+    def found_of(kind: str) -> Column:
+        return F.transform(
+            _located_matches(F.col("text"), fv.REPORT_INDICATORS[kind]),
+            lambda m: F.struct(F.lit(kind).alias("ioc_type"), m["raw"].alias("raw_value"), m["start"].alias("start")),
+        )
+
+    found = F.concat(*[found_of(kind) for kind in types])
     left = F.greatest(F.col("start") - 150, F.lit(1))
     width = F.col("start") + F.length("raw_value") + 150 - left
     context = F.substring(tx.strip(F.replace(F.substring(F.col("text"), left, width), F.lit("\n"), F.lit(" "))), 1, 300)
     rows = (
-        reports.select("report_path", "text", F.explode(found).alias("m"))
-        .select("report_path", "text", "m.*")
+        reports.select("report_path", "text", F.explode(found).alias("_match"))
+        .select("report_path", "text", "_match.*")
         .select("report_path", "ioc_type", tx.refang("raw_value").alias("value"), "raw_value", "start", context.alias("context"))
         .withColumn("value_key", F.lower("value"))
     )
@@ -330,8 +329,8 @@ def report_chunks(reports: DataFrame, max_chars: int = 6000) -> DataFrame:
 def merged_indicators(chunks: DataFrame) -> DataFrame:
     """First indicator of each (report, type, lower-case value) over the chunks,
     flagged false positives left out."""
-    rows = chunks.select("report_path", "chunk_no", F.posexplode("refined_iocs").alias("pos", "i")).select(
-        "report_path", "chunk_no", "pos", "i.*", F.lower("i.value").alias("value_key")
+    rows = chunks.select("report_path", "chunk_no", F.posexplode("refined_iocs").alias("pos", "_ioc")).select(
+        "report_path", "chunk_no", "pos", "_ioc.*", F.lower("_ioc.value").alias("value_key")
     )
     first = first_per_key(rows, ["report_path", "ioc_type", "value_key"], "chunk_no", "pos")
     return without_false_positives(first).drop("value_key")
@@ -339,8 +338,8 @@ def merged_indicators(chunks: DataFrame) -> DataFrame:
 
 def merged_techniques(chunks: DataFrame) -> DataFrame:
     """First mapping of each (report, technique, tactic) over the chunks."""
-    rows = chunks.select("report_path", "chunk_no", F.posexplode("additional_mitre_techniques").alias("pos", "m")).select(
-        "report_path", "chunk_no", "pos", "m.*"
+    rows = chunks.select("report_path", "chunk_no", F.posexplode("additional_mitre_techniques").alias("pos", "_mapping")).select(
+        "report_path", "chunk_no", "pos", "_mapping.*"
     )
     rows = rows.where(F.coalesce("technique_id", F.lit("")) != "").withColumn("tactic", F.coalesce("tactic", F.lit("")))
     return first_per_key(rows, ["report_path", "technique_id", "tactic"], "chunk_no", "pos")
@@ -348,8 +347,8 @@ def merged_techniques(chunks: DataFrame) -> DataFrame:
 
 def merged_paths(chunks: DataFrame) -> DataFrame:
     """First path of each (report, path id), numbered in chunk order."""
-    rows = chunks.select("report_path", "chunk_no", F.posexplode("attack_graph.paths").alias("pos", "p")).select(
-        "report_path", "chunk_no", "pos", "p.path_id", "p.steps"
+    rows = chunks.select("report_path", "chunk_no", F.posexplode("attack_graph.paths").alias("pos", "_path")).select(
+        "report_path", "chunk_no", "pos", "_path.path_id", "_path.steps"
     )
     first = first_per_key(rows, ["report_path", "path_id"], "chunk_no", "pos")
     order = Window.partitionBy("report_path").orderBy("chunk_no", "pos")
@@ -366,8 +365,8 @@ def merged_points(chunks: DataFrame) -> DataFrame:
 def merged_metadata(chunks: DataFrame) -> DataFrame:
     """First non-empty metadata of each report."""
     filled = chunks.where(F.size("report_metadata") > 0)
-    picked = filled.groupBy("report_path").agg(F.min_by(F.map_entries("report_metadata"), "chunk_no").alias("m"))
-    return picked.select("report_path", F.explode("m").alias("e")).select("report_path", "e.key", "e.value")
+    picked = filled.groupBy("report_path").agg(F.min_by(F.map_entries("report_metadata"), "chunk_no").alias("_entries"))
+    return picked.select("report_path", F.explode("_entries").alias("_entry")).select("report_path", "_entry.key", "_entry.value")
 
 
 # --- technique mappings ---------------------------------------------------------------------------
@@ -388,12 +387,12 @@ def techniques_from_indicators(iocs: DataFrame, mappings: DataFrame) -> DataFram
 def path_steps(paths: DataFrame) -> DataFrame:
     """One row per step; ``step_no`` counts from 0."""
     rows = paths.select(
-        "report_path", "path_no", F.coalesce("path_id", F.lit("unknown")).alias("path_id"), F.posexplode("steps").alias("step_no", "s")
+        "report_path", "path_no", F.coalesce("path_id", F.lit("unknown")).alias("path_id"), F.posexplode("steps").alias("step_no", "_step")
     )
     return rows.select(
-        "report_path", "path_no", "path_id", "step_no", F.col("s.technique_id").alias("technique_id"),
-        F.coalesce("s.technique_name", F.lit("")).alias("technique_name"),
-        F.coalesce("s.tactic", F.lit("")).alias("tactic"), F.col("s.leads_to").alias("leads_to"),
+        "report_path", "path_no", "path_id", "step_no", F.col("_step.technique_id").alias("technique_id"),
+        F.coalesce("_step.technique_name", F.lit("")).alias("technique_name"),
+        F.coalesce("_step.tactic", F.lit("")).alias("tactic"), F.col("_step.leads_to").alias("leads_to"),
     ).where(F.coalesce("technique_id", F.lit("")) != "")
 
 
@@ -526,16 +525,16 @@ def stages_from_mappings(mappings: DataFrame) -> DataFrame:
         "_less", -nw.lookup(F.col("confidence"), fv.CONFIDENCE_RANK, F.lit(0))
     )
     ranked = F.array_sort(F.collect_list(F.struct("_less", "map_no", "technique_id", "technique_name")))
-    grouped = rows.groupBy("report_path", "slug").agg(ranked.alias("r"), F.min("map_no").alias("_seen"))
+    grouped = rows.groupBy("report_path", "slug").agg(ranked.alias("_ranked"), F.min("map_no").alias("_seen"))
     known = nw.lookup(F.col("slug"), order)
     rest = F.filter(
-        F.transform(F.slice("r", F.lit(2), F.size("r")), lambda s: s["technique_id"]), lambda t: F.coalesce(t, F.lit("")) != ""
+        F.transform(F.slice("_ranked", F.lit(2), F.size("_ranked")), lambda s: s["technique_id"]), lambda t: F.coalesce(t, F.lit("")) != ""
     )
     stages = grouped.select(
         "report_path",
         F.coalesce(nw.lookup(F.col("slug"), names), F.initcap(F.replace("slug", F.lit("-"), F.lit(" ")))).alias("name"),
-        F.get("r", 0)["technique_id"].alias("mitre_technique_id"),
-        F.get("r", 0)["technique_name"].alias("technique_claimed"),
+        F.get("_ranked", 0)["technique_id"].alias("mitre_technique_id"),
+        F.get("_ranked", 0)["technique_name"].alias("technique_claimed"),
         F.when(known.isNotNull(), rest).otherwise(F.array().cast("array<string>")).alias("additional_techniques"),
         F.coalesce(known, F.lit(len(order))).alias("_order"),
         "_seen",

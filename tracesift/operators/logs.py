@@ -138,8 +138,8 @@ def section_scan(lines: DataFrame, workflow: str, limit: int = 10) -> DataFrame:
         ]
     )
     found = (
-        lines.select("file_path", "line_no", F.explode(F.filter(tagged, lambda s: s["value"].isNotNull())).alias("s"))
-        .groupBy("s.section_no", "s.section", "s.value")
+        lines.select("file_path", "line_no", F.explode(F.filter(tagged, lambda s: s["value"].isNotNull())).alias("_hit"))
+        .groupBy("_hit.section_no", "_hit.section", "_hit.value")
         .agg(F.count(F.lit(1)).alias("cnt"), F.min(_where()).alias("_first"))
     )
     top = top_per_group(found, ["section_no", "section"], limit, F.desc("cnt"), F.asc("_first"), name="rank")

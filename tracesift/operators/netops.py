@@ -381,8 +381,8 @@ def ospf_update_bursts(control_plane: DataFrame, steps: int = 10, seconds: float
     bucket = epoch_bucket("ts", seconds)
     copies = updates.select(
         "ts", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")),
-                                F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("own")))).alias("b")
-    ).select("ts", "b.bucket", "b.own")
+                                F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("own")))).alias("_copy")
+    ).select("ts", "_copy.bucket", "_copy.own")
     order = Window.partitionBy("bucket").orderBy("ts", F.desc("own"))
     spans = copies.withColumn("span", F.lead("ts", steps).over(order) - F.col("ts"))
     found = spans.where(F.col("own") & (F.col("span") <= seconds))

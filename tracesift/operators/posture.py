@@ -97,8 +97,8 @@ def _no_controls() -> Column:
 
 def stage_controls(stages: DataFrame) -> DataFrame:
     return stages.select(
-        "assessment_id", "stage_no", F.col("name").alias("stage"), F.posexplode("controls").alias("control_no", "c")
-    ).select("assessment_id", "stage_no", "stage", "control_no", "c.*")
+        "assessment_id", "stage_no", F.col("name").alias("stage"), F.posexplode("controls").alias("control_no", "_control")
+    ).select("assessment_id", "stage_no", "stage", "control_no", "_control.*")
 
 
 def duplicate_controls(stages: DataFrame) -> DataFrame:

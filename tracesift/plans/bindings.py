@@ -268,7 +268,7 @@ SELECT concat('vendor/', source, '/doc-', doc_id, '.md') AS report_path, concat(
     '1. Exploits CVE-2024-', 1000 + doc_id % 700, ' (T', 1000 + doc_id % 300, ') from hxxps://n', doc_id % 40, '.evil-corp', doc_id % 4,
     '[.]com/x?id=', doc_id, chr(10), chr(10), '* ok', chr(10), 'Contact soc', doc_id % 9, '@store', doc_id % 3, '.net md5 ', md5(CAST(doc_id % 50 AS STRING)),
     ' sha256 ', md5(CAST(doc_id AS STRING)), md5(CAST(doc_id + 1 AS STRING)), ' mac AA-bb-cc-00-00-', {_pick('01,02,0f', 'doc_id')},
-    ' site evil-corp', doc_id % 4, '.com seen 2024-01-', {_pick('05,11,17,23', 'doc_id')}, 'T', {_pick('03,09,15,21', 'doc_id')}, ':22:01') AS text
+    ' site evil-corp', doc_id % 4, '.com seen 2024-01-', {_pick('05,11,17,23', 'doc_id')}, 'T', {_pick('03,09,15,21', _whole('doc_id / 4'))}, ':22:01') AS text
 FROM {{documents}}"""
 
 VIEWS["chunk_indicators"] = f"""
@@ -498,13 +498,14 @@ class Inputs:
             related.alias("related_mitre"), "is_false_positive",
         )
         keys = ["report_path", "chunk_no"]
-        iocs = self.view("chunk_indicators").groupBy(*keys).agg(F.array_sort(F.collect_list(ioc)).alias("refined_iocs"))
+        no_pos = lambda c: F.transform(F.array_sort(c), lambda s: s.dropFields("pos"))
+        iocs = self.view("chunk_indicators").groupBy(*keys).agg(no_pos(F.collect_list(ioc)).alias("refined_iocs"))
         mapping = F.struct(
             "pos", "technique_id", F.concat(F.lit("name "), "technique_id").alias("technique_name"), "tactic", "confidence",
             F.lit("").alias("report_context"),
         )
         maps = self.view("chunk_mappings").groupBy(*keys).agg(
-            F.array_sort(F.collect_list(mapping)).alias("additional_mitre_techniques")
+            no_pos(F.collect_list(mapping)).alias("additional_mitre_techniques")
         )
         return iocs.join(maps, keys)
 

@@ -172,4 +172,6 @@ def oracle(sql: str, *names: str) -> str:
     if not ordered:
         return body
     head = ",\n".join(f"{n} AS ({DERIVED[n][0] if n in DERIVED else view_sql(n)})" for n in ordered)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"

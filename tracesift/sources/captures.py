@@ -8,9 +8,11 @@ as rotated files, each below Spark's 2 GB limit for a binary value.
 from __future__ import annotations
 
 import struct
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from tracesift.schemas import SCHEMAS, TrafficTables, conform
 
 from . import packets as pk
 
+# task functions travel with the job, so executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _BATCH = 5000
 _PACKET_COLUMNS = [part.split()[0] for part in SCHEMAS["packets"].split(", ")]
 

@@ -92,15 +92,15 @@ def ot_transactions(packets: DataFrame) -> DataFrame:
         F.when(F.col("at") + 8 < size, _byte(raw, F.col("at") + 7)).alias("s7"),
         F.when(is_("DNP3") & raw.startswith("\x05d"), _byte(raw, 13)).alias("dnp3"),
     )
-    rows = evaluated_once(rows, "c", codes)
-    base, pdu, dnp3 = F.col("c.modbus").bitwiseAND(F.lit(127)), F.col("c.pdu"), F.col("c.dnp3")
-    failed = F.col("c.modbus") >= 128
-    s7 = F.when(pdu.isin(1, 3), F.col("c.s7"))
+    rows = evaluated_once(rows, "_codes", codes)
+    base, pdu, dnp3 = F.col("_codes.modbus").bitwiseAND(F.lit(127)), F.col("_codes.pdu"), F.col("_codes.dnp3")
+    failed = F.col("_codes.modbus") >= 128
+    s7 = F.when(pdu.isin(1, 3), F.col("_codes.s7"))
     hex_name = lambda v: F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(v), 2, "0")))
     fc_name = lambda v: F.concat(F.lit("FC-"), v.cast("string"))
     out = rows.select(
         "capture", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
-        F.col("c.unit").alias("unit_id"),
+        F.col("_codes.unit").alias("unit_id"),
         F.coalesce(base, dnp3).alias("function_code"),
         F.coalesce(
             nw.lookup(base, fv.MODBUS_FUNCTIONS, fc_name(base)),
@@ -112,7 +112,7 @@ def ot_transactions(packets: DataFrame) -> DataFrame:
         F.coalesce(s7.isin(*fv.S7_CONTROLS), dnp3.isin(*fv.DNP3_CONTROLS)).alias("is_control"),
         base.isin(*fv.MODBUS_DIAGNOSTICS).alias("is_diagnostic"),
         failed.alias("is_exception"),
-        F.when(failed, F.col("c.error")).alias("exception_code"),
+        F.when(failed, F.col("_codes.error")).alias("exception_code"),
     )
     return conform(out, "ot_transactions")
 

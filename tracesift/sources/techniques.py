@@ -48,8 +48,8 @@ def read_techniques(spark: SparkSession, bundles: dict[str, str]) -> DataFrame:
     for number, (matrix, path) in enumerate(bundles.items()):
         bundle = spark.read.schema(f"objects array<{OBJECT_SCHEMA}>").json(path, multiLine=True)
         parts.append(
-            bundle.select(F.posexplode("objects").alias("object_no", "o")).select(
-                "object_no", "o.*", F.lit(matrix).alias("matrix"), F.lit(number).alias("matrix_no")
+            bundle.select(F.posexplode("objects").alias("object_no", "_object")).select(
+                "object_no", "_object.*", F.lit(matrix).alias("matrix"), F.lit(number).alias("matrix_no")
             )
         )
     return techniques(reduce(DataFrame.unionByName, parts))

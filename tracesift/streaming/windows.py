@@ -29,10 +29,10 @@ def frequency_stream(
     hits = lines.withColumn("value", tx.first_match("line", resolve_pattern(pattern))).where(F.col("value").isNotNull())
     counted = (
         hits.withWatermark(time_column, lateness)
-        .groupBy(F.window(time_column, f"{window_minutes} minutes").alias("w"), "value")
+        .groupBy(F.window(time_column, f"{window_minutes} minutes").alias("_window"), "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "value", "cnt")
+    return counted.select(F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), "value", "cnt")
 
 
 def line_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
