@@ -12,7 +12,7 @@ from tracesift.functions import network as nw
 from tracesift.functions import text as tx
 from tracesift.functions.times import epoch_bucket
 
-from .ranking import first_per_key, top_n, top_per_group
+from .ranking import evaluated_once, first_per_key, top_n, top_per_group
 
 # Unicode noncharacters, which valid text never contains, mark matches in place.
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
@@ -21,51 +21,60 @@ _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 # --- extraction --------------------------------------------------------------------------
 
 
-def _located_matches(text: Column, pattern: str) -> Column:
-    """Array of (raw, start) of all matches; start is the 1-based character position."""
-    marked = F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}")
-    pieces = F.split(marked, _OPEN)
-    start = F.struct(
+# text without this substring cannot match the pattern
+_NEEDS = {"email": "@", "url": "/"}
+
+
+def _marked(kind: str) -> Column:
+    """The text cut before each match; every piece but the first starts with one."""
+    cut = F.split(F.regexp_replace("text", fv.REPORT_INDICATORS[kind], f"{_OPEN}$0{_CLOSE}"), _OPEN)
+    if kind not in _NEEDS:
+        return cut
+    return F.when(F.col("text").contains(_NEEDS[kind]), cut).otherwise(F.array("text"))
+
+
+def _located(pieces: Column, kind: str) -> Column:
+    """Array of (ioc_type, raw_value, start): all matches with their 1-based position."""
+    first = F.struct(
         F.length(F.get(pieces, 0)).alias("used"),
-        F.array().cast("array<struct<raw:string,start:int>>").alias("found"),
+        F.array().cast("array<struct<ioc_type:string,raw_value:string,start:int>>").alias("found"),
     )
 
     def step(acc: Column, piece: Column) -> Column:
         hit = F.struct(
-            F.substring_index(piece, _CLOSE, 1).alias("raw"), (acc["used"] + 1).cast("int").alias("start")
+            F.lit(kind).alias("ioc_type"), F.substring_index(piece, _CLOSE, 1).alias("raw_value"),
+            (acc["used"] + 1).cast("int").alias("start"),
         )
         return F.struct((acc["used"] + F.length(piece) - 1).alias("used"), F.concat(acc["found"], F.array(hit)).alias("found"))
 
-    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda a: a["found"])
+    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, step, lambda a: a["found"])
 
 
 def extract_indicators(reports: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Indicators of the report profile, one row per report, type and value.
 
     The first spelling of a value wins and brings its context: 150 characters
-    to each side, line breaks as spaces, at most 300 characters.
+    to each side, line breaks as spaces, at most 300 characters. Each pattern
+    runs once over each text, and texts are dropped before the shuffle.
     """
     types = list(types or fv.REPORT_INDICATORS)
     unknown = set(types) - set(fv.REPORT_INDICATORS)
     if unknown:
         raise ValueError(f"unknown indicator types {sorted(unknown)}")
-
-    def found_of(kind: str) -> Column:
-        return F.transform(
-            _located_matches(F.col("text"), fv.REPORT_INDICATORS[kind]),
-            lambda m: F.struct(F.lit(kind).alias("ioc_type"), m["raw"].alias("raw_value"), m["start"].alias("start")),
-        )
-
-    found = F.concat(*[found_of(kind) for kind in types])
-    left = F.greatest(F.col("start") - 150, F.lit(1))
-    width = F.col("start") + F.length("raw_value") + 150 - left
-    context = F.substring(tx.strip(F.replace(F.substring(F.col("text"), left, width), F.lit("\n"), F.lit(" "))), 1, 300)
-    rows = (
-        reports.select("report_path", "text", F.explode(found).alias("_match"))
-        .select("report_path", "text", "_match.*")
-        .select("report_path", "ioc_type", tx.refang("raw_value").alias("value"), "raw_value", "start", context.alias("context"))
-        .withColumn("value_key", F.lower("value"))
-    )
+    texts = reports.select("report_path", "text")
+    cut = evaluated_once(texts, "_cut", F.struct(*[_marked(kind).alias(kind) for kind in types]))
+    found = evaluated_once(cut, "_found", F.concat(*[_located(F.col("_cut")[kind], kind) for kind in types])).drop("_cut")
+
+    def with_context(m: Column) -> Column:
+        left = F.greatest(m["start"] - 150, F.lit(1))
+        around = F.substring("text", left, m["start"] + F.length(m["raw_value"]) + 150 - left)
+        text = F.substring(tx.strip(F.replace(around, F.lit("\n"), F.lit(" "))), 1, 300)
+        return F.struct(m["ioc_type"], m["raw_value"], m["start"], text.alias("context"))
+
+    hits = evaluated_once(found, "_hits", F.transform("_found", with_context)).drop("text", "_found")
+    rows = hits.select("report_path", F.inline("_hits")).select(
+        "report_path", "ioc_type", tx.refang("raw_value").alias("value"), "raw_value", "start", "context"
+    ).withColumn("value_key", F.lower("value"))
     first = first_per_key(rows, ["report_path", "ioc_type", "value_key"], "start")
     return first.select(
         "report_path", "ioc_type", "value", "raw_value", (F.col("raw_value") != F.col("value")).alias("defanged"),
@@ -96,7 +105,8 @@ def extract_correlator_indicators(reports: DataFrame) -> DataFrame:
         values("port", 1, keep=lambda v: v.cast("int").between(1, 65535)),
     )
     refanged = reports.select("report_path", tx.refang_case_sensitive("text").alias("clean"))
-    return refanged.select("report_path", F.inline(everything))
+    found = evaluated_once(refanged, "_found", everything)
+    return found.select("report_path", F.inline("_found"))
 
 
 def merge_indicators(known: DataFrame, extra: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.operators import flows
+from tracesift.operators.ranking import evaluated_once
 from tracesift.schemas import TrafficTables, conform
 from tracesift.sources import packets as pk
 from tracesift.sources.lines import text_lines
@@ -24,6 +25,18 @@ TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+_KEYS = {
+    "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id",
+    "pages": "page_id", "conversations": "conv_id",
+}
+
+# Long expressions that filters test several times. A stored table would hold
+# them; here they are made once a row and not copied into every filter.
+_STORED = {
+    "access_lines": ("line",), "iptables_lines": ("line",), "fortinet_lines": ("line",), "paloalto_lines": ("line",),
+    "csv_lines": ("line",), "connections": ("src_ip", "dst_ip", "dst_port"), "dns_queries": ("query",), "dns_responses": ("query",),
+}
+
 # MICROS(x) is the only dialect-dependent call: microseconds since the epoch
 _DIALECT = {
     "spark": lambda arg: f"unix_micros(CAST({arg} AS TIMESTAMP))",
@@ -397,12 +410,22 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table. One with fewer splits than the cluster has cores is
+        spread by its key, so that work on every row uses all cores; larger
+        tables stay as they are."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in _KEYS and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores, _KEYS[name])
+        return df
 
     def view(self, name: str) -> DataFrame:
         text = _render(VIEWS[name], "spark")
         used = {t: self.table(t) for t in TABLES if f"{{{t}}}" in text}
-        return self.spark.sql(text, **used)
+        df = self.spark.sql(text, **used)
+        for column in _STORED.get(name, ()):
+            df = evaluated_once(df.withColumnRenamed(column, "_made"), column, F.col("_made")).drop("_made")
+        return df
 
     @cached_property
     def doc_lines(self) -> DataFrame:

@@ -429,14 +429,8 @@ SELECT report_path, target AS node, 1 AS i, 0 AS o FROM ({_EDGES}) a UNION ALL S
 )
 
 
-def _layers(x: Inputs) -> DataFrame:
-    links = graph.edges(x.paths, x.mappings)
-    ends = links.select("report_path", F.explode(F.array("source", "target")).alias("node"))
-    return graph.layers(ends, links)
-
-
 QUERIES["graph_layers"] = (
-    _layers,
+    lambda x: graph.layers(graph.edges(x.paths, x.mappings)),
     oracle(
         f"""WITH RECURSIVE e AS MATERIALIZED ({_EDGES}), n AS (SELECT report_path, source AS node FROM e UNION SELECT report_path, target FROM e),
 size AS (SELECT report_path, count(*) AS k FROM n GROUP BY 1),
