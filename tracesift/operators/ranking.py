@@ -57,7 +57,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
 
 
 def with_group_totals(
-    df: DataFrame, n: int, order: Sequence[Column], totals: dict[str, Column], spread: int = 64
+    df: DataFrame, n: int, order: Sequence[Column], totals: dict[str, Column], spread: int = 1024
 ) -> DataFrame:
     """Top n rows of ``df`` with totals over all its rows, in one pass.
 
