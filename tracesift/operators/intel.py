@@ -11,6 +11,7 @@ from tracesift.functions import fixed_values as fv
 from tracesift.functions import network as nw
 from tracesift.functions import text as tx
 from tracesift.functions.times import epoch_bucket
+from tracesift.session import written_once
 
 from .ranking import evaluated_once, first_per_key, top_n, top_per_group
 
@@ -181,22 +182,31 @@ def answer_matches(iocs: DataFrame, responses: DataFrame) -> DataFrame:
 def names_containing(names: DataFrame, name: str, values: DataFrame) -> DataFrame:
     """Pairs of a distinct lower-case name and an indicator value inside it.
 
-    Exact substring matching as an equi-join: every name yields its substrings
-    of just the lengths that occur among the values (a name has at most 253
-    characters, so the lengths are few and the substrings bounded).
+    Exact substring matching as an equi-join. A value with a dot can only lie
+    where its last dot meets a dot of the name, so a name yields one candidate
+    per dot and value shape (length, length from the last dot on); values
+    without a dot are tried at every place. Names are at most 253 characters
+    long, which bounds the shapes whatever the number of values.
     """
-    lengths = values.agg(F.array_sort(F.collect_set(F.length("ioc_value")))).scalar()
+    size = F.length("ioc_value")
+    ending = F.when(F.col("ioc_value").contains("."), F.length(F.substring_index("ioc_value", ".", -1)) + 1).otherwise(0)
+    shapes = values.agg(F.array_sort(F.collect_set(F.struct(size.alias("size"), ending.alias("ending"))))).scalar()
     distinct = names.select(F.lower(name).alias("name")).where(F.col("name") != "").distinct()
-    parts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter(F.col("lengths"), lambda n: n <= F.length("name")),
-                lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda p: F.substring(F.col("name"), p, n)),
-            )
-        )
+    length = F.length("name")
+    dots = F.filter(F.sequence(F.lit(1), length), lambda i: F.substring(F.col("name"), i, F.lit(1)) == ".")
+    ready = evaluated_once(distinct.withColumn("_shapes", shapes), "_dots", dots)
+
+    def starts(shape: Column) -> Column:
+        by_dot = F.transform("_dots", lambda dot: dot + shape["ending"] - shape["size"])
+        fits = F.filter(by_dot, lambda start: (start >= 1) & (start + shape["size"] - 1 <= length))
+        return F.when(shape["ending"] > 0, fits).otherwise(F.sequence(F.lit(1), length - shape["size"] + 1))
+
+    fitting = F.filter("_shapes", lambda shape: shape["size"] <= length)
+    parts = F.flatten(
+        F.transform(fitting, lambda shape: F.transform(starts(shape), lambda at: F.substring(F.col("name"), at, shape["size"])))
     )
-    candidates = distinct.withColumn("lengths", lengths).select("name", F.explode(parts).alias("ioc_value"))
-    return candidates.join(values, "ioc_value")
+    candidates = evaluated_once(ready, "_parts", F.array_distinct(parts))
+    return candidates.select("name", F.explode("_parts").alias("ioc_value")).join(values, "ioc_value")
 
 
 def labels_containing(names: DataFrame, name: str, values: DataFrame) -> DataFrame:
@@ -259,12 +269,17 @@ def port_matches(iocs: DataFrame, convs: DataFrame, evidence_rows: int = 20) ->
 def correlate(
     iocs: DataFrame, convs: DataFrame, queries: DataFrame, responses: DataFrame, handshakes: DataFrame, requests: DataFrame
 ) -> DataFrame:
-    """All evidence for all indicators: type, value, source, detail, counts."""
+    """All evidence for all indicators: type, value, source, detail, counts.
+
+    The indicators feed six joins, so their distinct values are written once to
+    the checkpoint folder instead of being extracted for each join.
+    """
+    known = written_once(iocs.select("ioc_type", "value").distinct())
     return (
-        ip_matches(iocs, convs)
-        .unionByName(answer_matches(iocs, responses))
-        .unionByName(domain_matches(iocs, queries, handshakes, requests))
-        .unionByName(port_matches(iocs, convs))
+        ip_matches(known, convs)
+        .unionByName(answer_matches(known, responses))
+        .unionByName(domain_matches(known, queries, handshakes, requests))
+        .unionByName(port_matches(known, convs))
     )
 
 
@@ -434,14 +449,15 @@ def reconcile_mappings(mappings: DataFrame, paths: DataFrame, techniques: DataFr
     Order: repair path tactics, attach paths to equal (technique, tactic) pairs,
     promote the entry with an empty tactic, add pairs only the paths have, add
     ``leads_to`` targets that are no step, fill names and tactics, validate.
-    ``mappings`` holds one row per (report, technique, tactic).
+    ``mappings`` holds one row per (report, technique, tactic). The repaired
+    steps are read four times and therefore written once to the checkpoint folder.
     """
     pair, tech = ["report_path", "technique_id", "tactic"], ["report_path", "technique_id"]
     base = mappings.where(F.coalesce("technique_id", F.lit("")) != "").select(
         *tech, F.coalesce("tactic", F.lit("")).alias("tactic"), F.coalesce("technique_name", F.lit("")).alias("technique_name"),
         "confidence", "report_context",
     )
-    steps = repair_tactics(path_steps(paths), techniques)
+    steps = written_once(repair_tactics(path_steps(paths), techniques).drop("technique_name", "reassigned"))
     pairs = steps.groupBy(*pair).agg(
         F.min(F.struct("path_no", "step_no")).alias("first_at"),
         F.transform(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "tracesift") -> SparkSession:
@@ -40,3 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder.
+
+    Like ``checkpoint`` it cuts the lineage and survives lost executors, but the
+    rows are computed once, and later joins know the table's size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
