@@ -13,7 +13,7 @@ from tracesift.functions import text as tx
 from tracesift.functions.times import epoch_bucket
 from tracesift.session import written_once
 
-from .ranking import evaluated_once, first_per_key, top_n, top_per_group
+from .ranking import evaluated_once, first_per_key, top_per_group
 
 # Unicode noncharacters, which valid text never contains, mark matches in place.
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"

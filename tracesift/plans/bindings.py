@@ -3,7 +3,7 @@
 The given tables hold no network data, so every canonical table is a plain
 projection of one of them: one output row per input row, values by arithmetic.
 ``VIEWS`` is the SQL text, valid in Spark and in DuckDB alike; ``Inputs`` runs
-it on Spark, ``with_views`` puts it in front of an oracle query.
+it on Spark, ``oracle_sql.oracle`` puts it in front of an oracle query.
 """
 
 from __future__ import annotations
@@ -394,15 +394,6 @@ def view_sql(name: str) -> str:
     return _render(text, "duckdb").format(**{t: t for t in TABLES})
 
 
-def with_views(sql: str, *names: str) -> str:
-    """An oracle query with the views it uses as common table expressions."""
-    head = ",\n".join(f"{n} AS ({view_sql(n)})" for n in names)
-    body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
-    return f"WITH {head}\n{body}"
-
-
 class Inputs:
     """The views as DataFrames over one data folder."""
 

@@ -53,7 +53,7 @@ def sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def signature(line: str, cut: int, skip: tuple[str, ...] = ()) -> str:
+def signature(line: str, cut: int, skip: tuple[str, ...] = ()) -> tuple[str, str]:
     out = strip(line)
     for pattern, token in fv.SIGNATURE_RULES:
         if token not in skip:
