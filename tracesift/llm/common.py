@@ -27,19 +27,24 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)).cast("int")
 
 
-def sampled(labelled: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each label, the same ones each time: those with the smallest hash of the id.
+def sampled(labelled: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, the same ones each time: those with the smallest hash of ``doc_id``.
 
-    The cut is a top-k per label, pruned in each partition before the shuffle.
-    ``labelled`` has ``doc_id`` and the label, whose values must be few.
+    A top-k, pruned in each partition before the shuffle.
     """
-    keyed = labelled.where(F.col(label).isNotNull()).withColumn("_order", F.xxhash64("doc_id"))
-    values = [r[0] for r in keyed.select(label).distinct().orderBy(label).limit(1000).collect()]
-    parts = [keyed.where(F.col(label) == F.lit(v)).orderBy("_order", "doc_id").limit(most) for v in values]
-    out = parts[0] if parts else keyed.limit(0)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.drop("_order")
+    return labelled.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(most).drop("_order")
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, parts: int, held: int) -> DataFrame:
+    """Texts (and further columns) of at most ``most`` labelled documents outside the held-out fold, with ``label`` 0 or 1.
+
+    The sample of ids and labels is bounded by ``most`` and therefore broadcast.
+    Ids with contradicting labels count by their smallest label; null labels and ids don't count.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).where(
+        "_label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("_label").alias("_label"))
+    chosen = sampled(known.where(fold(F.col("doc_id"), parts) != held), most)
+    return docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def strings(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracesift.llm import neardup, packing
+from tracesift.llm import decontaminate, langid, neardup, packing, paragraphs, quality, toxicity
 from tracesift.llm.common import table
 
 
@@ -14,6 +14,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.identified(docs, langid.learn(docs))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), tokenizer_path())
 
@@ -23,8 +36,13 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": quality.score_documents,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_toxicity": toxicity.score_documents,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it in reasonable time.

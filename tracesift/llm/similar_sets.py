@@ -20,7 +20,7 @@ from tracesift.llm.common import components
 from tracesift.llm.textkernel import LOWER_BYTES, mix
 from tracesift.session import discard, written_once
 
-#: Low bits kept of each minimum, and minima in a signature of 8 longs.
+#: Low bits kept of each minimum; the most minima in a signature (16 to a long).
 BITS, MINIMA = 4, 128
 #: Members of a bucket that one join key may hold on either side.
 BLOCK = 1024
@@ -52,27 +52,27 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> np.ndarray:
-    """The low ``BITS`` bits of 128 minima in 8 longs, for sets in rows of ``values``."""
-    low = (values & np.uint64(2**BITS - 1)).reshape(len(values), MINIMA * BITS // 64, 64 // BITS)
+    """The low ``BITS`` bits of all minima, 16 to a long, for sets in rows of ``values``."""
+    low = (values & np.uint64(2**BITS - 1)).reshape(len(values), values.shape[1] * BITS // 64, 64 // BITS)
     shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
     return np.bitwise_or.reduce(low << shifts, axis=2).view(np.int64)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, count: int) -> Column:
     """Similarity from two packed signatures, corrected for minima that agree in their low bits by chance."""
     differing = F.lit(0)
-    for k in range(MINIMA * BITS // 64):
+    for k in range(count * BITS // 64):
         x = a[k].bitwiseXOR(b[k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     chance = 1 / 2**BITS
-    return (1 - differing / F.lit(float(MINIMA)) - chance) / (1 - chance)
+    return (1 - differing / F.lit(float(count)) - chance) / (1 - chance)
 
 
-def least_estimate(threshold: float) -> float:
+def least_estimate(threshold: float, count: int) -> float:
     agree = threshold + (1 - threshold) / 2**BITS
-    return threshold - MARGIN * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - 1 / 2**BITS)
+    return threshold - MARGIN * (agree * (1 - agree) / count) ** 0.5 / (1 - 1 / 2**BITS)
 
 
 def shingle_set(text: str, size: int) -> set:
@@ -107,25 +107,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), f"a {kind}, b {kind}")
 
 
-def _estimated(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+def _estimated(pairs: DataFrame, signatures: DataFrame, least: float, count: int) -> DataFrame:
     """The distinct pairs whose signatures allow the threshold."""
-    signatures = items.select("rid", "sig")
     return (
         pairs.distinct()
         .join(signatures.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b")), "b")
         .join(signatures.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .where(estimate(F.col("sig_a"), F.col("sig_b")) >= least)
+        .where(estimate(F.col("sig_a"), F.col("sig_b"), count) >= least)
         .select("a", "b")
     )
 
 
-def _block_pairs(members: DataFrame, items: DataFrame, least: float) -> DataFrame:
+def _block_pairs(members: DataFrame, signatures: DataFrame, least: float, count: int) -> DataFrame:
     """Pairs between components in each bucket, by joins of blocks of about ``BLOCK`` members."""
     chunk = F.pmod(F.xxhash64("rid"), F.col("chunks"))
     rows = (
         members.withColumn("chunks", F.ceil(F.col("n") / BLOCK))
         .withColumn("chunk", chunk)
-        .join(items.select("rid", "sig"), "rid")
+        .join(signatures, "rid")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
         .select("key", "rid", "component", "sig", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
     )
@@ -134,47 +133,52 @@ def _block_pairs(members: DataFrame, items: DataFrame, least: float) -> DataFram
     return a.join(b, [
         F.col("a.key") == F.col("b.key"), F.col("a.lo") == F.col("b.lo"), F.col("a.hi") == F.col("b.hi"),
         F.col("a.rid") < F.col("b.rid"), F.col("a.component") != F.col("b.component"), apart,
-        estimate(F.col("a.sig"), F.col("b.sig")) >= least,
+        estimate(F.col("a.sig"), F.col("b.sig"), count) >= least,
     ]).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
 
 
-def similar_components(items: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def similar_components(items: DataFrame, texts: DataFrame, size: int, percent: int, count: int = MINIMA) -> DataFrame:
     """``node``, ``component`` of all items that have a similar other item.
 
-    ``items``: ``rid`` (any orderable type), ``bands`` and ``sig``; ``texts``:
-    ``rid``, ``text``, one or more rows per item. Two items are linked if
-    100 * intersection >= ``percent`` * union of their distinct shingles of
-    ``size`` words. The component is its smallest ``rid``. Written
-    intermediates are deleted when done; the result is a written table.
+    ``items``: ``rid`` (orderable), ``bands`` and ``sig`` of ``count`` minima;
+    ``texts``: ``rid``, ``text``. Rows with the same ``rid`` are copies. Two
+    items are linked if 100 * intersection >= ``percent`` * union of their
+    distinct shingles of ``size`` words. The component is its smallest ``rid``.
+    Large intermediates are deleted when done; the result is a written table.
     """
-    least = least_estimate(percent / 100)
+    least = least_estimate(percent / 100, count)
     postings = items.select("rid", F.explode("bands").alias("key"))
-    shared = postings.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = written_once(postings.join(shared, "key"))
-    needed = written_once(texts.join(members.select("rid").distinct(), "rid", "left_semi"))
-    links = written_once(_verified(written_once(_estimated(
-        members.where(F.col("rid") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rid").alias("b")), items, least)),
-        needed, size, percent))
+    shared = postings.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub <> last")
+    members = written_once(postings.join(shared.select("key", "hub"), "key").dropDuplicates(["key", "rid"]))
+    ids = members.select("rid").distinct()
+    signatures = written_once(items.select("rid", "sig").join(ids, "rid", "left_semi").dropDuplicates(["rid"]))
+    needed = written_once(texts.select("rid", "text").join(ids, "rid", "left_semi").dropDuplicates(["rid"]))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        proposed = written_once(_estimated(pairs, signatures, least, count))
+        passed = written_once(_verified(proposed, needed, size, percent))
+        discard(proposed)
+        return passed
+
+    links = tested(members.where(F.col("rid") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rid").alias("b")))
     found = written_once(components(links))
     for turn in range(1, HUB_ROUNDS + 1):
-        labelled = members.where("n > 2").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
+        labelled = members.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
             "component", F.coalesce("component", "rid"))
         open_keys = labelled.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min_by(F.struct("rid", "component"), F.xxhash64("rid", F.lit(turn))).alias("next")).where("lo <> hi")
-        mixed = written_once(labelled.join(open_keys.select("key", "next"), "key"))
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
+            F.min_by(F.struct("rid", "component"), F.xxhash64("rid", F.lit(turn))).alias("next")).where("lo <> hi and n > 2")
+        mixed = written_once(labelled.join(open_keys.select("key", "next", "n"), "key").where(F.col("rid") != F.col("hub")))
         if turn < HUB_ROUNDS:
-            pairs = mixed.where((F.col("component") != F.col("next.component")) & (F.col("rid") != F.col("hub"))).select(
+            pairs = mixed.where(F.col("component") != F.col("next.component")).select(
                 F.least("rid", "next.rid").alias("a"), F.greatest("rid", "next.rid").alias("b"))
         else:
-            pairs = _block_pairs(mixed.where(F.col("rid") != F.col("hub")), items, least)
-        proposed = written_once(_estimated(pairs, items, least))
+            pairs = _block_pairs(mixed, signatures, least, count)
+        more = tested(pairs)
         discard(mixed)
-        more = written_once(_verified(proposed, needed, size, percent))
-        discard(proposed)
         if not more.isEmpty():
             links = written_once(links.union(more))
             found = written_once(components(links))
-    discard(members)
-    discard(needed)
+    for done in (members, signatures, needed):
+        discard(done)
     return found
