@@ -54,22 +54,27 @@ def test_paloalto(spark):
     assert [(r.src_ip, r.rule, r.action, r.src_port, r.bytes_sent) for r in rows] == [("1.1.1.1", "a, b", "deny", 24, 31)]
 
 
-def test_generic_csv_file_and_roles(spark, tmp_path):
-    assert fw.column_roles(["Src IP", "Dest IP", "dst-port", "Status", "Proto", "Event Time"]) == {
-        "src_ip": "Src IP", "dst_ip": "Dest IP", "dst_port": "dst-port", "action": "Status", "protocol": "Proto", "timestamp": "Event Time"}
+def test_generic_csv_files_with_their_own_headers(spark, tmp_path):
+    names = ["Src IP", "Dest IP", "dst-port", "Status", "Proto", "Event Time", "x"]
+    roles = spark.range(1).select(fw.column_roles(F.array(*[F.lit(n) for n in names])).alias("r")).head().r
+    assert roles == ["src_ip", "dst_ip", "dst_port", "action", "protocol", "timestamp", None]
     (tmp_path / "w.csv").write_text("date,src-ip,dst-ip,dst-port,action\nd,1.1.1.1,2.2.2.2,80,Dropped\nd,1.1.1.1,2.2.2.2,x,allow\n")
-    rows = fw.read_generic_csv(spark, str(tmp_path / "w.csv")).collect()
-    assert [(r.src_ip, r.dst_port, r.action) for r in rows] == [("1.1.1.1", 80, "deny")]
+    (tmp_path / "v.csv").write_text('action,dst-port,dst-ip,src-ip,date\n"De ""ny"", x",81,4.4.4.4,3.3.3.3,d\nblock,9,4.4.4.4\n')
+    rows = fw.read_generic_csv(spark, str(tmp_path)).orderBy(F.desc("file_path"), "line_no").collect()
+    assert [(r.line_no, r.src_ip, r.dst_port, r.action) for r in rows] == [(2, "1.1.1.1", 80, "deny"), (2, "3.3.3.3", 81, "allow"), (3, None, 9, "deny")]
+    assert rows[1].raw == 'De "ny", x,81,4.4.4.4,3.3.3.3,d'
 
 
 def test_detect_and_parse_mixed(spark):
     rows = [("i", 1, "Jan  5 1:0:0 k: DROP IN=e OUT= SRC=1.1.1.1 DST=2.2.2.2 X PROTO=TCP"), ("f", 1, "type=traffic srcip=1.1.1.1"),
-            ("p", 1, "Jan filterlog: 1,2"), ("w", 1, "date,src-ip"), ("g", 1, "a,b"), ("c", 1, "TRAFFIC" + "," * 34)]
+            ("p", 1, "Jan filterlog: 1,2"), ("w", 1, "date,src-ip"), ("w", 2, "d,1.1.1.1"), ("g", 1, "a,b"), ("g", 2, "1,2"), ("c", 1, "TRAFFIC" + "," * 34),
+            *(("late", n, "noise") for n in range(1, 40)), ("late", 40, "type=traffic srcip=9.9.9.9")]
     df = spark.createDataFrame(rows, SCHEMAS["log_lines"])
     found = {r.file_path: r.log_format for r in fw.detect_formats(df).collect()}
-    assert found == {"i": "iptables", "f": "fortinet_syslog", "p": "pfsense", "w": "windows_fw", "g": "generic_csv", "c": "paloalto_csv"}
-    loaded = {r.log_format: r.total_entries for r in firewall.load_counts(fw.parse_detected(df)).collect()}
-    assert loaded == {"iptables": 1, "fortinet_syslog": 1, "paloalto_csv": 1}
+    assert found == {"i": "iptables", "f": "fortinet_syslog", "p": "pfsense", "w": "windows_fw", "g": "generic_csv", "c": "paloalto_csv", "late": "fortinet_syslog"}
+    loaded = {(r.file_path, r.log_format): r.total_entries for r in firewall.load_counts(fw.parse_detected(df)).collect()}
+    assert loaded == {("i", "iptables"): 1, ("f", "fortinet_syslog"): 1, ("late", "fortinet_syslog"): 1, ("c", "paloalto_csv"): 1,
+                      ("w", "windows_fw"): 1, ("g", "generic_csv"): 1}
 
 
 def test_zeek_folder(spark, tmp_path):

@@ -25,16 +25,11 @@ TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-_KEYS = {
-    "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id",
-    "pages": "page_id", "conversations": "conv_id",
-}
-
 # Long expressions that filters test several times. A stored table would hold
 # them; here they are made once a row and not copied into every filter.
 _STORED = {
     "access_lines": ("line",), "iptables_lines": ("line",), "fortinet_lines": ("line",), "paloalto_lines": ("line",),
-    "csv_lines": ("line",), "connections": ("src_ip", "dst_ip", "dst_port"), "dns_queries": ("query",), "dns_responses": ("query",),
+    "csv_lines": ("line",), "headed_csv_lines": ("line",), "connections": ("src_ip", "dst_ip", "dst_port"), "dns_queries": ("query",), "dns_responses": ("query",),
 }
 
 # MICROS(x) is the only dialect-dependent call: microseconds since the epoch
@@ -206,6 +201,18 @@ SELECT concat('csv-', l_suppkey % 8) AS file_path, {_LINE_NO} AS line_no,
     CASE WHEN l_quantity = 1 THEN 'bad' WHEN l_linenumber = 6 THEN '' ELSE CAST({_FW_PORT} AS STRING) END, ',TCP,',
     {_pick('"Denied, rule 4",Allow,Blocked by policy,Permit', 'l_suppkey').replace('"Denied, rule 4"', '"Denied; rule 4"')}) AS line
 FROM {{lineitem}}"""
+_CSV_PORT = f"CASE WHEN l_quantity = 1 THEN 'bad' WHEN l_linenumber = 6 THEN '' ELSE CAST({_FW_PORT} AS STRING) END"
+_CSV_ACTION = _pick('"Denied; ""rule"" 4",Allow,Blocked by policy,Permit', "l_partkey")
+VIEWS["headed_csv_lines"] = f"""
+SELECT concat('hcsv-', l_suppkey % 8) AS file_path, {_LINE_NO} AS line_no,
+  CASE WHEN l_suppkey % 2 = 0
+    THEN concat('2024-01-0', l_linenumber, ' 10:00:00,', {_FW_SRC}, ',', 1024 + l_partkey % 5000, ',', {_FW_DST}, ',', {_CSV_PORT}, ',TCP,', {_CSV_ACTION})
+    ELSE concat({_CSV_ACTION}, ',', {_FW_DST}, ',', {_CSV_PORT}, ',', 1024 + l_partkey % 5000, ',', {_FW_SRC}, ',UDP,2024-01-0', l_linenumber, ' 11:00:00') END AS line
+FROM {{lineitem}}
+UNION ALL
+SELECT DISTINCT concat('hcsv-', l_suppkey % 8), CAST(1 AS BIGINT),
+  CASE WHEN l_suppkey % 2 = 0 THEN 'date,src-ip,src-port,dst-ip,dst-port,proto,action' ELSE 'Status,Dest IP,Dest Port,Src Port,Src IP,Protocol,Event Time' END
+FROM {{lineitem}}"""
 VIEWS["paloalto_lines"] = f"""
 SELECT concat('pa-', l_suppkey % 8) AS file_path, {_LINE_NO} AS line_no,
   concat('1,2024/01/0', l_linenumber, ' 10:00:00,S1,TRAFFIC,end,x,y,', {_FW_SRC}, ',', {_FW_DST}, ',n1,n2,n3,"rule, ', l_suppkey % 5,
@@ -401,14 +408,7 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        """A given table. One with fewer splits than the cluster has cores is
-        spread by its key, so that work on every row uses all cores; larger
-        tables stay as they are."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in _KEYS and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores, _KEYS[name])
-        return df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         text = _render(VIEWS[name], "spark")

@@ -223,16 +223,17 @@ def _entries(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
-QUERIES["fw_parse_iptables"] = (
-    lambda x: _entries(fw.parse_iptables(x.view("iptables_lines")), "interface"),
-    oracle(
-        f"""SELECT file_path, line_no, m.t AS timestamp, m.src AS src_ip, m.dst AS dst_ip,
+_IPTABLES_SQL = f"""SELECT file_path, line_no, m.t AS timestamp, m.src AS src_ip, m.dst AS dst_ip,
   coalesce(TRY_CAST(m.spt AS INT), 0) AS src_port, coalesce(TRY_CAST(m.dpt AS INT), 0) AS dst_port, m.proto AS protocol,
   CASE WHEN lower(m.act) IN ('drop', 'reject') THEN 'deny' ELSE 'allow' END AS action,
   CASE WHEN m.i <> '' THEN m.i ELSE m.o END AS interface
 FROM (SELECT file_path, line_no, regexp_extract(line, {sql_text(fv.IPTABLES_LINE)},
   ['t', 'act', 'i', 'o', 'src', 'dst', 'proto', 'spt', 'dpt']) AS m FROM iptables_lines
-  WHERE regexp_matches(line, {sql_text(fv.IPTABLES_LINE)})) q""",
+  WHERE regexp_matches(line, {sql_text(fv.IPTABLES_LINE)})) q"""
+QUERIES["fw_parse_iptables"] = (
+    lambda x: _entries(fw.parse_iptables(x.view("iptables_lines")), "interface"),
+    oracle(
+        _IPTABLES_SQL,
         "iptables_lines",
     ),
 )
@@ -244,26 +245,28 @@ def _kv(*keys: str) -> str:
     return f"coalesce({', '.join(picks)})"
 
 
-QUERIES["fw_parse_fortinet"] = (
-    lambda x: _entries(fw.parse_fortinet(x.view("fortinet_lines")), "bytes_sent", "bytes_recv", "rule", "interface"),
-    oracle(
-        f"""SELECT file_path, line_no, concat({_kv('date')}, ' ', {_kv('time')}) AS timestamp, {_kv('srcip', 'src')} AS src_ip, {_kv('dstip')} AS dst_ip,
+_FORTINET_SQL = f"""SELECT file_path, line_no, concat({_kv('date')}, ' ', {_kv('time')}) AS timestamp, {_kv('srcip', 'src')} AS src_ip, {_kv('dstip')} AS dst_ip,
   coalesce(TRY_CAST({_kv('srcport')} AS INT), 0) AS src_port, coalesce(TRY_CAST({_kv('dstport')} AS INT), 0) AS dst_port, '17' AS protocol,
   CASE WHEN lower({_kv('action')}) IN ('deny', 'dropped', 'blocked') THEN 'deny' ELSE 'allow' END AS action,
   coalesce(TRY_CAST({_kv('sentbyte')} AS BIGINT), 0) AS bytes_sent, coalesce(TRY_CAST({_kv('rcvdbyte')} AS BIGINT), 0) AS bytes_recv,
   {_kv('policyid')} AS rule, {_kv('srcintf')} AS interface
-FROM fortinet_lines WHERE {_kv('srcip', 'src')} IS NOT NULL""",
+FROM fortinet_lines WHERE {_kv('srcip', 'src')} IS NOT NULL"""
+QUERIES["fw_parse_fortinet"] = (
+    lambda x: _entries(fw.parse_fortinet(x.view("fortinet_lines")), "bytes_sent", "bytes_recv", "rule", "interface"),
+    oracle(
+        _FORTINET_SQL,
         "fortinet_lines",
     ),
 )
-QUERIES["fw_parse_paloalto"] = (
-    lambda x: _entries(fw.parse_paloalto(x.view("paloalto_lines")), "bytes_sent", "bytes_recv", "rule"),
-    oracle(
-        """SELECT file_path, line_no, c[2] AS timestamp, c[8] AS src_ip, c[9] AS dst_ip, CAST(c[25] AS INT) AS src_port,
+_PALO_SQL = """SELECT file_path, line_no, c[2] AS timestamp, c[8] AS src_ip, c[9] AS dst_ip, CAST(c[25] AS INT) AS src_port,
   coalesce(TRY_CAST(c[26] AS INT), 0) AS dst_port, c[30] AS protocol, CASE WHEN c[31] IN ('deny', 'drop', 'reset-both') THEN 'deny' ELSE 'allow' END AS action,
   CAST(c[32] AS BIGINT) AS bytes_sent, CAST(c[33] AS BIGINT) AS bytes_recv, replace(c[13], ';', ', ') AS rule
 FROM (SELECT file_path, line_no, string_split(replace(replace(line, '"', ''), 'rule, ', 'rule;'), ',') AS c FROM paloalto_lines) q
-WHERE len(c) >= 35 AND c[25] <> 'bad'""",
+WHERE len(c) >= 35 AND c[25] <> 'bad'"""
+QUERIES["fw_parse_paloalto"] = (
+    lambda x: _entries(fw.parse_paloalto(x.view("paloalto_lines")), "bytes_sent", "bytes_recv", "rule"),
+    oracle(
+        _PALO_SQL,
         "paloalto_lines",
     ),
 )
@@ -280,30 +283,53 @@ FROM (SELECT file_path, line_no, string_split(replace(line, '"', ''), ',') AS c
 
 
 def _mixed_lines(x: Inputs) -> DataFrame:
-    parts = [x.view(v) for v in ("iptables_lines", "fortinet_lines", "paloalto_lines", "csv_lines")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
+    """All formats: pfSense lines are kernel lines with another program name, Palo Alto files begin with a wide header."""
+    iptables, palo = x.view("iptables_lines"), x.view("paloalto_lines")
+    pfsense = iptables.select(F.concat(F.lit("pf-"), "file_path").alias("file_path"), "line_no", F.replace("line", F.lit("kernel:"), F.lit("filterlog:")).alias("line"))
+    header = palo.select("file_path", F.lit(1).cast("long").alias("line_no"), F.lit(_PALO_HEADER).alias("line")).distinct()
+    parts = [iptables, pfsense, x.view("fortinet_lines"), palo, header, x.view("headed_csv_lines")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_PALO_HEADER = ",".join(["TRAFFIC", *(f"h{i}" for i in range(35))])
+_PF_LINES = "(SELECT concat('pf-', file_path) AS file_path, line_no, replace(line, 'kernel:', 'filterlog:') AS line FROM iptables_lines)"
+_MIXED_VIEWS = ("iptables_lines", "fortinet_lines", "paloalto_lines", "headed_csv_lines")
 QUERIES["fw_detect_formats"] = (
-    lambda x: fw.detect_formats(_mixed_lines(x), sample=1 << 62),
+    lambda x: fw.detect_formats(_mixed_lines(x)),
     oracle(
-        """SELECT file_path, CASE WHEN bool_or(contains(line, 'TRAFFIC')) AND bool_or(line_no = 1 AND length(line) - length(replace(line, ',', '')) > 30) THEN 'paloalto_csv'
+        f"""SELECT file_path, CASE WHEN bool_or(contains(line, 'TRAFFIC')) AND bool_or(line_no = 1 AND length(line) - length(replace(line, ',', '')) > 30) THEN 'paloalto_csv'
   WHEN bool_or(contains(line, 'devname=') OR contains(line, 'type=traffic')) THEN 'fortinet_syslog'
   WHEN bool_or(contains(line, 'filterlog')) THEN 'pfsense'
   WHEN bool_or(regexp_matches(line, 'SRC=\\S+ DST=\\S+')) THEN 'iptables'
   WHEN bool_or(contains(lower(line), 'src-ip') OR contains(lower(line), 'source address')) THEN 'windows_fw' ELSE 'generic_csv' END AS log_format
-FROM (SELECT * FROM iptables_lines UNION ALL SELECT * FROM fortinet_lines UNION ALL SELECT * FROM paloalto_lines UNION ALL SELECT * FROM csv_lines) u
+FROM (SELECT file_path, line_no, line FROM iptables_lines UNION ALL SELECT * FROM {_PF_LINES} pf UNION ALL SELECT file_path, line_no, line FROM fortinet_lines
+  UNION ALL SELECT file_path, line_no, line FROM paloalto_lines UNION ALL SELECT DISTINCT file_path, 1, '{_PALO_HEADER}' FROM paloalto_lines
+  UNION ALL SELECT file_path, line_no, line FROM headed_csv_lines) u
 GROUP BY file_path""",
-        "iptables_lines", "fortinet_lines", "paloalto_lines", "csv_lines",
+        *_MIXED_VIEWS,
     ),
 )
+_CSV_PARTS = """SELECT file_path, line_no, c, CAST(split_part(file_path, '-', 2) AS INT) % 2 = 0 AS dated
+FROM (SELECT file_path, line_no, string_split(replace(line, '"', ''), ',') AS c FROM headed_csv_lines WHERE line_no > 1) q"""
+_CSV_SQL = f"""SELECT file_path, line_no, CASE WHEN dated THEN c[1] ELSE c[7] END AS timestamp, CASE WHEN dated THEN c[2] ELSE c[5] END AS src_ip,
+  CASE WHEN dated THEN c[4] ELSE c[2] END AS dst_ip, CAST(CASE WHEN dated THEN c[3] ELSE c[4] END AS INT) AS src_port,
+  coalesce(TRY_CAST(CASE WHEN dated THEN c[5] ELSE c[3] END AS INT), 0) AS dst_port, c[6] AS protocol,
+  CASE WHEN regexp_matches(lower(CASE WHEN dated THEN c[7] ELSE c[1] END), 'deny|drop|block|reject') THEN 'deny' ELSE 'allow' END AS action,
+  CASE WHEN dated THEN 'windows_fw' ELSE 'generic_csv' END AS log_format
+FROM ({_CSV_PARTS}) p WHERE CASE WHEN dated THEN c[5] ELSE c[3] END <> 'bad'"""
+_COMMON = "file_path, line_no, timestamp, src_ip, dst_ip, src_port, dst_port, protocol, action"
+_MIXED_SQL = f"""SELECT {_COMMON}, 'iptables' AS log_format FROM ({_IPTABLES_SQL}) a
+UNION ALL SELECT {_COMMON}, 'pfsense' FROM ({_IPTABLES_SQL.replace('FROM iptables_lines', f'FROM {_PF_LINES} pf')}) b
+UNION ALL SELECT {_COMMON}, 'fortinet_syslog' FROM ({_FORTINET_SQL}) c
+UNION ALL SELECT {_COMMON}, 'paloalto_csv' FROM ({_PALO_SQL}) d
+UNION ALL SELECT {_COMMON}, log_format FROM ({_CSV_SQL}) e"""
+QUERIES["fw_parse_mixed"] = (lambda x: _entries(fw.parse_detected(_mixed_lines(x)), "log_format"), oracle(_MIXED_SQL, *_MIXED_VIEWS))
 QUERIES["fw_load_counts"] = (
-    lambda x: firewall.load_counts(fw.parse_fortinet(x.view("fortinet_lines")).withColumn("log_format", F.lit("fortinet_syslog"))),
-    oracle(
-        f"""SELECT file_path, 'fortinet_syslog' AS log_format, count(*) AS total_entries FROM fortinet_lines
-WHERE {_kv('srcip', 'src')} IS NOT NULL GROUP BY file_path""",
-        "fortinet_lines",
-    ),
+    lambda x: firewall.load_counts(fw.parse_detected(_mixed_lines(x))),
+    oracle(f"SELECT file_path, log_format, count(*) AS total_entries FROM ({_MIXED_SQL}) m GROUP BY file_path, log_format", *_MIXED_VIEWS),
 )
 QUERIES["fw_summary"] = (
     lambda x: firewall.summary(x.fw_entries),

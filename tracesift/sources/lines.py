@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A split's row (path, offset, two numbers) stays near 200 bytes; this many
-# splits are safe to send to every executor, more are joined by shuffle.
-_MAX_BROADCAST_SPLITS = 100_000
-
 
 def log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines of text files with their 1-based number within the file.
 
     Files are split freely. Rows of one split carry consecutive ids, so a line's
     number is its place in its split plus the lines of the splits before it. The
-    per-split counts are one small aggregate; nothing is sorted globally. Bytes
+    per-split counts are one small aggregate; nothing is sorted globally, and Spark
+    chooses the join from its size. Bytes
     that are no UTF-8 become replacement characters when the text is used.
     """
     raw = spark.read.text(paths).select(
@@ -29,8 +26,6 @@ def log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     starts = splits.select(
         "file_path", "_block", "_base", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before")
     )
-    if raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= _MAX_BROADCAST_SPLITS:
-        starts = F.broadcast(starts)
     number = F.col("_id") - F.col("_base") + F.col("_before") + 1
     return raw.join(starts, ["file_path", "_block"]).select("file_path", number.alias("line_no"), "line")
 
