@@ -1,11 +1,10 @@
 import json
-import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracesift.operators import firewall, netops
-from tracesift.sources import captures, inventory, lines, packets, reports, sinks, techniques, zeek
+from tracesift.operators import firewall
+from tracesift.sources import inventory, lines, packets, reports, sinks, techniques, zeek
 from tracesift.sources import firewall as fw
 from tracesift.schemas import SCHEMAS
 from tracesift.streaming import windows
@@ -98,63 +97,6 @@ def test_zeek_folder(spark, tmp_path):
     assert t.cleartext_creds.head().protocol == "FTP::Cleartext" and t.weird_events.head().name == "odd"
 
 
-def frame(src, dst, proto, body, ttl=64, ip_id=1):
-    ip = struct.pack("!BBHHHBBH4s4s", 0x45, 0, 20 + len(body), ip_id, 0, ttl, proto, 0, bytes(map(int, src.split("."))), bytes(map(int, dst.split("."))))
-    return b"\x02" * 6 + b"\x04" * 6 + b"\x08\x00" + ip + body
-
-
-def tcp(sport, dport, payload=b"", flags=2):
-    return struct.pack("!HHIIBBHHH", sport, dport, 0, 0, 0x50, flags, 512, 0, 0) + payload
-
-
-def udp(sport, dport, payload):
-    return struct.pack("!HHHH", sport, dport, 8 + len(payload), 0) + payload
-
-
-def dns(name, answer=None):
-    q = b"".join(bytes([len(p)]) + p.encode() for p in name.split(".")) + b"\0" + struct.pack("!HH", 1, 1)
-    head = struct.pack("!HHHHHH", 7, 0x8180 if answer else 0x100, 1, 1 if answer else 0, 0, 0)
-    tail = b"\xc0\x0c" + struct.pack("!HHIH", 1, 1, 60, 4) + bytes(map(int, answer.split("."))) if answer else b""
-    return head + q + tail
-
-
-def hello(name):
-    ext = struct.pack("!HH", 0, len(name) + 5) + struct.pack("!HBH", len(name) + 3, 0, len(name)) + name
-    body = b"\x03\x03" + b"r" * 32 + b"\0" + struct.pack("!H", 2) + b"\x13\x01" + b"\x01\0" + struct.pack("!H", len(ext)) + ext
-    return b"\x16\x03\x01" + struct.pack("!H", len(body) + 4) + b"\x01" + len(body).to_bytes(3, "big") + body
-
-
-def test_capture_file(spark, tmp_path):
-    arp = b"\xff" * 6 + b"\x04" * 6 + b"\x08\x06" + struct.pack("!HHBBH", 1, 0x800, 6, 4, 1) + b"\x04" * 6 + bytes([10, 0, 0, 1]) + b"\0" * 6 + bytes([10, 0, 0, 9])
-    frames = [
-        frame("10.0.0.1", "8.8.8.8", 17, udp(999, 53, dns("a.example.com"))),
-        frame("8.8.8.8", "10.0.0.1", 17, udp(53, 999, dns("a.example.com", "1.2.3.4"))),
-        frame("10.0.0.1", "1.2.3.4", 6, tcp(5000, 443, hello(b"a.example.com"))),
-        frame("10.0.0.1", "1.2.3.4", 6, tcp(5001, 80, b"GET /x HTTP/1.1\r\nHost: h.test\r\n\r\n")),
-        frame("10.0.0.1", "10.0.0.2", 6, tcp(5002, 502, bytes([0, 1, 0, 0, 0, 6, 17, 0x83, 2]))),
-        frame("10.0.0.1", "10.0.0.3", 6, tcp(5003, 389, b"0\x0c\x80ab\x04zz")),
-        frame("10.0.0.1", "10.0.0.4", 1, bytes([11, 0, 0, 0])), arp,
-        frame("10.0.0.1", "1.2.3.4", 6, tcp(5000, 443), ttl=60),
-    ]
-    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
-    for i, f in enumerate(frames):
-        data += struct.pack("<IIII", 100 + i, 500000, len(f), len(f)) + f
-    (tmp_path / "t.pcap").write_bytes(data)
-    t = captures.load_captures(spark, str(tmp_path / "t.pcap"))
-    assert t.packets.count() == 9 and t.packets.agg(F.min("ts")).head()[0] == 100.5
-    assert [(r.query, r.qtype) for r in t.dns_queries.collect()] == [("a.example.com", "1")]
-    assert [(r.query, r.answer) for r in t.dns_responses.collect()] == [("a.example.com", "1.2.3.4")]
-    assert [r.sni for r in t.tls_handshakes.collect()] == ["a.example.com"]
-    assert [(r.method, r.host, r.path) for r in t.http_requests.collect()] == [("GET", "h.test", "/x")]
-    ot = t.ot_transactions.head()
-    assert (ot.unit_id, ot.function_code, ot.is_exception, ot.exception_code, ot.function_name) == (17, 3, True, 2, "Read Holding Registers")
-    assert [(r.protocol, r.port) for r in t.cleartext_creds.collect()] == [("LDAP-SimpleBind", 389)]
-    assert [r.description for r in t.icmp_errors.collect()] == ["TTL exceeded in transit"]
-    assert netops.arp_health(t.packets).head().requests == 1
-    loops = packets.loop_packets(t.packets.where("ip_proto = 6 and dst_ip = '1.2.3.4'")).collect()
-    assert [(r.ttl, r.prev_ttl) for r in loops] == [(60, 64)]
-
-
 def test_s7_and_dnp3(spark):
     s7 = bytes.fromhex("0300001902f080") + b"2" + bytes([1, 0, 0, 0, 0, 0, 0x28, 0, 1])
     dnp = bytes.fromhex("056405c401000a0000000000c00d")
@@ -183,16 +125,22 @@ def test_reports_and_listing(spark, tmp_path):
     assert (meta.name, meta.line_count, meta.size_bytes) == ("a.md", 2, 7)
 
 
-def test_html_fragments_and_json(spark, one):
+def test_visible_text_and_character_references(spark, one):
     page = "<html><!-- c --><head><title>T&amp;x</title><script>var a='</p>';</script></head><body><nav>n</nav><p>Hi <b>you</b></p>&nbsp;</body></html>"
     df = spark.createDataFrame([(1, page)], "k int, html string")
     assert reports.html_reports(df, "k", "html").head().text == "T&x\nHi\nyou"
-    assert reports.join_fragments("exam-\nple text\n12\n• item\nmore\n\n" + "x" * 40) == "example text\n• item\nmore\n\n" + "x" * 40
-    assert json.loads(reports.close_json('{"a": [{"b": 1}, {"c": 2')) == {"a": [{"b": 1}]}
-    assert reports.close_json("[1") is None
-    rows = spark.createDataFrame([(1, '```json\n{"a": 1}\n```'), (2, '{"a": [1, 2], "b": {"c": "d'), (3, "no")], "k int, t string")
-    got = {r.k: (r.json, r.repaired) for r in reports.parse_model_json(rows, "t", ["k"]).collect()}
-    assert got == {1: ('{"a": 1}', False), 2: ('{"a": [1, 2]}', True), 3: (None, False)}
+    text = "a&lt;b&gt; &#233;&#xE9;&#x1F600; &Eacute; &nosuch; & &amp;lt; &#0; &#xD800; AT&T &copy"
+    assert one(reports.unescaped(F.lit(text))) == "a<b> éé\U0001F600 É &nosuch; & &lt; &#0; &#xD800; AT&T &copy"
+
+
+def test_relative_paths_repeat_the_folder_name(spark, tmp_path):
+    base = tmp_path / "reports" / "x y" / "reports"
+    (base / "reports").mkdir(parents=True)
+    (base / "a.txt").write_text("1")
+    (base / "reports" / "b.txt").write_text("2")
+    found = {r.report_path: r.subdirectory for r in reports.read_reports(spark, str(base)).collect()}
+    assert found == {"a.txt": "", "reports/b.txt": "reports"}
+    assert {r.relative_path for r in inventory.file_inventory(spark, str(base)).collect()} == set(found)
 
 
 def test_stix_bundles(spark, tmp_path):

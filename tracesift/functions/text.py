@@ -81,16 +81,19 @@ def refang_case_sensitive(text: Column | str) -> Column:
 
 
 def shannon_entropy(text: Column | str) -> Column:
-    """Bits per character, 0 for empty text."""
+    """Bits per character, 0 for empty text: one fold over the sorted characters' runs."""
     text = col(text)
-    chars = F.split(text, "")
     total = F.length(text)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / total
-    bits = F.aggregate(
-        F.array_sort(F.array_distinct(chars)),
-        F.lit(0.0),
-        lambda acc, c: acc - share(c) * F.log2(share(c)),
-    )
+    start = F.struct(F.lit("").alias("char"), F.lit(0).alias("run"), F.lit(0.0).alias("bits"))
+    ended = lambda s: s["bits"] - F.when(s["run"] > 0, s["run"] / total * F.log2(s["run"] / total)).otherwise(0.0)
+
+    def step(s: Column, c: Column) -> Column:
+        same = s["char"] == c
+        return F.struct(
+            c.alias("char"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), F.when(same, s["bits"]).otherwise(ended(s)).alias("bits")
+        )
+
+    bits = F.aggregate(F.array_sort(F.split(text, "")), start, step, ended)
     return F.when(total > 0, bits).otherwise(F.lit(0.0))
 
 
@@ -172,8 +175,8 @@ def report_type(path: Column | str) -> Column:
     return out.otherwise(fv.DEFAULT_REPORT_TYPE)
 
 
-def key_findings(text: Column | str, limit: int = 10) -> Column:
-    """Bullet lines longer than ten characters and numbered lines, first ``limit``."""
+def key_findings(text: Column | str, limit: int | None = None) -> Column:
+    """Bullet lines longer than ten characters and numbered lines; optionally the first ``limit``."""
     lines = F.transform(F.split(col(text), "\n"), strip)
     bullet = r"^[-*] "
     numbered = r"^\d+[.)]\s(.+)"
@@ -187,12 +190,14 @@ def key_findings(text: Column | str, limit: int = 10) -> Column:
         lines,
         lambda s: (s.rlike(bullet) & (F.length(finding(s)) > 10)) | (~s.rlike(bullet) & s.rlike(numbered)),
     )
-    return F.slice(F.transform(kept, finding), 1, limit)
+    found = F.transform(kept, finding)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
-def technique_ids(text: Column | str, limit: int = 20) -> Column:
+def technique_ids(text: Column | str, limit: int | None = None) -> Column:
     """Distinct technique ids in order of appearance."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(col(text), F.lit(fv.TECHNIQUE_ID), F.lit(0))), 1, limit)
+    found = F.array_distinct(F.regexp_extract_all(col(text), F.lit(fv.TECHNIQUE_ID), F.lit(0)))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def artifact_type(file_name: Column | str) -> Column:
@@ -208,23 +213,24 @@ def paragraph_chunks(text: Column | str, max_chars: int = 6000) -> Column:
     unless one paragraph alone is longer."""
     text = col(text)
     paragraphs = F.split(text, "\n\n")
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit(None).cast("string").alias("current"),
-        F.lit(0).alias("used"),
-    )
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("used"))
 
     def step(acc: Column, para: Column) -> Column:
+        # the array of chunk starts grows once a chunk, not once a paragraph
         need = F.length(para) + 2
-        full = (acc["used"] + need > max_chars) & acc["current"].isNotNull()
-        grown = F.when(acc["current"].isNull(), para).otherwise(F.concat(acc["current"], F.lit("\n\n"), para))
+        full = (acc["used"] + need > max_chars) & (acc["at"] > acc["first"])
         return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["current"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, para).otherwise(grown).alias("current"),
+            F.when(full, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
+            (acc["at"] + 1).alias("at"),
+            F.when(full, acc["at"]).otherwise(acc["first"]).alias("first"),
             F.when(full, need).otherwise(acc["used"] + need).alias("used"),
         )
 
-    split_up = F.aggregate(paragraphs, start, step, lambda a: F.concat(a["done"], F.array(a["current"])))
+    starts = F.aggregate(paragraphs, start, step, lambda a: F.concat(F.array(F.lit(0)), a["starts"]))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(paragraphs)))
+    spans = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+    split_up = F.transform(spans, lambda s: F.array_join(F.slice(paragraphs, s["a"] + 1, s["b"] - s["a"]), "\n\n"))
     return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(split_up)
 
 

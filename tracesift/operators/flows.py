@@ -148,7 +148,7 @@ def dns_activity(queries: DataFrame, responses: DataFrame, top: int = 30) -> Dat
     )
 
 
-def tls_by_name(handshakes: DataFrame, top: int = 30) -> DataFrame:
+def tls_by_name(handshakes: DataFrame, top: int | None = 30) -> DataFrame:
     """Top server names with handshake and distinct-destination counts."""
     named = handshakes.where(F.coalesce("sni", F.lit("")) != "")
     counted = named.groupBy("sni").agg(
@@ -299,9 +299,9 @@ def protocol_breakdown(
 
 def indicator_search(
     indicator: str, convs: DataFrame, queries: DataFrame, responses: DataFrame, requests: DataFrame,
-    handshakes: DataFrame, per_store: int = 100,
+    handshakes: DataFrame, per_store: int | None = None,
 ) -> DataFrame:
-    """Evidence for one address, port or name over all stores, first rows of each."""
+    """Evidence for one address, port or name over all stores; optionally the first rows of each."""
     value = indicator.strip()
     if not value:
         raise ValueError("indicator is required")
@@ -341,7 +341,7 @@ def indicator_search(
 
 def timeline(
     convs: DataFrame, queries: DataFrame, requests: DataFrame, handshakes: DataFrame | None = None,
-    ip: str | None = None, limit: int = 500, either_end: bool = True,
+    ip: str | None = None, limit: int | None = None, either_end: bool = True,
 ) -> DataFrame:
     """Connections, DNS, HTTP and TLS events in time order.
 

@@ -29,9 +29,9 @@ def _port_totals(convs: DataFrame) -> DataFrame:
     )
 
 
-def port_usage(convs: DataFrame, standard: int = 20, unknown: int = 15) -> DataFrame:
-    """Ports by category: standard and unknown-high are capped, ICS and
-    suspicious are not. A port named in two lists appears under both."""
+def port_usage(convs: DataFrame, standard: int | None = None, unknown: int | None = None) -> DataFrame:
+    """Ports by category, all of them unless the standard or unknown-high ones
+    are to be cut to the busiest. A port named in two lists appears under both."""
     port = F.col("dst_port")
     category = F.filter(
         F.array(
@@ -46,7 +46,7 @@ def port_usage(convs: DataFrame, standard: int = 20, unknown: int = 15) -> DataF
     )
     listed = _port_totals(convs).withColumn("category", F.explode(category))
     ranked = top_per_group(listed, ["category"], 65536, F.desc("flow_count"), F.asc("dst_port"), name="rank")
-    limit = F.when(F.col("category") == "standard", standard).when(F.col("category") == "unknown_high", unknown)
+    limit = F.when(F.col("category") == "standard", F.lit(standard)).when(F.col("category") == "unknown_high", F.lit(unknown))
     service = (
         F.when(F.col("category") == "standard", nw.lookup(port, fv.KNOWN_SERVICES))
         .when(F.col("category") == "ics", nw.lookup(port, fv.ICS_PORTS))
@@ -112,7 +112,7 @@ def beacons(
 # --- DNS -----------------------------------------------------------------------------------
 
 
-def dga_candidates(queries: DataFrame, min_label: int = 11, min_entropy: float = 3.5, top: int | None = 50) -> DataFrame:
+def dga_candidates(queries: DataFrame, min_label: int = 11, min_entropy: float = 3.5, top: int | None = None) -> DataFrame:
     """Names whose first label is long and of high entropy; ``top=None`` for all."""
     label = tx.domain_label("query")
     names = queries.where(F.col("query").contains(".")).select("query").distinct()
@@ -144,7 +144,7 @@ def txt_queries(queries: DataFrame) -> DataFrame:
     return txt.groupBy("src_ip", "query").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def frequent_names(queries: DataFrame, top: int = 20, min_count: int = 51) -> DataFrame:
+def frequent_names(queries: DataFrame, top: int | None = None, min_count: int = 51) -> DataFrame:
     """The most queried names, then only those above the threshold."""
     counted = queries.groupBy("query").agg(F.count(F.lit(1)).alias("cnt"))
     return top_n(counted, top, F.desc("cnt"), F.asc("query")).where(F.col("cnt") >= min_count)
@@ -153,7 +153,7 @@ def frequent_names(queries: DataFrame, top: int = 20, min_count: int = 51) -> Da
 # --- TLS ------------------------------------------------------------------------------------
 
 
-def tls_names(handshakes: DataFrame, named: int = 20, bare: int = 15) -> DataFrame:
+def tls_names(handshakes: DataFrame, named: int | None = None, bare: int | None = None) -> DataFrame:
     """Top server names, and top targets of handshakes without one."""
     names = tls_by_name(handshakes, named).select(
         F.lit("sni").alias("type"), F.col("sni").alias("target"), "cnt", "destinations"
@@ -187,16 +187,16 @@ def lateral_movement(convs: DataFrame, scan_above: int = 5) -> DataFrame:
     return found.withColumn("potential_scan", F.col("target_count") > scan_above)
 
 
-def lateral_flows(convs: DataFrame, per_source: int = 10) -> DataFrame:
+def lateral_flows(convs: DataFrame, per_source: int | None = None) -> DataFrame:
     """First flows of every such source, by target and port."""
     ranked = top_per_group(
-        _management_flows(convs), ["src_ip"], per_source,
+        _management_flows(convs), ["src_ip"], per_source or 1 << 30,
         F.asc("dst_ip"), F.asc("dst_port"), F.asc("proto"), name="flow_no",
     )
     return ranked.select("src_ip", "flow_no", "dst_ip", "dst_port", "service", "packets", "bytes_out")
 
 
-def horizontal_scans(convs: DataFrame, min_targets: int = 5, top: int = 15) -> DataFrame:
+def horizontal_scans(convs: DataFrame, min_targets: int = 5, top: int | None = None) -> DataFrame:
     """Sources that reach many internal hosts on one port."""
     inside = convs.where((F.col("dst_port") > 0) & nw.is_internal("src_ip") & nw.is_internal("dst_ip"))
     counted = inside.groupBy("src_ip", "dst_port").agg(F.countDistinct("dst_ip").alias("target_count"))

@@ -318,13 +318,13 @@ def near_report_times(events: DataFrame, marks: DataFrame, seconds: float = 300.
 # --- report text -----------------------------------------------------------------------------
 
 
-def search_reports(reports: DataFrame, query: str, per_report: int = 20) -> DataFrame:
-    """Lines that contain the text, first ones of each report, at most 200 characters."""
+def search_reports(reports: DataFrame, query: str, per_report: int | None = None) -> DataFrame:
+    """Lines that contain the text, at most 200 characters of each; optionally the first ones of each report."""
     if not query:
         raise ValueError("query is required")
     lines = reports.select("report_path", "name", "subdirectory", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
     hits = lines.where(F.col("line").contains(query.lower()))
-    shown = top_per_group(hits, ["report_path"], per_report, F.asc("pos"), name="hit_no")
+    shown = top_per_group(hits, ["report_path"], per_report or 1 << 30, F.asc("pos"), name="hit_no")
     text = F.concat(F.lit("Line "), (F.col("pos") + 1).cast("string"), F.lit(": "), F.substring(tx.strip("line"), 1, 200))
     return shown.select("report_path", "name", "subdirectory", "hit_no", text.alias("match"))
 
@@ -544,7 +544,7 @@ def stages_from_mappings(mappings: DataFrame) -> DataFrame:
     tactics come in attack order, others after them by first appearance and
     without a list of others.
     """
-    slug = F.replace(F.lower(F.coalesce("tactic", F.lit("unknown"))), F.lit(" "), F.lit("-"))
+    slug = F.replace(F.lower(F.coalesce(F.nullif("tactic", F.lit("")), F.lit("unknown"))), F.lit(" "), F.lit("-"))
     order = {t.lower().replace(" ", "-"): no for no, t in enumerate(fv.TACTIC_ORDER)}
     names = {t.lower().replace(" ", "-"): t for t in fv.TACTIC_ORDER}
     rows = mappings.withColumn("slug", slug).withColumn(

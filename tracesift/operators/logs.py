@@ -44,7 +44,7 @@ def _extracted(lines: DataFrame, pattern: str, sample_lines: int | None) -> Data
     return hits.where(F.col("value").isNotNull())
 
 
-def value_frequency(lines: DataFrame, pattern: str, limit: int = 10, sample_lines: int | None = 50000) -> DataFrame:
+def value_frequency(lines: DataFrame, pattern: str, limit: int = 10, sample_lines: int | None = None) -> DataFrame:
     """Most frequent values a pattern extracts: value, cnt, first file and line."""
     counted = (
         _extracted(lines, pattern, sample_lines)
@@ -56,7 +56,7 @@ def value_frequency(lines: DataFrame, pattern: str, limit: int = 10, sample_line
 
 
 def value_samples(
-    lines: DataFrame, pattern: str, limit: int = 10, sample_lines: int | None = 50000, samples: int = 3
+    lines: DataFrame, pattern: str, limit: int = 10, sample_lines: int | None = None, samples: int = 3
 ) -> DataFrame:
     """The first sample lines (200 characters) of each of the most frequent values."""
     top = value_frequency(lines, pattern, limit, sample_lines).select("value", "cnt")
@@ -65,7 +65,7 @@ def value_samples(
     return picked.select("value", "cnt", "sample_no", F.substring(tx.strip("line"), 1, 200).alias("sample"))
 
 
-def frequency_totals(lines: DataFrame, pattern: str, sample_lines: int | None = 50000) -> DataFrame:
+def frequency_totals(lines: DataFrame, pattern: str, sample_lines: int | None = None) -> DataFrame:
     """One row: lines read and lines the pattern matches."""
     hit = tx.first_match("line", resolve_pattern(pattern)).isNotNull()
     return first_lines(lines, sample_lines).agg(
@@ -88,7 +88,7 @@ def pattern_profile(lines: DataFrame, names: list[str] | None = None) -> DataFra
 def signature_discovery(
     lines: DataFrame,
     limit: int = 5,
-    sample_lines: int | None = 50000,
+    sample_lines: int | None = None,
     max_chars: int = 300,
     skip_rules: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -115,7 +115,7 @@ def signature_discovery(
     )
 
 
-def attack_pattern_scan(lines: DataFrame, limit: int = 5, sample_lines: int | None = 500) -> DataFrame:
+def attack_pattern_scan(lines: DataFrame, limit: int = 5, sample_lines: int | None = None) -> DataFrame:
     """Quick structural scan: no UUID rule, signatures cut at 200 characters."""
     found = signature_discovery(lines, limit, sample_lines, max_chars=200, skip_rules=("<UUID>",))
     share = F.format_string("%.0f", F.bround(F.col("cnt") / F.col("lines_processed") * 100, 0))
@@ -146,7 +146,7 @@ def section_scan(lines: DataFrame, workflow: str, limit: int = 10) -> DataFrame:
     return top.select("section", "rank", "value", "cnt")
 
 
-def address_activity(lines: DataFrame, ip: str, limit: int = 50) -> DataFrame:
+def address_activity(lines: DataFrame, ip: str, limit: int | None = None) -> DataFrame:
     """Lines naming an address, as ``L<n>: <text>``, in file order."""
     if not ip:
         raise ValueError("ip is required")
@@ -164,8 +164,8 @@ def investigate_totals(lines: DataFrame, term: str) -> DataFrame:
     )
 
 
-def investigate_lines(lines: DataFrame, term: str, limit: int = 20) -> DataFrame:
-    """First lines that contain the term."""
+def investigate_lines(lines: DataFrame, term: str, limit: int | None = None) -> DataFrame:
+    """Lines that contain the term; optionally the first ones."""
     hits = top_n(lines.where(tx.contains_text("line", term)), limit, F.col("file_path"), F.col("line_no"))
     return hits.select("file_path", "line_no", tx.strip("line").alias("line"))
 

@@ -241,7 +241,7 @@ def low_ttls(packets: DataFrame, below: int = 10) -> DataFrame:
 # --- DNS health -----------------------------------------------------------------------------
 
 
-def dns_unanswered(queries: DataFrame, responses: DataFrame, top: int | None = 15) -> DataFrame:
+def dns_unanswered(queries: DataFrame, responses: DataFrame, top: int | None = None) -> DataFrame:
     """Names that were asked for and never answered."""
     asked = queries.groupBy("query").agg(F.count(F.lit(1)).alias("queries"))
     answered = responses.select("query").distinct()
@@ -261,7 +261,7 @@ _WEIGHTS = {
 }
 
 
-def subnet_scores(packets: DataFrame, icmp_errors: DataFrame, loop_packets: DataFrame, top: int = 25) -> DataFrame:
+def subnet_scores(packets: DataFrame, icmp_errors: DataFrame, loop_packets: DataFrame, top: int | None = None) -> DataFrame:
     """Anomaly score of each internal /24.
 
     Each source of trouble is summed per address first; the union of those sums

@@ -26,7 +26,7 @@ def by_protocol(ot: DataFrame) -> DataFrame:
     )
 
 
-def flagged(ot: DataFrame, kind: str, limit: int | None = 20) -> DataFrame:
+def flagged(ot: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
     """Transactions of one kind (write, control, exception, diagnostic), by time."""
     if kind not in ("write", "control", "exception", "diagnostic"):
         raise ValueError("kind must be write, control, exception or diagnostic")

@@ -30,7 +30,10 @@ def evaluated_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
+def top_n(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """First n rows by the order; all rows in that order for ``None``."""
+    if n is None:
+        return df.orderBy(*order)
     return df.orderBy(*order).limit(positive("n", n))
 
 

@@ -143,7 +143,7 @@ SELECT concat('cap-', event_id % 4) AS capture, MICROS(ts) / 1e6 AS ts, '10.0.0.
     ELSE concat('n', event_id % 40, '.evil-corp', user_id % 4, '.com') END AS query,
   {_pick('A,AAAA,TXT,A,16,MX', 'event_id')} AS qtype,
   concat('203.0.113.', event_id % 90 + 1) AS answer, 'NOERROR' AS rcode
-FROM {{events}} WHERE event_type <> 'error'"""
+FROM {{events}}"""
 
 VIEWS["http_requests"] = f"""
 SELECT concat('cap-', page_id % 4) AS capture, 1704067200e0 + page_id * 2 AS ts,
@@ -324,7 +324,7 @@ VIEWS["technique_dim"] = f"""
 SELECT concat('T', 1000 + p_partkey % 330) AS technique_id, min(p_name) AS name,
   concat({_pick(_TACTICS, 'min(p_partkey)').replace('Command and Control', 'Command And Control')},
     CASE WHEN min(p_partkey) % 3 = 0 THEN ',Command And Control,Execution' WHEN min(p_partkey) % 3 = 1 THEN ',Initial Access' ELSE '' END) AS tactics
-FROM {{part}} WHERE p_type <> 'PROMO' GROUP BY concat('T', 1000 + p_partkey % 330)"""
+FROM {{part}} GROUP BY concat('T', 1000 + p_partkey % 330)"""
 
 _STEP_TECHNIQUE = "concat('T', 1000 + l_linenumber * 45 + l_partkey % 40)"
 VIEWS["path_steps"] = f"""
@@ -348,7 +348,7 @@ FROM (
   SELECT concat('rep-', {_whole('l_orderkey / 3')}) AS report_path, {_STEP_TECHNIQUE} AS technique_id,
     CASE WHEN l_linestatus = 'F' THEN '' WHEN l_tax > 0.06 THEN lower({_pick(_TACTICS, 'l_suppkey')}) ELSE {_pick(_TACTICS, 'l_suppkey')} END AS tactic,
     min(l_partkey) AS n
-  FROM {{lineitem}} WHERE l_returnflag <> 'N'
+  FROM {{lineitem}}
   GROUP BY concat('rep-', {_whole('l_orderkey / 3')}), {_STEP_TECHNIQUE},
     CASE WHEN l_linestatus = 'F' THEN '' WHEN l_tax > 0.06 THEN lower({_pick(_TACTICS, 'l_suppkey')}) ELSE {_pick(_TACTICS, 'l_suppkey')} END
 ) m"""

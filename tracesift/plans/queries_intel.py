@@ -152,7 +152,7 @@ QUERIES["search_reports"] = (
         f"""SELECT report_path, name, subdirectory, CAST(n AS INT) AS hit_no, concat('Line ', i, ': ', substr({strip('l')}, 1, 200)) AS match FROM (
 SELECT *, row_number() OVER (PARTITION BY report_path ORDER BY i) AS n FROM (SELECT report_path, name, subdirectory,
   unnest(string_split(lower(text), chr(10))) AS l, generate_subscripts(string_split(lower(text), chr(10)), 1) AS i FROM reports) s
-WHERE contains(l, 'exploits cve')) r WHERE n <= 20""",
+WHERE contains(l, 'exploits cve')) r""",
         "reports",
     ),
 )
@@ -169,14 +169,26 @@ QUERIES["report_profile"] = (
   coalesce((SELECT string_agg(f, '|' ORDER BY i) FROM (SELECT f, i FROM (SELECT i, CASE WHEN regexp_matches(s, '^[-*] ') THEN {strip('substr(s, 3)')}
       WHEN regexp_matches(s, '^\d+[.)]\s(.+)') THEN {strip("regexp_extract(s, '^[0-9]+[.)]\\s(.+)', 1)".replace(chr(92) * 2, chr(92)))} END AS f, regexp_matches(s, '^[-*] ') AS bullet
     FROM (SELECT {strip('unnest(string_split(text, chr(10)))')} AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i) a) b
-    WHERE f IS NOT NULL AND (NOT bullet OR length(f) > 10) ORDER BY i LIMIT 10) c), '') AS findings,
+    WHERE f IS NOT NULL AND (NOT bullet OR length(f) > 10) ORDER BY i) c), '') AS findings,
   coalesce((SELECT string_agg(t, ',' ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(regexp_extract_all(text, '{fv.TECHNIQUE_ID}')) AS t,
-    generate_subscripts(regexp_extract_all(text, '{fv.TECHNIQUE_ID}'), 1) AS i) d GROUP BY t ORDER BY i LIMIT 20) e), '') AS techniques
+    generate_subscripts(regexp_extract_all(text, '{fv.TECHNIQUE_ID}'), 1) AS i) d GROUP BY t ORDER BY i) e), '') AS techniques
 FROM reports""",
         "reports",
     ),
 )
-QUERIES["report_chunks"] = (lambda x: intel.report_chunks(x.reports, 6000), None)
+QUERIES["report_chunks"] = (
+    lambda x: intel.report_chunks(x.reports, 6000),
+    oracle(
+        """SELECT * FROM (WITH RECURSIVE p AS (SELECT report_path, text, string_split(text, chr(10) || chr(10)) AS ps FROM reports),
+f AS (SELECT report_path, 1 AS i, 0 AS chunk, length(ps[1]) + 2 AS used, ps FROM p WHERE length(text) > 6000
+  UNION ALL SELECT report_path, i + 1, CASE WHEN used + length(ps[i + 1]) + 2 > 6000 THEN chunk + 1 ELSE chunk END,
+    CASE WHEN used + length(ps[i + 1]) + 2 > 6000 THEN length(ps[i + 1]) + 2 ELSE used + length(ps[i + 1]) + 2 END, ps FROM f WHERE i < len(ps)),
+c AS (SELECT report_path, CAST(chunk AS INT) AS chunk_no, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS content FROM f GROUP BY 1, 2
+  UNION ALL SELECT report_path, 0, text FROM p WHERE length(text) <= 6000)
+SELECT *, CAST(greatest(1, length(content) // 4) AS INT) AS tokens FROM c) z""",
+        "reports",
+    ),
+)
 QUERIES["artifact_types"] = (
     lambda x: x.view("inventory").select("filename").distinct().select("filename", tx.artifact_type("filename").alias("artifact_type")),
     oracle(
@@ -187,12 +199,12 @@ QUERIES["artifact_types"] = (
 )
 QUERIES["text_measures"] = (
     lambda x: x.table("documents").select(
-        "doc_id", F.round(tx.shannon_entropy(F.substring("text", 1, 40)), 3).alias("entropy"), tx.token_estimate("text").alias("tokens"),
+        "doc_id", F.round(tx.shannon_entropy("text"), 3).alias("entropy"), tx.token_estimate("text").alias("tokens"),
         tx.blended_token_estimate("lang", "text").alias("blended"), tx.line_count("text").alias("lines"),
     ),
     oracle(
         """WITH e AS (SELECT doc_id, -sum(c / n * log2(c / n)) AS bits FROM (SELECT doc_id, ch, count(*) AS c, max(n) AS n FROM (
-    SELECT doc_id, length(substr(text, 1, 40)) AS n, unnest(string_split(substr(text, 1, 40), '')) AS ch FROM documents) a GROUP BY doc_id, ch) b GROUP BY doc_id)
+    SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS ch FROM documents) a GROUP BY doc_id, ch) b GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(bits, 0), 3) AS entropy,
   CAST(greatest(1, length(text) // 4) AS INT) AS tokens, CAST(floor((length(lang) // 4 + length(text) // 3) * 1.4::DOUBLE) AS INT) AS blended,
   CAST(len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS INT) AS lines FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id""",
@@ -213,34 +225,6 @@ c AS (SELECT page_id, {strip('p')} AS p, i FROM (SELECT page_id, unnest(string_s
 SELECT concat('page-', page_id) AS report_path, string_agg(p, chr(10) ORDER BY i) AS text FROM c WHERE p <> '' GROUP BY page_id""",
     ),
 )
-QUERIES["fragmented_text_repair"] = (
-    lambda x: rp.repaired_reports(
-        x.table("documents").select(F.concat(F.lit("doc-"), "doc_id").alias("report_path"), F.replace("text", F.lit(" "), F.lit("\n")).alias("text"))
-    ),
-    None,
-)
-
-
-def _model_output(x: Inputs) -> DataFrame:
-    """One JSON answer a conversation turn: fenced, plain or cut off."""
-    rows = x.table("conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("answer_id"), "conv_id", "turn",
-        F.to_json(F.struct(F.lit("x").alias("role"), F.array(F.struct(F.col("text").alias("value")), F.struct(F.col("role").alias("value"))).alias("iocs"))).alias("j"),
-    )
-    fenced = F.concat(F.lit("```json\n"), "j", F.lit("\n```"))
-    cut = F.expr("substring(j, 1, length(j) - 12)")
-    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
-    return rows.select("answer_id", F.when(kind == 0, fenced).when(kind == 1, F.col("j")).otherwise(cut).alias("answer"))
-
-
-QUERIES["model_json_repair"] = (
-    lambda x: rp.parse_model_json(_model_output(x), "answer", ["answer_id"]).select(
-        "answer_id", "repaired", F.get_json_object("json", "$.iocs[0].value").alias("value")
-    ),
-    oracle(
-        """SELECT concat(conv_id, '-', turn) AS answer_id, (conv_id + turn) % 3 = 2 AS repaired, text AS value FROM conversations""",
-    ),
-)
 
 # --- files with precedence ------------------------------------------------------------------------------------
 _INV = "root, priority, workspace, filename, object_path"
@@ -374,17 +358,18 @@ QUERIES["reconcile_mappings"] = (
     ),
     oracle(_RECONCILED, "path_steps", "technique_mappings", "technique_dim"),
 )
-_SLUG = "replace(lower(tactic), ' ', '-')"
+_SLUG = "coalesce(nullif(replace(lower(tactic), ' ', '-'), ''), 'unknown')"
 _SLUGS = [t.lower().replace(" ", "-") for t in fv.TACTIC_ORDER]
 _RANK = "CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 QUERIES["stages_from_mappings"] = (
-    lambda x: joined(intel.stages_from_mappings(x.mappings.where("tactic <> ''")), "additional_techniques"),
+    lambda x: joined(intel.stages_from_mappings(x.mappings), "additional_techniques"),
     oracle(
-        f"""WITH r AS (SELECT *, {_SLUG} AS slug, row_number() OVER (PARTITION BY report_path, {_SLUG} ORDER BY {_RANK} DESC, map_no) AS n FROM technique_mappings WHERE tactic <> ''),
+        f"""WITH r AS (SELECT *, {_SLUG} AS slug, row_number() OVER (PARTITION BY report_path, {_SLUG} ORDER BY {_RANK} DESC, map_no) AS n FROM technique_mappings),
 g AS (SELECT report_path, slug, max(technique_id) FILTER (WHERE n = 1) AS mitre_technique_id, max(technique_name) FILTER (WHERE n = 1) AS technique_claimed,
   coalesce(string_agg(technique_id, ',' ORDER BY n) FILTER (WHERE n > 1), '') AS additional_techniques, min(map_no) AS seen FROM r GROUP BY report_path, slug)
-SELECT report_path, {case_of('slug', dict(zip(_SLUGS, fv.TACTIC_ORDER)))} AS name, mitre_technique_id, technique_claimed, additional_techniques,
-  CAST(row_number() OVER (PARTITION BY report_path ORDER BY {case_of('slug', {s: n for n, s in enumerate(_SLUGS)})}, seen) AS INT) AS stage_no FROM g""",
+SELECT report_path, coalesce({case_of('slug', dict(zip(_SLUGS, fv.TACTIC_ORDER)))}, 'Unknown') AS name, mitre_technique_id, technique_claimed,
+  CASE WHEN slug = 'unknown' THEN '' ELSE additional_techniques END AS additional_techniques,
+  CAST(row_number() OVER (PARTITION BY report_path ORDER BY coalesce({case_of('slug', {s: n for n, s in enumerate(_SLUGS)})}, 100), seen) AS INT) AS stage_no FROM g""",
         "technique_mappings",
     ),
 )
@@ -461,15 +446,6 @@ LEFT JOIN ({_REQUIRED}) r ON r.attack_type = s.attack_type AND r.stage = s.name"
         "stages",
     ),
 )
-QUERIES["stage_requirements_listing"] = (
-    lambda x: x.stages.select("attack_type").distinct().join(F.broadcast(posture.stage_requirements(x.spark)), "attack_type"),
-    oracle(
-        " UNION ALL ".join(
-            f"SELECT '{a}' AS attack_type, {sql_text(s)} AS stage, '{kind}' AS relevance"
-            for a, kinds in fv.STAGE_REQUIREMENTS.items() for kind, stages in kinds.items() for s in stages
-        )
-    ),
-)
 QUERIES["missing_required_stages"] = (
     lambda x: posture.missing_required(x.stages),
     oracle(

@@ -61,15 +61,15 @@ ORDER BY cnt DESC, w LIMIT {limit}""",
 
 
 QUERIES["log_value_frequency_ip"] = (
-    lambda x: logs.value_frequency(x.doc_lines, "IP", 10, None),
+    lambda x: logs.value_frequency(x.doc_lines, "IP", 10),
     _frequency_sql("doc_lines", fv.LOG_PATTERNS["IP"], 10),
 )
 QUERIES["log_value_frequency_regex"] = (
-    lambda x: logs.value_frequency(x.access_lines, r"user[=:]\s?(?P<name>\w+)", 5, None),
+    lambda x: logs.value_frequency(x.access_lines, r"user[=:]\s?(?P<name>\w+)", 5),
     _frequency_sql("access_lines", r"user[=:]\s?(\w+)", 5),
 )
 QUERIES["log_value_samples"] = (
-    lambda x: logs.value_samples(x.access_lines, "HTTPSTATUS", 6, None),
+    lambda x: logs.value_samples(x.access_lines, "HTTPSTATUS", 6),
     oracle(
         f"""WITH hits AS (SELECT *, {_first_match(fv.LOG_PATTERNS['HTTPSTATUS'])} AS value FROM access_lines),
 top AS (SELECT value, count(*) AS cnt, min({{'file_path': file_path, 'line_no': line_no}}) AS w FROM hits WHERE value IS NOT NULL
@@ -81,7 +81,7 @@ SELECT * FROM r WHERE sample_no <= 3""",
     ),
 )
 QUERIES["log_frequency_totals"] = (
-    lambda x: logs.frequency_totals(x.doc_lines, "EMAIL", None),
+    lambda x: logs.frequency_totals(x.doc_lines, "EMAIL"),
     oracle(
         f"""SELECT count(*) AS lines_processed, count(*) FILTER (WHERE regexp_matches(line, {sql_text(fv.LOG_PATTERNS['EMAIL'])})) AS matches_found
 FROM doc_lines""",
@@ -113,7 +113,7 @@ t AS (SELECT CAST(sum(cnt) AS BIGINT) AS lines_processed, count(*) AS unique_pat
 
 
 QUERIES["signature_discovery"] = (
-    lambda x: logs.signature_discovery(x.doc_lines, 5, None),
+    lambda x: logs.signature_discovery(x.doc_lines, 5),
     _signature_sql(
         "doc_lines", 300, (),
         """SELECT signature, cnt, round(cnt / lines_processed * 100, 1) AS percentage, w.l AS example, lines_processed, unique_patterns
@@ -121,7 +121,7 @@ FROM g, t ORDER BY cnt DESC, w LIMIT 5""",
     ),
 )
 QUERIES["signature_discovery_access"] = (
-    lambda x: logs.signature_discovery(x.access_lines, 8, None),
+    lambda x: logs.signature_discovery(x.access_lines, 8),
     _signature_sql(
         "access_lines", 300, (),
         """SELECT signature, cnt, round(cnt / lines_processed * 100, 1) AS percentage, w.l AS example, lines_processed, unique_patterns
@@ -129,7 +129,7 @@ FROM g, t ORDER BY cnt DESC, w LIMIT 8""",
     ),
 )
 QUERIES["log_attack_pattern_scan"] = (
-    lambda x: logs.attack_pattern_scan(x.access_lines, 5, None),
+    lambda x: logs.attack_pattern_scan(x.access_lines, 5),
     _signature_sql(
         "access_lines", 200, ("<UUID>",),
         """SELECT concat('[', printf('%.0f', cnt / lines_processed * 100), '%] ', substr(signature, 1, 120)) AS value, cnt,
@@ -160,7 +160,7 @@ QUERIES["log_address_activity"] = (
     lambda x: logs.address_activity(x.access_lines, "10.0.0.8"),
     oracle(
         f"""SELECT file_path, line_no, concat('L', line_no, ': ', substr({strip('line')}, 1, 200)) AS line FROM access_lines
-WHERE contains(line, '10.0.0.8') ORDER BY file_path, line_no LIMIT 50""",
+WHERE contains(line, '10.0.0.8')""",
         "access_lines",
     ),
 )
@@ -169,7 +169,7 @@ QUERIES["log_investigate"] = (
     oracle(
         f"""SELECT file_path, line_no, {strip('line')} AS line, (SELECT count(*) FROM access_lines) AS lines_scanned,
 (SELECT count(*) FROM access_lines WHERE contains(lower(line), 'failed')) AS total_matches
-FROM access_lines WHERE contains(lower(line), 'failed') ORDER BY file_path, line_no LIMIT 20""",
+FROM access_lines WHERE contains(lower(line), 'failed')""",
         "access_lines",
     ),
 )

@@ -180,7 +180,7 @@ _STORES = ("convs", "dns_queries", "dns_responses", "http_requests", "tls_handsh
 
 
 def _search_sql(conv: str, query: str, answer: str, http: str, tls: str) -> str:
-    part = "(SELECT '{0}' AS store, {1} AS ts, src_ip, dst_ip, {2} AS detail FROM {3} WHERE {4} ORDER BY ts, src_ip, dst_ip, detail LIMIT 100)"
+    part = "(SELECT '{0}' AS store, {1} AS ts, src_ip, dst_ip, {2} AS detail FROM {3} WHERE {4})"
     return oracle(
         " UNION ALL ".join(
             part.format(*row)
@@ -234,7 +234,7 @@ QUERIES["timeline_of_host"] = (
 UNION ALL SELECT ts, 'dns', src_ip, dst_ip, query, NULL FROM dns_queries WHERE {_IP_ENDS.format('10.0.0.5')}
 UNION ALL SELECT ts, 'http', src_ip, dst_ip, concat(method, ' ', host, path), NULL FROM http_requests WHERE {_IP_ENDS.format('10.0.0.5')}
 UNION ALL SELECT ts, 'tls', src_ip, dst_ip, coalesce(sni, ''), NULL FROM tls_handshakes WHERE {_IP_ENDS.format('10.0.0.5')}) u
-ORDER BY ts, type, src_ip, dst_ip, detail LIMIT 500""",
+""",
         *_STORES,
     ),
 )
@@ -261,10 +261,10 @@ FROM (SELECT *, {_SPAN} AS d FROM convs) c""".replace("\\\\", "\\"),
 _PORT_TOTALS = """SELECT dst_port, count(*) AS flow_count, count(DISTINCT src_ip) AS source_count, count(DISTINCT dst_ip) AS destination_count,
   CAST(sum(bytes_out) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets FROM convs WHERE dst_port > 0 GROUP BY dst_port"""
 _CATEGORIES = (
-    ("standard", f"dst_port IN {ports(fv.KNOWN_SERVICES)}", case_of("dst_port", fv.KNOWN_SERVICES), 20),
+    ("standard", f"dst_port IN {ports(fv.KNOWN_SERVICES)}", case_of("dst_port", fv.KNOWN_SERVICES), 100000),
     ("ics", f"dst_port IN {ports(fv.ICS_PORTS)}", case_of("dst_port", fv.ICS_PORTS), 100000),
     ("suspicious", f"dst_port IN {ports(fv.SUSPICIOUS_PORTS)}", case_of("dst_port", fv.SUSPICIOUS_PORTS), 100000),
-    ("unknown_high", f"dst_port > 1024 AND dst_port NOT IN {ports(fv.KNOWN_SERVICES | fv.ICS_PORTS | fv.SUSPICIOUS_PORTS)}", "'unknown'", 15),
+    ("unknown_high", f"dst_port > 1024 AND dst_port NOT IN {ports(fv.KNOWN_SERVICES | fv.ICS_PORTS | fv.SUSPICIOUS_PORTS)}", "'unknown'", 100000),
 )
 _PORT_USAGE = " UNION ALL ".join(
     f"""(SELECT '{name}' AS category, CAST(row_number() OVER (ORDER BY flow_count DESC, dst_port) AS INT) AS rank, dst_port, {label} AS service, flow_count,
@@ -296,19 +296,19 @@ SELECT domain, label, max(n) AS label_length, -sum(c / n * log2(c / n)) AS entro
   SELECT domain, label, ch, count(*) AS c, max(length(label)) AS n FROM (SELECT domain, label, unnest(string_split(label, '')) AS ch FROM (
     SELECT DISTINCT query AS domain, CASE WHEN length(query) - length(replace(query, '.', '')) >= 2 THEN split_part(query, '.', 1) ELSE query END AS label
     FROM dns_queries WHERE contains(query, '.')) d WHERE length(label) > 10) e GROUP BY domain, label, ch) f GROUP BY domain, label) g WHERE entropy > 3.5"""
-QUERIES["dga_candidates"] = (lambda x: hunts.dga_candidates(x.queries, top=None), oracle(_DGA, "dns_queries"))
+QUERIES["dga_candidates"] = (lambda x: hunts.dga_candidates(x.queries), oracle(_DGA, "dns_queries"))
 _TUNNELS = r"""SELECT base_domain, count(DISTINCT sub) AS unique_subdomains FROM (
 SELECT regexp_extract(query, '([^.]*\.[^.]*)$', 1) AS base_domain, regexp_extract(query, '^(.*)\.[^.]*\.[^.]*$', 1) AS sub
 FROM dns_queries WHERE length(query) - length(replace(query, '.', '')) >= 2) q GROUP BY base_domain HAVING count(DISTINCT sub) > 20"""
 QUERIES["tunnel_candidates"] = (lambda x: hunts.tunnel_candidates(x.queries), oracle(_TUNNELS, "dns_queries"))
 _TXT = "SELECT src_ip, query, count(*) AS cnt FROM dns_queries WHERE qtype IN ('TXT', '16') GROUP BY src_ip, query"
 QUERIES["txt_queries"] = (lambda x: hunts.txt_queries(x.queries), oracle(_TXT, "dns_queries"))
-_FREQUENT = "SELECT * FROM (SELECT query, count(*) AS cnt FROM dns_queries GROUP BY query ORDER BY cnt DESC, query LIMIT 20) q WHERE cnt > 50"
+_FREQUENT = "SELECT * FROM (SELECT query, count(*) AS cnt FROM dns_queries GROUP BY query) q WHERE cnt > 50"
 QUERIES["frequent_names"] = (lambda x: hunts.frequent_names(x.queries), oracle(_FREQUENT, "dns_queries"))
 _TLS_NAMES = """(SELECT 'sni' AS type, sni AS target, count(*) AS cnt, count(DISTINCT dst_ip) AS destinations FROM tls_handshakes WHERE sni <> ''
-  GROUP BY sni ORDER BY cnt DESC, sni LIMIT 20)
+  GROUP BY sni)
 UNION ALL (SELECT 'no_sni', concat(dst_ip, ':', dst_port) AS target, count(*) AS cnt, 1 FROM tls_handshakes WHERE sni IS NULL OR sni = ''
-  GROUP BY target ORDER BY cnt DESC, target LIMIT 15)"""
+  GROUP BY target)"""
 QUERIES["tls_names"] = (lambda x: hunts.tls_names(x.handshakes), oracle(_TLS_NAMES, "tls_handshakes"))
 _LATERAL_ROWS = f"SELECT *, {case_of('dst_port', fv.LATERAL_PORTS)} AS svc FROM convs WHERE dst_port IN {ports(fv.LATERAL_PORTS)} AND {internal('src_ip')} AND {internal('dst_ip')}"
 _LATERAL = f"""SELECT src_ip, count(DISTINCT dst_ip) AS target_count, count(*) AS flow_count, array_to_string(list_sort(list(DISTINCT svc)), ',') AS services,
@@ -318,13 +318,12 @@ QUERIES["lateral_flows"] = (
     lambda x: hunts.lateral_flows(x.convs),
     oracle(
         f"""SELECT src_ip, CAST(n AS INT) AS flow_no, dst_ip, dst_port, svc AS service, packets, bytes_out FROM (
-SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY dst_ip, dst_port, proto) AS n FROM ({_LATERAL_ROWS}) q) r WHERE n <= 10""",
+SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY dst_ip, dst_port, proto) AS n FROM ({_LATERAL_ROWS}) q) r""",
         "convs",
     ),
 )
 _SCANS = f"""SELECT src_ip, dst_port, {service('dst_port')} AS service, target_count FROM (SELECT src_ip, dst_port, count(DISTINCT dst_ip) AS target_count
-  FROM convs WHERE dst_port > 0 AND {internal('src_ip')} AND {internal('dst_ip')} GROUP BY src_ip, dst_port HAVING count(DISTINCT dst_ip) >= 5) q
-ORDER BY target_count DESC, src_ip, dst_port LIMIT 15"""
+  FROM convs WHERE dst_port > 0 AND {internal('src_ip')} AND {internal('dst_ip')} GROUP BY src_ip, dst_port HAVING count(DISTINCT dst_ip) >= 5) q"""
 QUERIES["horizontal_scans"] = (lambda x: hunts.horizontal_scans(x.convs), oracle(_SCANS, "convs"))
 _ICS_CROSS = f"""SELECT src_ip, dst_ip, dst_port, proto, {case_of('dst_port', fv.ICS_LATERAL_PORTS)} AS service, packets, {loc('src_ip')} AS src_location,
   {loc('dst_ip')} AS dst_location FROM convs WHERE dst_port IN {ports(fv.ICS_LATERAL_PORTS)} AND NOT ({internal('src_ip')} AND {internal('dst_ip')})"""
@@ -339,7 +338,7 @@ WHERE f.bytes_out >= 1048576 AND f.bytes_out / greatest(f.same_in + coalesce(r.b
 QUERIES["asymmetric_outbound"] = (lambda x: joined(hunts.asymmetric_outbound(x.convs), "ports"), oracle(_EXFIL, "convs"))
 _FINDINGS = f"""SELECT 'beacons' AS hunt, 'beacon' AS type, CASE WHEN confidence = 'HIGH' THEN 'critical' ELSE 'high' END AS severity,
   concat_ws(' ', src_ip, dst_ip, dst_port) AS subject, CAST(jitter_pct AS DOUBLE) AS metric FROM ({_BEACONS}) q
-UNION ALL SELECT * FROM (SELECT 'dns', 'dga_candidate', 'high', domain, CAST(entropy AS DOUBLE) FROM ({_DGA}) q ORDER BY entropy DESC, domain LIMIT 50) d
+UNION ALL SELECT 'dns', 'dga_candidate', 'high', domain, CAST(entropy AS DOUBLE) FROM ({_DGA}) q
 UNION ALL SELECT 'dns', 'tunnel_candidate', 'high', base_domain, CAST(unique_subdomains AS DOUBLE) FROM ({_TUNNELS}) q
 UNION ALL SELECT 'dns', 'txt_query', 'info', concat_ws(' ', src_ip, query), CAST(cnt AS DOUBLE) FROM ({_TXT}) q
 UNION ALL SELECT 'dns', 'high_frequency', 'info', query, CAST(cnt AS DOUBLE) FROM ({_FREQUENT}) q
@@ -411,7 +410,7 @@ QUERIES["ot_by_protocol"] = (
     ),
 )
 QUERIES["ot_controls"] = (
-    lambda x: ot.flagged(x.ot, "control", None),
+    lambda x: ot.flagged(x.ot, "control"),
     oracle("SELECT ts, src_ip, dst_ip, dst_port, protocol, coalesce(function_name, '?') AS function_name FROM ot WHERE is_control", "ot"),
 )
 QUERIES["ot_endpoints"] = (
@@ -615,7 +614,7 @@ QUERIES["low_ttls"] = (
     oracle("SELECT ttl, count(*) AS cnt FROM packets WHERE ttl < 10 GROUP BY ttl", "packets"),
 )
 QUERIES["dns_unanswered"] = (
-    lambda x: netops.dns_unanswered(x.queries, x.responses, None),
+    lambda x: netops.dns_unanswered(x.queries, x.responses),
     oracle(
         "SELECT query, count(*) AS queries FROM dns_queries WHERE query NOT IN (SELECT query FROM dns_responses) GROUP BY query",
         "dns_queries", "dns_responses",
@@ -644,7 +643,7 @@ QUERIES["subnet_scores"] = (
         f"""SELECT * FROM (SELECT subnet, rst * 2 + retransmit + icmp_errors * 5 + unanswered_arp + loop_packets * 10 + ip_conflicts * 50 + arp_requests // 100 AS score, rst, retransmit, icmp_errors,
   unanswered_arp, loop_packets, ip_conflicts, arp_requests, ips FROM (SELECT regexp_replace(ip, '\\.[0-9]+$', '.0/24') AS subnet, {', '.join(_SUM(c) for c in
   ('rst', 'retransmit', 'icmp_errors', 'unanswered_arp', 'loop_packets', 'ip_conflicts', 'arp_requests'))}, count(DISTINCT ip) AS ips
-  FROM ({_SCORES}) u WHERE {internal('ip')} GROUP BY 1) s) t WHERE score > 0 ORDER BY score DESC, subnet LIMIT 25""".replace("\\\\", "\\"),
+  FROM ({_SCORES}) u WHERE {internal('ip')} GROUP BY 1) s) t WHERE score > 0""".replace("\\\\", "\\"),
         "icmp", "loops",
     ),
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.operators.ranking import first_per_key, positive, top_n
@@ -13,18 +13,27 @@ from tracesift.operators.ranking import first_per_key, positive, top_n
 def file_inventory(spark: SparkSession, base: str) -> DataFrame:
     """Files below a folder: path, size, modification time. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    name = re.escape(base.rstrip("/").split("/")[-1])
-    relative = F.element_at(F.split("path", name + "/", 2), -1)
+    relative = relative_path(F.col("path"), base)
     return files.select("path", relative.alias("relative_path"), "length", "modificationTime")
 
 
-def directory_entries(files: DataFrame, prefix: str = "", max_results: int = 50) -> DataFrame:
+def relative_path(path: Column, base: str) -> Column:
+    """The part of a file's path below the folder ``base``, by the longest way the folder begins the path.
+
+    Paths are URIs and may be percent-encoded; the folder may lack its scheme.
+    """
+    plain = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    root = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", base).rstrip("/") + "/"
+    return F.when(plain.startswith(root), F.substring(plain, F.lit(len(root) + 1), F.length(plain))).otherwise(plain)
+
+
+def directory_entries(files: DataFrame, prefix: str = "", max_results: int | None = None) -> DataFrame:
     """Entries of a folder, folders first, then by name without regard to case."""
     first = F.split("relative_path", "/", 2)
     is_dir = F.size(first) > 1
     entries = files.groupBy(F.get(first, 0).alias("name"), is_dir.alias("is_dir")).agg(F.max("length").alias("length"))
     kept = entries.where(F.startswith(F.lower("name"), F.lit(prefix.lower())))
-    ordered = top_n(kept, positive("max_results", max_results), F.desc("is_dir"), F.asc(F.lower("name")), F.asc("name"))
+    ordered = top_n(kept, max_results if max_results is None else positive("max_results", max_results), F.desc("is_dir"), F.asc(F.lower("name")), F.asc("name"))
     return ordered.select(
         F.when(F.col("is_dir"), F.concat("name", F.lit("/"))).otherwise(F.col("name")).alias("name"),
         F.when(F.col("is_dir"), "directory").otherwise("file").alias("type"),

@@ -1,24 +1,14 @@
-"""Report text: corpus scan, HTML to text, text and JSON repair."""
+"""Report text: corpus scan and HTML to text."""
 
 from __future__ import annotations
 
-import html
-import json
-import re
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracesift.functions import fixed_values as fv
 from tracesift.functions import text as tx
 from tracesift.schemas import struct_of
-
-# task functions travel with the job, so executors need not have this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tracesift.sources.inventory import relative_path
 
 _GAP = "\ufdd0"
 HIDDEN_ELEMENTS = ("script", "style", "nav", "footer", "header")
@@ -27,16 +17,11 @@ HIDDEN_ELEMENTS = ("script", "style", "nav", "footer", "header")
 # --- corpus ----------------------------------------------------------------------------
 
 
-def _relative(base: str) -> Column:
-    inside = F.split(F.col("_metadata.file_path"), re.escape(base.rstrip("/").split("/")[-1]) + "/", 2)
-    return F.element_at(inside, -1)
-
-
 def read_reports(spark: SparkSession, base: str, generated: str = "generated") -> DataFrame:
     """Reports below a folder, whole text each; ``generated/`` is left out."""
     glob = "*.{" + ",".join(fv.REPORT_SUFFIXES) + "}"
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(base, wholetext=True)
-    rows = raw.select(_relative(base).alias("report_path"), F.col("value").alias("text"))
+    rows = raw.select(relative_path(F.col("_metadata.file_path"), base).alias("report_path"), F.col("value").alias("text"))
     parts = F.split("report_path", "/")
     return rows.where(F.get(parts, 0) != generated).select(
         "report_path", F.element_at(parts, -1).alias("name"),
@@ -69,23 +54,37 @@ def read_artifacts(spark: SparkSession, paths: str | list[str], kind: str = "chu
 # --- HTML --------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+_REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
 
-def visible_text(markup: Column | str) -> Column:
-    """Visible text of HTML: one line per text node, without hidden elements.
+def unescaped(text: Column) -> Column:
+    """Character references decoded: numeric ones by their code point, named ones of the fixed table.
 
-    Tags are removed by Spark; only the character-reference step is a pandas UDF,
-    because the list of named references is a Python library table.
+    Unknown names and references without a semicolon stay as they are.
     """
+    names = F.create_map(*(F.lit(x) for pair in fv.NAMED_CHARACTERS.items() for x in pair))
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        digits = F.when(name.rlike("^#[xX]"), F.substring(name, 3, 10)).otherwise(F.substring(name, 2, 10))
+        number = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(name.startswith("#"), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(
+            F.try_element_at(names, name))
+        return F.when((name != "") & char.isNotNull(), F.concat(char, F.substring(piece, F.length(name) + 3, F.length(piece)))).otherwise(piece)
+
+    pieces = F.split(text, "(?=&)")
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
+
+
+def visible_text(markup: Column | str) -> Column:
+    """Visible text of HTML: one line per text node, without hidden elements."""
     body = tx.col(markup) if isinstance(markup, str) else markup
     body = F.regexp_replace(body, r"(?s)<!--.*?-->", _GAP)
     for element in HIDDEN_ELEMENTS:
         body = F.regexp_replace(body, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", _GAP)
     body = F.regexp_replace(body, r"(?s)<[!/?a-zA-Z][^>]*>", _GAP)
-    pieces = F.transform(F.split(_unescape(body), _GAP), tx.strip)
+    pieces = F.transform(F.split(unescaped(body), _GAP), tx.strip)
     return F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
 
 
@@ -95,97 +94,3 @@ def html_reports(pages: DataFrame, key: str, markup: str, prefix: str = "") -> D
     return pages.select(
         path.alias("report_path"), path.alias("name"), F.lit("").alias("subdirectory"), visible_text(markup).alias("text")
     )
-
-
-# --- fragmented text -------------------------------------------------------------------------
-
-
-_BULLET = re.compile(r"^[•\-–*]\s|^\d+\.\s")
-_PAGE_NUMBER = re.compile(r"^\d{1,3}$")
-
-
-def join_fragments(text: str) -> str:
-    """Paragraph blocks of short lines become running text; bullets stay lines."""
-    blocks = []
-    for block in re.split(r"\n{2,}", text):
-        lines = [s for s in (line.strip() for line in block.split("\n")) if s]
-        if not lines:
-            continue
-        if sum(map(len, lines)) >= 30 * len(lines):
-            blocks.append("\n".join(lines))
-            continue
-        runs: list[list[str] | str] = []
-        for line in lines:
-            if _PAGE_NUMBER.match(line):
-                continue
-            if _BULLET.match(line):
-                runs.append(line)
-            elif runs and isinstance(runs[-1], list):
-                runs[-1].append(line)
-            else:
-                runs.append([line])
-        blocks.append("\n".join(r if isinstance(r, str) else _running(r) for r in runs))
-    return "\n\n".join(blocks)
-
-
-def _running(words: list[str]) -> str:
-    dehyphenated = re.sub(r"(\w)-\s(\w)", r"\1\2", " ".join(words))
-    return re.sub(r"  +", " ", dehyphenated).strip()
-
-
-@F.pandas_udf(T.StringType())
-def repair_text(text: pd.Series) -> pd.Series:
-    return text.map(join_fragments, na_action="ignore")
-
-
-def repaired_reports(reports: DataFrame) -> DataFrame:
-    """Reports whose fragmented blocks are joined. Blocks depend on the lines
-    before them, so this is a (vectorised) Python step over whole texts."""
-    return reports.withColumn("text", repair_text("text"))
-
-
-# --- model output ------------------------------------------------------------------------------
-
-
-def close_json(text: str | None) -> str | None:
-    """Longest prefix ending in a bracket that closes to a JSON object, else null."""
-    if not text or not text.startswith("{"):
-        return None
-    ends = [m.start() for m in re.finditer(r"[}\]]", text)]
-    for end in [e for e in reversed(ends) if e > len(text) - 4000][:30]:
-        head = text[: end + 1]
-        square, curly = head.count("[") - head.count("]"), head.count("{") - head.count("}")
-        if square < 0 or curly < 0:
-            continue
-        closed = head + "]" * square + "}" * curly
-        try:
-            if isinstance(json.loads(closed), dict):
-                return closed
-        except ValueError:
-            continue
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def _close_json(text: pd.Series) -> pd.Series:
-    return text.map(close_json, na_action="ignore")
-
-
-def without_fences(text: Column | str) -> Column:
-    """Text without a surrounding Markdown code fence."""
-    raw = tx.strip(text)
-    open_fence = F.regexp_replace(raw, r"^```(?:json)?\s*\n?", "")
-    return tx.strip(F.when(raw.startswith("```"), F.regexp_replace(open_fence, r"\n?```\s*$", "")).otherwise(raw))
-
-
-def parse_model_json(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """Valid JSON text per row: ``json`` and whether it had to be ``repaired``.
-
-    Rows that parse never leave the JVM; only the others go through the repair.
-    """
-    bare = rows.select(*keep, without_fences(column).alias("json"))
-    valid = F.try_parse_json("json").isNotNull()
-    good = bare.where(valid).select(*keep, "json", F.lit(False).alias("repaired"))
-    bad = bare.where(F.col("json").isNull() | ~valid)
-    fixed = bad.select(*keep, _close_json("json").alias("json"))
-    return good.unionByName(fixed.select(*keep, "json", F.col("json").isNotNull().alias("repaired")))
