@@ -104,6 +104,14 @@ def routing_loops(icmp_errors: DataFrame, min_routers: int = 2, min_messages: in
     )
 
 
+def routing_loop_sources(icmp_errors: DataFrame, min_routers: int = 2, min_messages: int = 5) -> DataFrame:
+    """Evidence of each routing loop: the routers that reported it, with their messages."""
+    found = routing_loops(icmp_errors, min_routers, min_messages).select("notified_host")
+    reported = icmp_errors.where(F.col("icmp_type") == 11).groupBy(F.col("dst_ip").alias("notified_host"), F.col("src_ip").alias("router")).agg(
+        F.count(F.lit(1)).alias("messages"))
+    return reported.join(found, "notified_host", "left_semi")
+
+
 def duplicate_loops(loop_packets: DataFrame) -> DataFrame:
     """Duplicate packets per path; a TTL is one byte, which bounds the array."""
     ttls = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("ttl", "prev_ttl")))))
@@ -185,6 +193,11 @@ def arp_conflicts(packets: DataFrame) -> DataFrame:
     return counted.where(F.col("macs") > 1)
 
 
+def arp_conflict_claims(packets: DataFrame) -> DataFrame:
+    """Evidence of each conflict: the address and every MAC that claims it."""
+    return _claims(packets).join(arp_conflicts(packets).select("ip"), "ip", "left_semi")
+
+
 def arp_unanswered(packets: DataFrame, min_requests: int = 2) -> DataFrame:
     """Targets asked for at least twice that never replied."""
     arp = arp_packets(packets)
@@ -324,6 +337,21 @@ def stp_summary(control_plane: DataFrame) -> DataFrame:
     )
 
 
+def control_plane_members(control_plane: DataFrame) -> DataFrame:
+    """Rows behind the summaries' counts: BPDUs per root and bridge, OSPF areas and routers, EIGRP AS numbers."""
+    stp, ospf, eigrp = (_messages(control_plane, p) for p in ("STP", "OSPF", "EIGRP"))
+    config = stp.where(F.col("msg_type") == "CONFIG")
+    parts = (
+        (config, "STP", "root_bridge"), (stp, "STP", "src"), (ospf, "OSPF", "area"), (ospf, "OSPF", "router_id"), (eigrp, "EIGRP", "as_number"),
+    )
+    counted = [
+        rows.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("messages"))
+        .select(F.lit(protocol).alias("protocol"), F.lit(name).alias("kind"), "value", "messages")
+        for rows, protocol, name in parts
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def redundancy_groups(control_plane: DataFrame, protocol: str) -> DataFrame:
     """HSRP or VRRP groups: messages, routers, states, priorities, virtual addresses.
 
@@ -360,34 +388,34 @@ def ospf_summary(control_plane: DataFrame) -> DataFrame:
 
 
 def ospf_neighbor_gaps(control_plane: DataFrame, gap_seconds: float = 40.0, dead_seconds: float = 120.0) -> DataFrame:
-    """Neighbour pairs whose hellos paused for longer than the threshold."""
+    """Neighbour pairs of a capture whose hellos paused for longer than the threshold."""
     hellos = _messages(control_plane, "OSPF").where(F.col("msg_type") == "Hello")
-    pairs = hellos.select(F.least("src", "dst").alias("ip_a"), F.greatest("src", "dst").alias("ip_b"), "ts")
-    stats = gap_statistics(pairs, ["ip_a", "ip_b"], "ts")
+    pairs = hellos.select("capture", F.least("src", "dst").alias("ip_a"), F.greatest("src", "dst").alias("ip_b"), "ts")
+    stats = gap_statistics(pairs, ["capture", "ip_a", "ip_b"], "ts")
     return stats.where(F.col("max_gap") > gap_seconds).select(
-        "ip_a", "ip_b", F.round("max_gap", 1).alias("max_gap"), F.col("n").alias("hellos"),
+        "capture", "ip_a", "ip_b", F.round("max_gap", 1).alias("max_gap"), F.col("n").alias("hellos"),
         (F.col("max_gap") > dead_seconds).alias("dead"),
     )
 
 
 def ospf_update_bursts(control_plane: DataFrame, steps: int = 10, seconds: float = 5.0) -> DataFrame:
-    """Windows in which the update ``steps`` places later comes within ``seconds``.
+    """Windows of a capture in which the update ``steps`` places later comes within ``seconds``.
 
     Such a pair lies in one time bucket or in two neighbouring ones. Every row
     is therefore also copied to the bucket before its own, and each bucket is
     scanned by itself; only rows of the bucket proper start a window.
     """
-    updates = _messages(control_plane, "OSPF").where(F.col("msg_type") == "LSUpdate").select("ts")
+    updates = _messages(control_plane, "OSPF").where(F.col("msg_type") == "LSUpdate").select("capture", "ts")
     bucket = epoch_bucket("ts", seconds)
     copies = updates.select(
-        "ts", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")),
+        "capture", "ts", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")),
                                 F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("own")))).alias("_copy")
-    ).select("ts", "_copy.bucket", "_copy.own")
-    order = Window.partitionBy("bucket").orderBy("ts", F.desc("own"))
+    ).select("capture", "ts", "_copy.bucket", "_copy.own")
+    order = Window.partitionBy("capture", "bucket").orderBy("ts", F.desc("own"))
     spans = copies.withColumn("span", F.lead("ts", steps).over(order) - F.col("ts"))
     found = spans.where(F.col("own") & (F.col("span") <= seconds))
     rate = F.when(F.col("span") > 0, F.lit(float(steps)) / F.col("span")).otherwise(999.0)
-    return found.select(F.col("ts").alias("burst_start"), "span", rate.alias("rate"))
+    return found.select("capture", F.col("ts").alias("burst_start"), "span", rate.alias("rate"))
 
 
 def ospf_burst_summary(control_plane: DataFrame) -> DataFrame:

@@ -518,10 +518,20 @@ class Inputs:
             "pos", "technique_id", F.concat(F.lit("name "), "technique_id").alias("technique_name"), "tactic", "confidence",
             F.lit("").alias("report_context"),
         )
+        step = F.struct("technique_id", F.lit("").alias("technique_name"), "tactic", F.array().cast("array<string>").alias("leads_to"))
+        path = F.struct("pos", F.concat(F.lit("p"), F.col("pos") % 2).alias("path_id"), F.lit("").alias("description"), F.array(step).alias("steps"))
+        graph = F.struct(
+            no_pos(F.collect_list(path)).alias("paths"),
+            F.collect_set(F.when(F.col("pos") % 3 == 0, F.col("technique_id"))).alias("convergence_points"),
+            F.collect_set(F.when(F.col("pos") % 3 == 1, F.col("technique_id"))).alias("branch_points"),
+        )
         maps = self.view("chunk_mappings").groupBy(*keys).agg(
-            no_pos(F.collect_list(mapping)).alias("additional_mitre_techniques")
+            no_pos(F.collect_list(mapping)).alias("additional_mitre_techniques"), graph.alias("attack_graph")
+        )
+        filled = F.create_map(F.lit("title"), F.col("report_path"), F.lit("part"), F.col("chunk_no").cast("string"))
+        return iocs.join(maps, keys).withColumn(
+            "report_metadata", F.when(F.col("chunk_no") % 2 == 1, filled).otherwise(F.create_map().cast("map<string,string>"))
         )
-        return iocs.join(maps, keys)
 
     @cached_property
     def stages(self) -> DataFrame:

@@ -262,6 +262,30 @@ QUERIES["merged_techniques"] = (
     lambda x: intel.merged_techniques(x.chunks).select("report_path", "technique_id", "tactic", "confidence"),
     oracle(f"SELECT report_path, technique_id, tactic, confidence FROM ({_FIRST_MAP}) f", "chunk_mappings"),
 )
+_IN_CHUNKS = """chunk_mappings m WHERE EXISTS (SELECT 1 FROM chunk_indicators c WHERE c.report_path = m.report_path AND c.chunk_no = m.chunk_no)"""
+QUERIES["merged_paths"] = (
+    lambda x: intel.merged_paths(x.chunks).select("report_path", "path_no", "path_id", F.get("steps", 0)["technique_id"].alias("technique_id")),
+    oracle(
+        f"""SELECT report_path, CAST(row_number() OVER (PARTITION BY report_path ORDER BY chunk_no, pos) AS INT) AS path_no, path_id, technique_id FROM (
+SELECT *, row_number() OVER (PARTITION BY report_path, path_id ORDER BY chunk_no, pos) AS n FROM (SELECT *, concat('p', pos % 2) AS path_id FROM {_IN_CHUNKS}) q) r WHERE n = 1""",
+        "chunk_indicators", "chunk_mappings",
+    ),
+)
+QUERIES["merged_points"] = (
+    lambda x: intel.merged_points(x.chunks),
+    oracle(
+        f"""SELECT DISTINCT report_path, CASE WHEN pos % 3 = 0 THEN 'convergence' ELSE 'branch' END AS kind, technique_id FROM {_IN_CHUNKS} AND pos % 3 < 2""",
+        "chunk_indicators", "chunk_mappings",
+    ),
+)
+QUERIES["merged_metadata"] = (
+    lambda x: intel.merged_metadata(x.chunks),
+    oracle(
+        f"""SELECT report_path, unnest(['title', 'part']) AS key, unnest([report_path, CAST(part AS VARCHAR)]) AS value FROM (
+SELECT report_path, min(chunk_no) AS part FROM {_IN_CHUNKS} AND chunk_no % 2 = 1 GROUP BY report_path) q""",
+        "chunk_indicators", "chunk_mappings",
+    ),
+)
 QUERIES["techniques_from_indicators"] = (
     lambda x: intel.techniques_from_indicators(
         intel.merged_indicators(x.chunks).withColumn("ioc_no", F.struct("chunk_no", "pos")), intel.merged_techniques(x.chunks)

@@ -549,6 +549,14 @@ WHERE routers >= 2 OR messages >= 5""",
         "icmp",
     ),
 )
+QUERIES["routing_loop_sources"] = (
+    lambda x: netops.routing_loop_sources(x.icmp_errors),
+    oracle(
+        """SELECT dst_ip AS notified_host, src_ip AS router, count(*) AS messages FROM icmp WHERE icmp_type = 11 AND dst_ip IN (
+SELECT dst_ip FROM icmp WHERE icmp_type = 11 GROUP BY dst_ip HAVING count(DISTINCT src_ip) >= 2 OR count(*) >= 5) GROUP BY 1, 2""",
+        "icmp",
+    ),
+)
 QUERIES["duplicate_loops"] = (
     lambda x: joined(netops.duplicate_loops(x.loop_packets), "ttls"),
     oracle(
@@ -587,6 +595,14 @@ FROM ({_BY_MAC}) m, (SELECT count(*) AS t FROM packets WHERE arp_op = 1) n ORDER
 )
 _CONFLICTS = "SELECT arp_spa AS ip, count(DISTINCT arp_sha) AS macs FROM packets WHERE arp_op IN (1, 2) GROUP BY arp_spa HAVING count(DISTINCT arp_sha) > 1"
 QUERIES["arp_conflicts"] = (lambda x: netops.arp_conflicts(x.packets), oracle(_CONFLICTS, "packets"))
+QUERIES["arp_conflict_claims"] = (
+    lambda x: netops.arp_conflict_claims(x.packets),
+    oracle(
+        f"""SELECT DISTINCT arp_spa AS ip, arp_sha AS mac FROM packets WHERE arp_op IN (1, 2) AND arp_spa IS NOT NULL AND arp_sha IS NOT NULL
+AND arp_spa IN (SELECT ip FROM ({_CONFLICTS}) c)""",
+        "packets",
+    ),
+)
 _UNANSWERED = """SELECT arp_tpa AS ip, count(*) AS requests FROM packets WHERE arp_op = 1 AND arp_tpa NOT IN (SELECT arp_spa FROM packets WHERE arp_op = 2)
 GROUP BY arp_tpa HAVING count(*) >= 2"""
 QUERIES["arp_unanswered"] = (lambda x: netops.arp_unanswered(x.packets), oracle(_UNANSWERED, "packets"))
@@ -659,6 +675,17 @@ QUERIES["stp_summary"] = (
     ),
 )
 
+QUERIES["control_plane_members"] = (
+    lambda x: netops.control_plane_members(x.control_plane),
+    oracle(
+        " UNION ALL ".join(
+            f"SELECT '{p}' AS protocol, '{c}' AS kind, CAST({c} AS VARCHAR) AS value, count(*) AS messages FROM control_plane WHERE protocol = '{p}' AND {c} IS NOT NULL{more} GROUP BY {c}"
+            for p, c, more in (("STP", "root_bridge", " AND msg_type = 'CONFIG'"), ("STP", "src", ""), ("OSPF", "area", ""), ("OSPF", "router_id", ""), ("EIGRP", "as_number", ""))
+        ),
+        "control_plane",
+    ),
+)
+
 
 def _groups(x: Inputs, protocol: str):
     shown = joined(netops.redundancy_groups(x.control_plane, protocol), "states", "priorities", "virtual_ips")
@@ -701,13 +728,13 @@ QUERIES["ospf_summary"] = (
 QUERIES["ospf_neighbor_gaps"] = (
     lambda x: netops.ospf_neighbor_gaps(x.control_plane),
     oracle(
-        """SELECT ip_a, ip_b, round(max(gap), 1) AS max_gap, count(*) AS hellos, max(gap) > 120 AS dead FROM (
-SELECT *, ts - lag(ts) OVER (PARTITION BY ip_a, ip_b ORDER BY ts) AS gap FROM (SELECT least(src, dst) AS ip_a, greatest(src, dst) AS ip_b, ts
-  FROM control_plane WHERE protocol = 'OSPF' AND msg_type = 'Hello') h) g GROUP BY ip_a, ip_b HAVING max(gap) > 40""",
+        """SELECT capture, ip_a, ip_b, round(max(gap), 1) AS max_gap, count(*) AS hellos, max(gap) > 120 AS dead FROM (
+SELECT *, ts - lag(ts) OVER (PARTITION BY capture, ip_a, ip_b ORDER BY ts) AS gap FROM (SELECT capture, least(src, dst) AS ip_a, greatest(src, dst) AS ip_b, ts
+  FROM control_plane WHERE protocol = 'OSPF' AND msg_type = 'Hello') h) g GROUP BY capture, ip_a, ip_b HAVING max(gap) > 40""",
         "control_plane",
     ),
 )
-_BURSTS = """SELECT ts AS burst_start, span, CASE WHEN span > 0 THEN 10 / span ELSE 999 END AS rate FROM (SELECT ts, lead(ts, 10) OVER (ORDER BY ts) - ts AS span
+_BURSTS = """SELECT capture, ts AS burst_start, span, CASE WHEN span > 0 THEN 10 / span ELSE 999 END AS rate FROM (SELECT capture, ts, lead(ts, 10) OVER (PARTITION BY capture ORDER BY ts) - ts AS span
 FROM control_plane WHERE protocol = 'OSPF' AND msg_type = 'LSUpdate') q WHERE span <= 5"""
 QUERIES["ospf_update_bursts"] = (lambda x: netops.ospf_update_bursts(x.control_plane), oracle(_BURSTS, "control_plane"))
 QUERIES["ospf_burst_summary"] = (
@@ -787,3 +814,45 @@ QUERIES["zeek_tls_handshakes"] = (
     ),
     oracle("SELECT ts, src_ip, dst_ip, dst_port, coalesce(sni, '') AS sni, 'TLSv12' AS version FROM tls_handshakes", "tls_handshakes"),
 )
+QUERIES["zeek_dns_queries"] = (
+    lambda x: zeek.dns_queries(zeek.parse_json_lines(_zeek_lines(x, "dns"), "dns")).select(F.round("ts", 6).alias("ts"), "src_ip", "dst_ip", "query", "qtype"),
+    oracle("SELECT round(ts, 6) AS ts, dst_ip AS src_ip, src_ip AS dst_ip, query, qtype FROM dns_responses", "dns_responses"),
+)
+
+
+def _page_lines(x: Inputs, log: str):
+    """JSON lines of http, notice and weird logs, one per request."""
+    rows = x.requests.select(
+        "ts", F.col("src_ip").alias("id.orig_h"), F.lit(40000).alias("id.orig_p"), F.col("dst_ip").alias("id.resp_h"), F.lit(80).alias("id.resp_p"),
+        "method", "host", F.col("path").alias("uri"),
+    )
+    more = {
+        "http": ["method", "host", "uri", F.lit(404).alias("status_code"), F.array(F.lit("text/html"), F.lit("x")).alias("resp_mime_types"), F.lit(7).alias("request_body_len")],
+        "notice": [F.when(F.col("method") == "GET", "FTP::Cleartext").when(F.col("method") == "PUT", "Scan::Port").otherwise("SSH::Password_Guessing").alias("note"),
+                   F.when(F.col("method") == "POST", F.col("`id.orig_h`")).alias("src"), F.col("host").alias("sub")],
+        "weird": [F.concat(F.lit("odd_"), "method").alias("name"), F.when(F.col("method") == "PUT", F.lit("")).otherwise(F.col("uri")).alias("addl")],
+    }
+    return rows.select(F.to_json(F.struct("ts", "`id.orig_h`", "`id.orig_p`", "`id.resp_h`", "`id.resp_p`", *more[log])).alias("line"))
+
+
+QUERIES["zeek_http_requests"] = (
+    lambda x: zeek.http_requests(zeek.parse_json_lines(_page_lines(x, "http"), "http")).select(
+        "ts", "src_ip", "dst_ip", "method", "host", "path", "status_code", "content_type", "request_len", "response_len"),
+    oracle(
+        """SELECT ts, src_ip, dst_ip, method, host, nullif(path, '') AS path, 404 AS status_code, 'text/html' AS content_type,
+  CAST(7 AS BIGINT) AS request_len, CAST(0 AS BIGINT) AS response_len FROM http_requests""",
+        "http_requests",
+    ),
+)
+QUERIES["zeek_cleartext_notices"] = (
+    lambda x: zeek.cleartext_creds(zeek.parse_json_lines(_page_lines(x, "notice"), "notice")).select("ts", "src_ip", "dst_ip", "protocol", "description"),
+    oracle(
+        """SELECT ts, src_ip, dst_ip, CASE WHEN method = 'GET' THEN 'FTP::Cleartext' ELSE 'SSH::Password_Guessing' END AS protocol, host AS description
+FROM http_requests WHERE method <> 'PUT'""",
+        "http_requests",
+    ),
+)
+QUERIES["zeek_weird_events"] = (
+    lambda x: zeek.weird_events(zeek.parse_json_lines(_page_lines(x, "weird"), "weird")).select("ts", "src_ip", "dst_ip", "name", F.coalesce("addl", F.lit("")).alias("addl")),
+    oracle("SELECT ts, src_ip, dst_ip, concat('odd_', method) AS name, CASE WHEN method = 'PUT' THEN '' ELSE path END AS addl FROM http_requests", "http_requests"),
+)
