@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +13,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesift.llm.common import strings
+from tracesift.llm.common import slices, strings, text_bytes
+from tracesift.llm.textkernel import words
 
-#: Words whose ids a worker keeps; when full it starts anew.
-CACHED_WORDS = 400_000
-#: Longer runs without white space are not kept.
-CACHED_CHARS = 64
-_CUT = re.compile("[ \t\n\r]+")
+#: Runs without white space whose ids a worker keeps; when full it starts anew.
+CACHED_RUNS = 1_200_000
+
+_PLAIN, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_PLAIN[[c for c in range(128) if chr(c).isalnum()]] = True
+#: No apostrophes, which begin contractions, and nothing that a special token holds.
+_MARK[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
 
 
 class BestFit:
@@ -72,50 +75,91 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_CACHE: dict[str, dict[str, np.ndarray]] = {}
+class Vocabulary:
+    """Ids of runs without white space, encoded once each and kept in flat arrays.
 
+    The tokenizer lower-cases, drops white space and joins nothing across it, nor
+    across the border of an ASCII letter or digit and a punctuation mark, so a
+    text's ids are those of its runs in order. Runs are known by their 64-bit
+    hash (with A-Z taken as a-z); two of ``CACHED_RUNS`` runs share one with
+    probability 4e-8.
+    """
 
-def token_ids(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of each text without special tokens, then ``end_id``.
+    def __init__(self, path: str):
+        self.path = path
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.begin, self.size, self.ids, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4"), 0
+
+    def _add(self, hashes: list[int], runs: list[str]) -> None:
+        encode = _tokenizer(self.path).encode_batch_fast
+        for k in range(0, len(runs), 8192):
+            found = [e.ids for e in encode(runs[k : k + 8192], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in found], np.int64)
+            ids = np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum()))
+            n = len(self.index)
+            self.begin, self.size, self.ids = (_roomy(x, need) for x, need in ((self.begin, n + len(sizes)), (self.size, n + len(sizes)), (self.ids, self.used + len(ids))))
+            self.begin[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+            self.size[n : n + len(sizes)] = sizes
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.index.update(zip(hashes[k : k + 8192], range(n, n + len(sizes)), strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts that ``offsets`` cut ``data`` into, each followed by ``end_id``, and where each text's begin."""
+        plain, mark = _PLAIN[data], _MARK[data]
+        cuts = np.zeros(len(data), bool)
+        cuts[1:] = (plain[:-1] & mark[1:]) | (mark[:-1] & plain[1:])
+        found = words(data, offsets, cuts)
+        unique, at, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
+        if len(self.index) + len(unique) > CACHED_RUNS:
+            self._clear()
+        keys = unique.tolist()
+        missing = [k for k, h in enumerate(keys) if h not in self.index]
+        if missing:
+            raw = data.tobytes()
+            spans = zip(found.starts[at[missing]].tolist(), found.ends[at[missing]].tolist(), strict=True)
+            self._add([keys[k] for k in missing], [raw[a:b].decode() for a, b in spans])
+        place = np.array([self.index[h] for h in keys], np.int64)[inverse]
+        sizes, starts = self.size[place], self.begin[place]
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        shift = np.repeat(starts - total[:-1], sizes)
+        body = self.ids[shift + np.arange(total[-1])]
+        bounds = total[found.first] + np.arange(len(offsets))
+        out = np.full(bounds[-1], end_id, "<u4")
+        keep = np.ones(len(out), bool)
+        keep[bounds[1:] - 1] = False
+        out[keep] = body
+        return out, bounds
+
+
+def _roomy(array: np.ndarray, need: int) -> np.ndarray:
+    return array if need <= len(array) else np.concatenate((array, np.zeros(max(need - len(array), len(array)), array.dtype)))
 
-    The tokenizer drops white space and joins nothing across it, so runs
-    between blanks are encoded once and looked up after that; the ids equal
-    those of the whole text.
-    """
-    known = _CACHE.setdefault(path, {})
-    runs = [[x for x in _CUT.split(t) if x] for t in texts]
-    missing = list({x for own in runs for x in own if x not in known})
-    if len(known) + len(missing) > CACHED_WORDS:
-        known.clear()
-        missing = list({x for own in runs for x in own})
-    local = {}
-    for k in range(0, len(missing), 4096):
-        part = missing[k : k + 4096]
-        for x, e in zip(part, _tokenizer(path).encode_batch(part, add_special_tokens=False), strict=True):
-            (known if len(x) <= CACHED_CHARS else local)[x] = e.ids
-    out = []
-    for own in runs:
-        ids: list[int] = []
-        for x in own:
-            ids += known[x] if x in known else local[x]
-        ids.append(end_id)
-        out.append(np.array(ids, "<u4"))
-    return out
+
+@cache
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 def _cutter(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = strings(batch, "text"), batch.column(0).to_pylist()
-            for k in range(0, len(texts), 256):
-                rows: list[tuple] = []
-                for key, ids in zip(keys[k : k + 256], token_ids(texts.slice(k, 256).to_pylist(), path, end_id), strict=True):
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes())))
-                doc, piece, start, length, crc = zip(*rows, strict=True)
+            texts, keys = strings(batch, "text"), batch.column(0)
+            for lo, hi in slices(texts):
+                ids, bounds = _vocabulary(path).encode(*text_bytes(texts, lo, hi), end_id)
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                doc = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(sizes[doc] - start, capacity)
+                begin = bounds[doc] + start
+                crc = [zlib.crc32(ids[b : b + n]) for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                    [keys.take(pa.array(doc + lo)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run

@@ -54,11 +54,13 @@ class Words:
     first: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """The words of the units that ``offsets`` cut ``data`` into; no word crosses a cut."""
+def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> Words:
+    """The words of the units that ``offsets`` cut ``data`` into; no word crosses a cut, nor a byte before which ``cuts`` is true."""
     n, units = len(data), len(offsets) - 1
     solid = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
+    if cuts is not None:
+        cut[:n] = cuts
     cut[offsets] = True
     cut[n] = True
     before = np.empty(n, bool)
