@@ -98,6 +98,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     machine = Machine(0.0, np.zeros(BUCKETS + STATS), rng.normal(0, 0.05, (BUCKETS + STATS, RANK)),
                       stats.mean(axis=0) if len(rows) else np.zeros(STATS), (stats.std(axis=0) if len(rows) else np.ones(STATS)) + 1e-3)
     if not len(rows):
+        machine.factors[:] = 0
         return machine
     share = np.clip(labels.mean(), 0.01, 0.99)
     machine.bias = float(np.log(share / (1 - share)))

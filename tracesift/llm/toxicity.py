@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesift.llm.common import fold, strings, table, training_texts
+from tracesift.session import discard, written_once
 
 #: Labelled documents that a fit reads at most, and toxic documents that a term must occur in.
 SAMPLE, LEAST_TOXIC = 20_000, 3
@@ -250,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, mos
     by the sample. The weights are fitted on one half with the lexicon of the
     other half, both ways. Without toxic rows every score is the base rate.
     """
-    chosen = training_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, "toxic", most, parts, held)
+    chosen = written_once(training_texts(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, "toxic", most, parts, held))
     x, y = [], []
     for half in (0, 1):
         model = Model(_counted(chosen, half)[0], np.zeros(len(FEATURES)), 0.0)
@@ -268,6 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, mos
         x += rows.column("x").to_pylist()
         y += rows.column("label").to_pylist()
     trie = _counted(chosen, None)[0]
+    discard(chosen)
     weight, bias = _logistic(np.array(x), (np.array(y) > 0).astype(float)) if x else (np.zeros(len(FEATURES)), 0.0)
     return Model(trie, weight, bias)
 
