@@ -1,4 +1,11 @@
-"""Removal of paragraphs that repeat across documents: MinHash bands, exact Jaccard, components."""
+"""Removal of paragraphs and passages that repeat across documents: MinHash bands, exact Jaccard, components.
+
+Whole paragraphs go through MinHash bands. A passage inside longer paragraphs, or
+across line breaks, has no paragraph of its own to compare; it is found by local
+minima: of the hashes of all runs of ``RUN`` words the smallest of every
+``SPAN`` successive ones is kept, so that two texts that share ``RUN + SPAN - 1``
+words share a kept run.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracesift.llm import similar_sets
 from tracesift.llm.common import slices, strings, text_bytes
-from tracesift.llm.textkernel import mix, newline_units, shingles, words
-from tracesift.session import written_once
+from tracesift.llm.textkernel import mix, newline_units, run_hashes, shingles, words
+from tracesift.session import discard, written_once
+
+#: Words of a run, and successive runs of which the smallest hash is kept: any 50 shared words hold a shared one.
+RUN, SPAN = 20, 31
 
+_RUNS = "doc_id long, print long, at int, line int, start long, n_chars int"
 _SIGNED = "doc_id long, paragraph int, start long, n_chars long, n_words int, rid long, bands array<long>, sig array<long>, text string"
 
 
@@ -51,11 +63,87 @@ def _signer(size: int, bands: int, rows: int, count: int, least_words: int):
     return run
 
 
+def _sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
+    """``pick`` over every stretch of ``size`` values, by doubling."""
+    out, done = values, 1
+    while 2 * done <= size:
+        out, done = pick(out[:-done], out[done:]), 2 * done
+    n = len(values) - size + 1
+    return out if done == size else pick(out[:n], out[size - done : size - done + n])
+
+
+def local_minima(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the runs that are smallest in some stretch of ``SPAN`` runs of one text."""
+    n = len(hashes) - RUN + 1
+    if n < SPAN:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    runs = run_hashes(hashes, RUN) | np.uint64(1)
+    inside = unit[: n - SPAN + 1] == unit[SPAN + RUN - 2 :]
+    least = np.where(inside, _sliding(runs, SPAN, np.minimum), np.uint64(0))
+    padded = np.concatenate((np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)))
+    kept = _sliding(padded, SPAN, np.maximum) == runs
+    kept[1:] &= (runs[1:] != runs[:-1]) | (unit[1:n] != unit[: n - 1])
+    places = np.flatnonzero(kept)
+    return places, runs[places]
+
+
+def _run_finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, ids = strings(batch, "text"), batch.column(0)
+        for lo, hi in slices(texts):
+            data, offsets = text_bytes(texts, lo, hi)
+            found = words(data, offsets)
+            places, prints = local_minima(found.hashes, found.unit)
+            if not len(places):
+                continue
+            owner = found.unit[places]
+            begins, ends, base = found.starts[places], found.ends[places + RUN - 1], offsets[owner]
+            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            breaks = np.concatenate(([0], np.cumsum(data == 10)))
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(owner + lo)), pa.array(prints.view(np.int64)), pa.array(places - found.first[owner], pa.int32()),
+                 pa.array(breaks[begins] - breaks[base], pa.int32()), pa.array(chars[begins] - chars[base], pa.int64()),
+                 pa.array(chars[ends] - chars[begins], pa.int32())],
+                names=["doc_id", "print", "at", "line", "start", "n_chars"])
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """One row per passage of which documents share a kept run, overlapping runs of one text merged.
+
+    Columns as in ``repeated_paragraphs``; ``paragraph`` is the line where the
+    passage begins. A run's first occurrence, by id and place, is kept. The
+    passage covers the kept runs, so up to ``SPAN`` shared words may be left
+    outside on either side.
+    """
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    runs = written_once(texts.mapInArrow(_run_finder, _RUNS))
+    shared = runs.groupBy("print").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
+    places = written_once(runs.join(shared.select("print", "first_doc"), "print").dropDuplicates(["print", "doc_id", "at"]))
+    discard(runs)
+    first = places.where("doc_id = first_doc").groupBy("print").agg(F.min(F.struct("at", "line")).alias("origin"))
+    copies = places.groupBy("print").agg(F.count("*").alias("copies"))
+    decided = places.join(first, "print").join(copies, "print").withColumn(
+        "kept", (F.col("doc_id") == F.col("first_doc")) & (F.col("at") == F.col("origin.at")))
+    order = Window.partitionBy("doc_id", "kept").orderBy("at")
+    apart = F.coalesce(F.col("at") > F.lag("at").over(order) + RUN, F.lit(True))
+    merged = decided.withColumn("_new", apart.cast("int")).withColumn("_island", F.sum("_new").over(order)).groupBy("doc_id", "kept", "_island").agg(
+        F.min("line").alias("paragraph"), F.min("start").alias("start"), (F.max(F.col("start") + F.col("n_chars")) - F.min("start")).alias("n_chars"),
+        (F.max("at") - F.min("at") + RUN).cast("int").alias("n_words"), F.min(F.struct("first_doc", "origin.line")).alias("_origin"),
+        F.max("copies").alias("copies"))
+    return merged.select("doc_id", F.lit("passage").alias("kind"), "paragraph", "start", "n_chars", "n_words",
+                         F.col("_origin.first_doc").alias("component_doc"), F.col("_origin.line").alias("component_paragraph"), "copies", "kept")
+
+
+def repeated_texts(docs: DataFrame, **how) -> DataFrame:
+    """The repeated paragraphs and the repeated passages of ``docs``."""
+    return repeated_paragraphs(docs, **how).unionByName(repeated_passages(docs))
+
+
 def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 40, bands: int = 16, rows: int = 4) -> DataFrame:
     """One row per paragraph that occurs, word for word or similarly, in other documents too.
 
     Paragraphs are the lines of ``text`` with at least ``least_words`` words;
-    shorter ones are no passages but phrases and stay out. ``doc_id``,
+    shorter ones are no passages but phrases and stay out. ``doc_id``, ``kind``,
     ``paragraph`` (the line's number from 0), ``start`` and ``n_chars`` (in
     characters of the text, without blanks at its ends), ``n_words``,
     ``component_doc`` and ``component_paragraph`` (the first occurrence in the
@@ -83,19 +171,27 @@ def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least
         F.min("doc_id").alias("component_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("copies"),
         F.min(F.struct("doc_id", "paragraph"))["paragraph"].alias("component_paragraph")).where("component_doc <> last_doc")
     return places.join(groups, "component").select(
-        "doc_id", "paragraph", "start", "n_chars", "n_words", "component_doc", "component_paragraph", "copies",
+        "doc_id", F.lit("paragraph").alias("kind"), "paragraph", "start", "n_chars", "n_words", "component_doc", "component_paragraph", "copies",
         ((F.col("doc_id") == F.col("component_doc")) & (F.col("paragraph") == F.col("component_paragraph"))).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every repeated paragraph but the first occurrence cut out of its text.
+    """``docs`` with every repeated paragraph and passage but the first occurrence cut out of its text.
 
-    All rows and columns stay; a text may become empty. ``n_chars``, if there,
-    follows the new text.
+    All rows and columns stay; a text may become empty. Lines without words go
+    from texts that are cut. ``n_chars``, if there, follows the new text.
     """
-    cuts = repeated_paragraphs(docs, **how).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("paragraph").alias("_cut"))
-    joined = docs.join(cuts.withColumnRenamed("doc_id", "_cut_id"), F.col("doc_id") == F.col("_cut_id"), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_cut", i))
+    span = F.struct("start", F.col("n_chars").alias("length"))
+    cuts = repeated_texts(docs, **how).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_set(span)).alias("_cut"))
+    joined = docs.join(cuts, F.col("doc_id") == F.col("_cut_id"), "left")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(state, cut):
+        kept = F.when(cut["start"] > state["at"], F.substring("text", state["at"].cast("int") + 1, (cut["start"] - state["at"]).cast("int"))).otherwise("")
+        return F.struct(F.greatest(state["at"], cut["start"] + cut["length"]).alias("at"), F.concat(state["out"], kept).alias("out"))
+
+    rest = F.aggregate("_cut", start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"].cast("int") + 1, F.length("text"))))
+    lines = F.filter(F.split(rest, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
     shorter = joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -21,7 +21,7 @@ def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+    return paragraphs.repeated_texts(table(spark, folder, "documents"))
 
 
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:

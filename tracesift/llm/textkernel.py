@@ -33,7 +33,8 @@ _VALUE = mix(_LOWER.astype(np.uint64), 11)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse, kept for later calls."""
     if len(_POWERS[0]) < n:
         size = max(n, 1 << 16)
         for i, base in enumerate((_BASE, _INVERSE)):
@@ -71,7 +72,7 @@ def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None)
     after = np.zeros(n, bool)
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
-    power, inverse = _powers(n + 1)
+    power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
@@ -102,6 +103,16 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
 _WEIGHTS = [pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(16)]
 
 
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every ``size`` successive words, whatever their units, off one running sum."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    power, inverse = powers(len(hashes) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)], dtype=np.uint64)))
+    return mix((sums[size:] - sums[:-size]) * inverse[:n], 3)
+
+
 def newline_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cuts at line feeds too: the offsets of all lines, and each line's text number.
 
