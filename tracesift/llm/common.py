@@ -100,7 +100,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(
-            F.col("b").alias("a"), F.least("a", "_m").alias("b")).distinct()
+            F.col("b").alias("a"), F.least("a", "_m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("_m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("_m").alias("b")).distinct()
         after = written_once(small)

@@ -4,7 +4,8 @@ The items are classes of equal sets, each with band keys and a packed
 signature. Groups are never expanded into all pairs: in each bucket members are
 first tested against one hub; only buckets whose members still lie in several
 components are then compared pairwise, in blocks of bounded size, and only
-pairs between components whose signatures agree well enough leave the join.
+pairs between components whose finer signatures agree well enough leave the
+join.
 """
 
 from __future__ import annotations
@@ -16,28 +17,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesift.llm.common import components
-from tracesift.llm.textkernel import LOWER_BYTES, mix
+from tracesift.llm.common import components, slices, strings, text_bytes
+from tracesift.llm.textkernel import LOWER_BYTES, mix, shingles, words
 from tracesift.session import discard, written_once
 
-#: Low bits kept of each minimum; the most minima in a signature (16 to a long).
-BITS, MINIMA = 4, 128
+#: Minima in a signature and low bits kept of each (16 to a long).
+MINIMA, BITS = 128, 4
+#: The same for the finer signatures of members compared pairwise (64 to a long).
+FINE, FINE_BITS = 1536, 1
 #: Members of a bucket that one join key may hold on either side.
 BLOCK = 1024
-#: Rounds of testing members against a hub before buckets are compared pairwise.
-HUB_ROUNDS = 3
+#: Rounds over open buckets: members against another hub in all but the last, pairwise in the last.
+HUB_ROUNDS = 2
 #: Standard errors by which an estimate may fall short of the threshold.
-MARGIN = 6.0
+MARGIN = 5.5
 
-_A = mix(np.arange(MINIMA, dtype=np.uint64), 3) | np.uint64(1)
-_B = mix(np.arange(MINIMA, dtype=np.uint64), 4)
+_A = mix(np.arange(FINE, dtype=np.uint64), 3) | np.uint64(1)
+_B = mix(np.arange(FINE, dtype=np.uint64), 4)
 
 
 def minima(hashes: np.ndarray, count: int = MINIMA) -> np.ndarray:
     """The smallest value of each of ``count`` hash functions over a set's hashes (not empty)."""
     out = np.full(count, 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), 2048):
-        part = hashes[None, k : k + 2048] * _A[:count, None] + _B[:count, None]
+    step = (MINIMA << 11) // count
+    for k in range(0, len(hashes), step):
+        part = hashes[None, k : k + step] * _A[:count, None] + _B[:count, None]
         np.minimum(out, part.min(axis=1), out=out)
     return out
 
@@ -51,28 +55,30 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def packed(values: np.ndarray) -> np.ndarray:
-    """The low ``BITS`` bits of all minima, 16 to a long, for sets in rows of ``values``."""
-    low = (values & np.uint64(2**BITS - 1)).reshape(len(values), values.shape[1] * BITS // 64, 64 // BITS)
-    shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
+def packed(values: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low ``bits`` bits of all (scrambled) minima, 64 // ``bits`` to a long, for sets in rows of ``values``."""
+    low = (mix(values, 9) & np.uint64(2**bits - 1)).reshape(len(values), values.shape[1] * bits // 64, 64 // bits)
+    shifts = np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)
     return np.bitwise_or.reduce(low << shifts, axis=2).view(np.int64)
 
 
-def estimate(a: Column, b: Column, count: int) -> Column:
+def estimate(a: Column, b: Column, count: int, bits: int = BITS) -> Column:
     """Similarity from two packed signatures, corrected for minima that agree in their low bits by chance."""
     differing = F.lit(0)
-    for k in range(count * BITS // 64):
+    for k in range(count * bits // 64):
         x = a[k].bitwiseXOR(b[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    chance = 1 / 2**BITS
+        if bits == 4:  # one bit for each four of which any is set
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differing = differing + F.bit_count(x)
+    chance = 1 / 2**bits
     return (1 - differing / F.lit(float(count)) - chance) / (1 - chance)
 
 
-def least_estimate(threshold: float, count: int) -> float:
-    agree = threshold + (1 - threshold) / 2**BITS
-    return threshold - MARGIN * (agree * (1 - agree) / count) ** 0.5 / (1 - 1 / 2**BITS)
+def least_estimate(threshold: float, count: int, bits: int = BITS) -> float:
+    """The threshold less ``MARGIN`` standard errors of the estimate."""
+    agree = threshold + (1 - threshold) / 2**bits
+    return threshold - MARGIN * (agree * (1 - agree) / count) ** 0.5 / (1 - 1 / 2**bits)
 
 
 def shingle_set(text: str, size: int) -> set:
@@ -118,23 +124,47 @@ def _estimated(pairs: DataFrame, signatures: DataFrame, least: float, count: int
     )
 
 
-def _block_pairs(members: DataFrame, signatures: DataFrame, least: float, count: int) -> DataFrame:
-    """Pairs between components in each bucket, by joins of blocks of about ``BLOCK`` members."""
-    chunk = F.pmod(F.xxhash64("rid"), F.col("chunks"))
+def _finely_signed(texts: DataFrame, size: int) -> DataFrame:
+    """``rid``, ``fine`` (the finer signature), ``sig``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = strings(batch, "text")
+            for lo, hi in slices(column):
+                found = words(*text_bytes(column, lo, hi))
+                hashes, first = shingles(found.hashes, found.first, size)
+                fine = packed(np.stack([minima(hashes[a:b], FINE) for a, b in zip(first[:-1], first[1:], strict=True)]), FINE_BITS)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * fine.shape[1], pa.int32()), pa.array(fine.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, batch.column(2).slice(lo, hi - lo)], names=["rid", "fine", "sig"])
+
+    kind = texts.schema["rid"].dataType.simpleString()
+    return texts.select("rid", "text", "sig").mapInArrow(run, f"rid {kind}, fine array<long>, sig array<long>")
+
+
+def _block_pairs(members: DataFrame, signatures: DataFrame, percent: int, count: int) -> DataFrame:
+    """Pairs between components, by joins of blocks of about ``BLOCK`` members of one hub's buckets with fine signatures.
+
+    Members of all buckets of a hub meet once, however many buckets they share;
+    of several shared hubs only the smallest gives the pair.
+    """
+    distinct = members.select("hub", "rid", "component").distinct()
+    sizes = distinct.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    hubs = distinct.groupBy("rid").agg(F.collect_set("hub").alias("hubs"))
     rows = (
-        members.withColumn("chunks", F.ceil(F.col("n") / BLOCK))
-        .withColumn("chunk", chunk)
-        .join(signatures, "rid")
+        distinct.join(sizes, "hub")
+        .withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")))
+        .join(signatures.join(hubs, "rid"), "rid")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-        .select("key", "rid", "component", "sig", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+        .select("hub", "rid", "component", "fine", "sig", "hubs", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
     )
     a, b = rows.alias("a"), rows.alias("b")
     apart = (F.col("a.chunk") != F.col("b.chunk")) | (F.col("a.lo") == F.col("a.hi"))
     return a.join(b, [
-        F.col("a.key") == F.col("b.key"), F.col("a.lo") == F.col("b.lo"), F.col("a.hi") == F.col("b.hi"),
+        F.col("a.hub") == F.col("b.hub"), F.col("a.lo") == F.col("b.lo"), F.col("a.hi") == F.col("b.hi"),
         F.col("a.rid") < F.col("b.rid"), F.col("a.component") != F.col("b.component"), apart,
-        estimate(F.col("a.sig"), F.col("b.sig"), count) >= least,
-    ]).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+        estimate(F.col("a.sig"), F.col("b.sig"), count) >= least_estimate(percent / 100, count),
+        estimate(F.col("a.fine"), F.col("b.fine"), FINE, FINE_BITS) >= least_estimate(percent / 100, FINE, FINE_BITS),
+        F.col("a.hub") == F.array_min(F.array_intersect("a.hubs", "b.hubs")),
+    ]).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
 
 
 def similar_components(items: DataFrame, texts: DataFrame, size: int, percent: int, count: int = MINIMA) -> DataFrame:
@@ -151,16 +181,15 @@ def similar_components(items: DataFrame, texts: DataFrame, size: int, percent: i
     shared = postings.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub <> last")
     members = written_once(postings.join(shared.select("key", "hub"), "key").dropDuplicates(["key", "rid"]))
     ids = members.select("rid").distinct()
-    signatures = written_once(items.select("rid", "sig").join(ids, "rid", "left_semi").dropDuplicates(["rid"]))
-    needed = written_once(texts.select("rid", "text").join(ids, "rid", "left_semi").dropDuplicates(["rid"]))
+    needed = written_once(texts.select("rid", "text").join(
+        items.select("rid", "sig").join(ids, "rid", "left_semi").dropDuplicates(["rid"]), "rid").dropDuplicates(["rid"]))
+    signatures = needed.select("rid", "sig")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        proposed = written_once(_estimated(pairs, signatures, least, count))
-        passed = written_once(_verified(proposed, needed, size, percent))
-        discard(proposed)
-        return passed
+        return written_once(_verified(pairs, needed, size, percent))
 
-    links = tested(members.where(F.col("rid") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rid").alias("b")))
+    hubs = members.where(F.col("rid") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rid").alias("b"))
+    links = tested(_estimated(hubs, signatures, least, count))
     found = written_once(components(links))
     for turn in range(1, HUB_ROUNDS + 1):
         labelled = members.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
@@ -169,16 +198,21 @@ def similar_components(items: DataFrame, texts: DataFrame, size: int, percent: i
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
             F.min_by(F.struct("rid", "component"), F.xxhash64("rid", F.lit(turn))).alias("next")).where("lo <> hi and n > 2")
         mixed = written_once(labelled.join(open_keys.select("key", "next", "n"), "key").where(F.col("rid") != F.col("hub")))
+        if mixed.isEmpty():
+            discard(mixed)
+            break
         if turn < HUB_ROUNDS:
-            pairs = mixed.where(F.col("component") != F.col("next.component")).select(
+            hubs = mixed.where(F.col("component") != F.col("next.component")).select(
                 F.least("rid", "next.rid").alias("a"), F.greatest("rid", "next.rid").alias("b"))
+            more = tested(_estimated(hubs, signatures, least, count))
         else:
-            pairs = _block_pairs(mixed, signatures, least, count)
-        more = tested(pairs)
+            fine = written_once(_finely_signed(needed.join(mixed.select("rid").distinct(), "rid", "left_semi"), size))
+            more = tested(_block_pairs(mixed, fine, percent, count))
+            discard(fine)
         discard(mixed)
         if not more.isEmpty():
-            links = written_once(links.union(more))
-            found = written_once(components(links))
-    for done in (members, signatures, needed):
-        discard(done)
+            stars = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = written_once(components(stars.union(more)))
+    discard(members)
+    discard(needed)
     return found
