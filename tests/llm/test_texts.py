@@ -100,7 +100,8 @@ def test_estimate_follows_similarity(spark):
         assert abs(r["exact"] - r["four"]) < 0.06 and abs(r["exact"] - r["one"]) < 0.12
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similar_sets, "BLOCK", 8)  # several blocks to a hub
     rng = random.Random(3)
     texts = []
     for _ in range(6):
