@@ -49,6 +49,20 @@ class Trie:
         self.value: list[float | None] = [None]
         self.word: list[bool] = [False]
         self.halves: set[str] = set()
+        self.lexicon: list[dict[str, int]] = [{}]
+        self.lexicon_value: list[float | None] = [None]
+
+    def _add_word(self, plain: str, value: float) -> None:
+        """Lexicon words also stand in a trie of their own, which is small to walk with an automaton."""
+        node = 0
+        for c in plain:
+            after = self.lexicon[node].get(c)
+            if after is None:
+                after = self.lexicon[node][c] = len(self.lexicon)
+                self.lexicon.append({})
+                self.lexicon_value.append(None)
+            node = after
+        self.lexicon_value[node] = value
 
     def add(self, term: str, value: float, word: bool) -> None:
         node = 0
@@ -63,6 +77,7 @@ class Trie:
         self.value[node], self.word[node] = value, word
         if word:
             plain = term.rstrip("$")
+            self._add_word(plain, value)
             self.halves.add("<" + plain[: len(plain) // 2])
             self.halves.add(">" + plain[len(plain) // 2 :])
 
@@ -100,13 +115,9 @@ class Trie:
         stack = [(0, 1, 0b11 & full)]
         while stack:
             node, exact, edited = stack.pop()
-            if self.word[node] and (exact | edited) >> n & 1:
-                continue
-            for c, after in self.next[node].items():
-                if c == "$":
-                    if (exact | edited) >> n & 1 and self.word[after]:
-                        best = max(best, self.value[after] or 0.0)
-                    continue
+            if self.lexicon_value[node] is not None and (exact | edited) >> n & 1:
+                best = max(best, self.lexicon_value[node])
+            for c, after in self.lexicon[node].items():
                 mask = masks.get(c, 0)
                 same = (exact & mask) << 1
                 once = ((edited & mask) << 1) | exact | (exact << 1)
@@ -202,7 +213,7 @@ def build_trie(counted: list[tuple[str, int, int]], toxic: int, other: int) -> T
     for term in sorted(values, key=lambda t: (len(t), t)):
         if values[term] > 1 or any(term[:k] in kept for k in range(STEM, len(term))):
             kept.add(term)
-            trie.add(term, float(values[term]), term.endswith("$") and values[term] > 1.5 and len(term) > FUZZY)
+            trie.add(term, float(values[term]), term.endswith("$") and values[term] > 3 and len(term) > FUZZY)
     return trie
 
 
