@@ -203,6 +203,16 @@ def test_passages_of_fifty_words_are_found_anywhere(spark):
     assert paragraphs.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_a_passage_survives_whose_first_holder_is_a_cut_paragraph(spark):
+    rng = random.Random(21)
+    paragraph, passage = prose(rng, 220), prose(rng, 50)
+    texts = {1: paragraph, 2: paragraph + " " + passage, 5: f"{prose(rng, 90)} {passage} {prose(rng, 90)}", 7: f"{prose(rng, 60)} {passage} {prose(rng, 60)}"}
+    docs = docs_of(spark, [(i, t, None, None, None) for i, t in texts.items()])
+    after = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs).collect()}
+    assert after[1] == paragraph and after[2] == ""
+    assert after[5] == texts[5] and passage not in after[7]
+
+
 def test_paragraphs_of_odd_tables(spark):
     assert paragraphs.repeated_paragraphs(docs_of(spark, [])).count() == 0
     text = " ".join(WORDS[:60])

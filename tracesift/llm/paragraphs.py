@@ -9,7 +9,7 @@ words share a kept run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,8 +135,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def repeated_texts(docs: DataFrame, **how) -> DataFrame:
-    """The repeated paragraphs and the repeated passages of ``docs``."""
-    return repeated_paragraphs(docs, **how).unionByName(repeated_passages(docs))
+    """The repeated paragraphs of ``docs``, and the passages that repeat in what is left without those that are cut.
+
+    A passage's first occurrence is thus never inside a paragraph that is cut.
+    ``start`` and ``n_chars`` are places in the whole text; a passage may go on
+    behind a cut paragraph, whose words it does not count.
+    """
+    found = written_once(repeated_paragraphs(docs, **how))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    left = _cut_out(texts, found.where(~F.col("kept")), lambda cut: F.repeat(F.lit(" "), cut["length"].cast("int")))
+    return found.unionByName(repeated_passages(written_once(left.select("doc_id", "text"))))
 
 
 def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 40, bands: int = 16, rows: int = 4) -> DataFrame:
@@ -175,23 +183,29 @@ def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least
         ((F.col("doc_id") == F.col("component_doc")) & (F.col("paragraph") == F.col("component_paragraph"))).alias("kept"))
 
 
-def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every repeated paragraph and passage but the first occurrence cut out of its text.
-
-    All rows and columns stay; a text may become empty. Lines without words go
-    from texts that are cut. ``n_chars``, if there, follows the new text.
-    """
+def _cut_out(docs: DataFrame, spans: DataFrame, fill: Callable) -> DataFrame:
+    """``docs`` with the ``spans`` of their texts replaced by ``fill``; ``_cut`` is null where there are none."""
     span = F.struct("start", F.col("n_chars").alias("length"))
-    cuts = repeated_texts(docs, **how).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_set(span)).alias("_cut"))
+    cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_set(span)).alias("_cut"))
     joined = docs.join(cuts, F.col("doc_id") == F.col("_cut_id"), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state, cut):
         kept = F.when(cut["start"] > state["at"], F.substring("text", state["at"].cast("int") + 1, (cut["start"] - state["at"]).cast("int"))).otherwise("")
-        return F.struct(F.greatest(state["at"], cut["start"] + cut["length"]).alias("at"), F.concat(state["out"], kept).alias("out"))
+        return F.struct(F.greatest(state["at"], cut["start"] + cut["length"]).alias("at"), F.concat(state["out"], kept, fill(cut)).alias("out"))
 
     rest = F.aggregate("_cut", start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"].cast("int") + 1, F.length("text"))))
-    lines = F.filter(F.split(rest, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
+    return joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(rest))
+
+
+def without_repeats(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with every repeated paragraph and passage but the first occurrence cut out of its text.
+
+    All rows and columns stay; a text may become empty. Lines without words go
+    from texts that are cut. ``n_chars``, if there, follows the new text.
+    """
+    joined = _cut_out(docs, repeated_texts(docs, **how).where(~F.col("kept")), lambda cut: F.lit(""))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
     shorter = joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
