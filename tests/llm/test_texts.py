@@ -203,6 +203,23 @@ def test_passages_of_fifty_words_are_found_anywhere(spark):
     assert paragraphs.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_are_cut_whole(spark):
+    rng = random.Random(22)
+    passages = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(n)) for k, n in enumerate((50, 55, 90, 400))]
+    quoted = " ".join(passages[3].split()[200:235])  # a part of one, and held by the first document of all
+    texts = {0: f"{prose(rng, 40)} {quoted} {prose(rng, 40)}"}
+    for i in range(1, 25):
+        texts[i] = f"é {prose(rng, 300 + i)} before{i} {passages[i % 4]} after{i} {prose(rng, 300)}"
+    docs = docs_of(spark, [(i, t, None, None, None) for i, t in texts.items()])
+    after = {r["doc_id"]: r["text"].split() for r in paragraphs.without_repeats(docs).collect()}
+    for i in range(1, 25):
+        own = set(passages[i % 4].split())
+        left = own & set(after[i])
+        assert left == (set() if i > 4 else own if i % 4 != 3 else own - set(quoted.split()) if own - left else own)
+    for r in paragraphs.repeated_passages(docs).where("doc_id > 4").collect():
+        assert texts[r["doc_id"]][r["start"] :][: r["n_chars"]] == passages[r["doc_id"] % 4] and r["n_words"] == len(passages[r["doc_id"] % 4].split())
+
+
 def test_a_passage_survives_whose_first_holder_is_a_cut_paragraph(spark):
     rng = random.Random(21)
     paragraph, passage = prose(rng, 220), prose(rng, 50)

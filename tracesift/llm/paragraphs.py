@@ -4,7 +4,8 @@ Whole paragraphs go through MinHash bands. A passage inside longer paragraphs, o
 across line breaks, has no paragraph of its own to compare; it is found by local
 minima: of the hashes of all runs of ``RUN`` words the smallest of every
 ``SPAN`` successive ones is kept, so that two texts that share ``RUN + SPAN - 1``
-words share a kept run.
+words share a kept run. From there the two texts are compared word by word, in
+both directions, as far as they are equal.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from tracesift.session import discard, written_once
 #: Words of a run, and successive runs of which the smallest hash is kept: any 50 shared words hold a shared one.
 RUN, SPAN = 20, 31
 
-_RUNS = "doc_id long, print long, at int, line int, start long, n_chars int"
+_RUNS = "doc_id long, print long, at int"
+_STRETCHES = "doc_id long, kept boolean, lo int, hi int, line int, start long, end long, first_doc long, first_line int, copies long"
 _SIGNED = "doc_id long, paragraph int, start long, n_chars long, n_words int, rid long, bands array<long>, sig array<long>, text string"
 
 
@@ -91,47 +93,113 @@ def _run_finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids = strings(batch, "text"), batch.column(0)
         for lo, hi in slices(texts):
-            data, offsets = text_bytes(texts, lo, hi)
-            found = words(data, offsets)
+            found = words(*text_bytes(texts, lo, hi))
             places, prints = local_minima(found.hashes, found.unit)
-            if not len(places):
-                continue
-            owner = found.unit[places]
-            begins, ends, base = found.starts[places], found.ends[places + RUN - 1], offsets[owner]
-            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            breaks = np.concatenate(([0], np.cumsum(data == 10)))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owner + lo)), pa.array(prints.view(np.int64)), pa.array(places - found.first[owner], pa.int32()),
-                 pa.array(breaks[begins] - breaks[base], pa.int32()), pa.array(chars[begins] - chars[base], pa.int64()),
-                 pa.array(chars[ends] - chars[begins], pa.int32())],
-                names=["doc_id", "print", "at", "line", "start", "n_chars"])
+            if len(places):
+                owner = found.unit[places]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner + lo)), pa.array(prints.view(np.int64)), pa.array(places - found.first[owner], pa.int32())],
+                    names=["doc_id", "print", "at"])
+
+
+def _common(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
+    """How many values before ``a[i]`` and ``b[j]``, and from them on, are equal; in steps of growing size."""
+    before = after = 0
+    step = 64
+    while m := min(step, i - before, j - before):
+        other = np.flatnonzero(a[i - before - m : i - before] != b[j - before - m : j - before])
+        if len(other):
+            before += m - 1 - int(other[-1])
+            break
+        before, step = before + m, 2 * step
+    step = 64
+    while m := min(step, len(a) - i - after, len(b) - j - after):
+        other = np.flatnonzero(a[i + after : i + after + m] != b[j + after : j + after + m])
+        if len(other):
+            after += int(other[0])
+            break
+        after, step = after + m, 2 * step
+    return before, after
+
+
+class _Text:
+    """The words of one text, and where stretches of them lie."""
+
+    def __init__(self, text: str) -> None:
+        self.data = np.frombuffer(text.encode(), np.uint8)
+        self.words = words(self.data, np.array([0, len(self.data)]))
+        self.chars = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
+        self.breaks = np.concatenate(([0], np.cumsum(self.data == 10)))
+
+    def place(self, lo: int, hi: int) -> tuple[int, int, int]:
+        """Line, first and last character of the words ``lo`` to ``hi``."""
+        begin, end = self.words.starts[lo], self.words.ends[hi - 1]
+        return int(self.breaks[begin]), int(self.chars[begin]), int(self.chars[end])
+
+
+def _stretches(first: _Text, text: _Text, seeds: list[dict]) -> Iterator[tuple[int, int, int, int]]:
+    """(place in ``first``, place in ``text``, words, copies) of the whole equal stretch around every shared run."""
+    a, b = first.words.hashes, text.words.hashes
+    ends: dict[int, int] = {}
+    for seed in sorted(seeds, key=lambda x: x["at"]):
+        i, j = seed["origin_at"], seed["at"]
+        if j < ends.get(j - i, 0):  # within the stretch before, which lies on the same diagonal
+            continue
+        before, after = _common(a, b, i, j)
+        if after >= RUN:
+            ends[j - i] = j + after
+            yield i - before, j - before, before + after, seed["copies"]
+
+
+def _extender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, first = None, None
+    for batch in batches:
+        rows = []
+        for a, b, text_a, text_b, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if first is None or text_a != last:  # rows come sorted by the first text
+                last, first = text_a, _Text(text_a)
+            text = _Text(text_b)
+            for i, j, n, copies in _stretches(first, text, seeds):
+                line, begin, end = first.place(i, i + n)
+                rows.append((a, True, i, i + n, line, begin, end, a, line, copies))
+                rows.append((b, False, j, j + n, *text.place(j, j + n), a, line, copies))
+        if rows:
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                             names=[x.split()[0] for x in _STRETCHES.split(", ")])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per passage of which documents share a kept run, overlapping runs of one text merged.
+    """One row per passage that documents share, overlapping and touching ones of one text merged.
 
     Columns as in ``repeated_paragraphs``; ``paragraph`` is the line where the
-    passage begins. A run's first occurrence, by id and place, is kept. The
-    passage covers the kept runs, so up to ``SPAN`` shared words may be left
-    outside on either side.
+    passage begins. Shared runs are seeds: each is compared with the run's first
+    occurrence, by id and place, which is kept, and both are extended word by
+    word to the whole stretch that is equal. A word that is cut is thus equal to
+    one at an earlier place; going on from there ends at one that stays.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     runs = written_once(texts.mapInArrow(_run_finder, _RUNS))
     shared = runs.groupBy("print").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
     places = written_once(runs.join(shared.select("print", "first_doc"), "print").dropDuplicates(["print", "doc_id", "at"]))
     discard(runs)
-    first = places.where("doc_id = first_doc").groupBy("print").agg(F.min(F.struct("at", "line")).alias("origin"))
-    copies = places.groupBy("print").agg(F.count("*").alias("copies"))
-    decided = places.join(first, "print").join(copies, "print").withColumn(
-        "kept", (F.col("doc_id") == F.col("first_doc")) & (F.col("at") == F.col("origin.at")))
-    order = Window.partitionBy("doc_id", "kept").orderBy("at")
-    apart = F.coalesce(F.col("at") > F.lag("at").over(order) + RUN, F.lit(True))
-    merged = decided.withColumn("_new", apart.cast("int")).withColumn("_island", F.sum("_new").over(order)).groupBy("doc_id", "kept", "_island").agg(
-        F.min("line").alias("paragraph"), F.min("start").alias("start"), (F.max(F.col("start") + F.col("n_chars")) - F.min("start")).alias("n_chars"),
-        (F.max("at") - F.min("at") + RUN).cast("int").alias("n_words"), F.min(F.struct("first_doc", "origin.line")).alias("_origin"),
-        F.max("copies").alias("copies"))
+    first = places.groupBy("print").agg(F.min(F.when(F.col("doc_id") == F.col("first_doc"), F.col("at"))).alias("origin_at"), F.count("*").alias("copies"))
+    pairs = written_once(places.join(first, "print").where("doc_id <> first_doc or at <> origin_at").groupBy(
+        F.col("first_doc").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_list(F.struct("at", "origin_at", "copies")).alias("seeds")))
+    discard(places)
+    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    stretches = joined.select("a", "b", "text_a", "text_b", "seeds").mapInArrow(_extender, _STRETCHES)
+    longest = stretches.groupBy("doc_id", "kept", "lo").agg(
+        F.max(F.struct("hi", "end")).alias("_last"), F.min("line").alias("line"), F.min("start").alias("start"),
+        F.min(F.struct("first_doc", "first_line")).alias("_origin"), F.max("copies").alias("copies"))
+    order = Window.partitionBy("doc_id", "kept").orderBy("lo")
+    apart = F.coalesce(F.col("lo") > F.max("_last.hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    merged = longest.withColumn("_new", apart.cast("int")).withColumn("_island", F.sum("_new").over(order)).groupBy("doc_id", "kept", "_island").agg(
+        F.min("line").alias("paragraph"), F.min("start").alias("start"), (F.max("_last.end") - F.min("start")).alias("n_chars"),
+        (F.max("_last.hi") - F.min("lo")).cast("int").alias("n_words"), F.min("_origin").alias("_origin"), F.max("copies").alias("copies"))
     return merged.select("doc_id", F.lit("passage").alias("kind"), "paragraph", "start", "n_chars", "n_words",
-                         F.col("_origin.first_doc").alias("component_doc"), F.col("_origin.line").alias("component_paragraph"), "copies", "kept")
+                         F.col("_origin.first_doc").alias("component_doc"), F.col("_origin.first_line").alias("component_paragraph"), "copies", "kept")
 
 
 def repeated_texts(docs: DataFrame, **how) -> DataFrame:
