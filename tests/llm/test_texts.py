@@ -175,6 +175,27 @@ def test_repeated_paragraphs_equal_brute_force(spark):
             assert after[i]["n_chars"] == len(after[i]["text"])
 
 
+def test_short_repeated_paragraphs_equal_brute_force(spark):
+    rng = random.Random(23)
+    shared = [prose(rng, n) for n in (3, 4, 5, 6, 10, 25, 39)]
+    rows = []
+    for i in range(40):
+        lines = [prose(rng, rng.randrange(1, 50)) for _ in range(3)] + rng.sample(shared, 3)
+        lines.append(edited(rng, shared[-1], rng.randrange(2)))
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), None, None, None))
+    docs = docs_of(spark, rows)
+    lines = {(i, k): x for i, t, *_ in rows for k, x in enumerate(t.split("\n")) if len(x.split()) >= 5}
+    groups = {}
+    for k, c in brute_components({k: similar_sets.shingle_set(x, 5) for k, x in lines.items()}, 80).items():
+        groups.setdefault(c, []).append(k)
+    want = {k: c for c, ks in groups.items() if len({i for i, _ in ks}) > 1 for k in ks}
+    got = paragraphs.repeated_paragraphs(docs).collect()
+    assert {(r["doc_id"], r["paragraph"]): (r["component_doc"], r["component_paragraph"]) for r in got} == want and len(want) > 80
+    after = "\n".join(r["text"] for r in paragraphs.without_repeats(docs).collect()).split("\n")
+    assert [after.count(x) for x in shared[2:]] == [1] * 5
+
+
 def test_passages_of_fifty_words_are_found_anywhere(spark):
     rng = random.Random(11)
     passage = prose(rng, 51)

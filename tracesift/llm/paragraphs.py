@@ -40,26 +40,31 @@ def _signer(size: int, bands: int, rows: int, count: int, least_words: int):
                 lines, owner = newline_units(data, offsets)
                 found = words(data, lines)
                 lengths = np.diff(found.first)
-                chosen = np.flatnonzero(lengths >= least_words)
+                chosen = np.flatnonzero(lengths >= max(least_words, 1))
                 if not len(chosen):
                     continue
                 hashes, first = shingles(found.hashes, found.first, size)
                 begins, ends = found.starts[found.first[chosen]], found.ends[found.first[chosen + 1] - 1]
-                rids, values = np.zeros(len(chosen), np.uint64), np.zeros((len(chosen), count), np.uint64)
-                for k, i in enumerate(chosen):
-                    own = hashes[first[i] : first[i + 1]]
-                    rids[k] = (mix(own) * np.arange(1, 2 * len(own), 2, dtype=np.uint64)).sum(dtype=np.uint64)
-                    values[k] = similar_sets.minima(own, count)
+                within = (np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes) * (2 * within + np.uint64(1)), dtype=np.uint64)))
+                rids = sums[first[chosen + 1]] - sums[first[chosen]]
+                # of equal paragraphs only the first of a slice is signed
+                fresh = np.unique(rids, return_index=True)[1]
+                values = np.stack([similar_sets.minima(hashes[first[i] : first[i + 1]], count) for i in chosen[fresh]])
+                row = np.full(len(chosen), -1)
+                row[fresh] = np.arange(len(fresh))
+                row = pa.array(row, mask=row < 0)
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 numbers = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 raw = data.tobytes()
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())).take(row)
                          for x in (similar_sets.band_keys(values, bands, rows), similar_sets.packed(values))]
+                signed = pa.array([raw[begins[k] : ends[k]].decode() for k in fresh], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(owner[chosen] + lo)), pa.array(numbers[chosen], pa.int32()),
                      pa.array(chars[begins] - chars[offsets[owner[chosen]]], pa.int64()), pa.array(chars[ends] - chars[begins], pa.int64()),
                      pa.array(lengths[chosen], pa.int32()), pa.array(mix(rids).view(np.int64)), *lists,
-                     pa.array([raw[b:e].decode() for b, e in zip(begins, ends, strict=True)], pa.string())],
+                     signed.take(row)],
                     names=["doc_id", "paragraph", "start", "n_chars", "n_words", "rid", "bands", "sig", "text"])
 
     return run
@@ -215,11 +220,11 @@ def repeated_texts(docs: DataFrame, **how) -> DataFrame:
     return found.unionByName(repeated_passages(written_once(left.select("doc_id", "text"))))
 
 
-def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 40, bands: int = 16, rows: int = 4) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
     """One row per paragraph that occurs, word for word or similarly, in other documents too.
 
-    Paragraphs are the lines of ``text`` with at least ``least_words`` words;
-    shorter ones are no passages but phrases and stay out. ``doc_id``, ``kind``,
+    Paragraphs are the lines of ``text`` with at least ``least_words`` words, by
+    default all that hold a whole shingle. ``doc_id``, ``kind``,
     ``paragraph`` (the line's number from 0), ``start`` and ``n_chars`` (in
     characters of the text, without blanks at its ends), ``n_words``,
     ``component_doc`` and ``component_paragraph`` (the first occurrence in the
@@ -240,7 +245,8 @@ def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least
     count = bands * rows
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = written_once(texts.mapInArrow(_signer(size, bands, rows, count, least_words), _SIGNED))
-    found = similar_sets.similar_components(signed.select("rid", "bands", "sig"), signed.select("rid", "text"), size, percent, count)
+    classes = signed.where("text is not null")
+    found = similar_sets.similar_components(classes.select("rid", "bands", "sig"), classes.select("rid", "text"), size, percent, count)
     places = signed.select("doc_id", "paragraph", "start", "n_chars", "n_words", "rid").join(
         found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")).drop("rid")
     groups = places.groupBy("component").agg(
