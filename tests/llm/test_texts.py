@@ -300,6 +300,32 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.without_contaminated(docs, table.limit(0)).count() == len(rows)
 
 
+def test_short_documents_and_short_items_are_decontaminated(spark):
+    rng = random.Random(24)
+    items = [(k, prose(rng, 50)) for k in range(8)] + [(20, "four quite short words"), (21, "Yes indeed"), (22, "unheard")]
+    rows = [(k, " ".join(items[k][1].split()[k % 4 : 46 + k % 3]), None, None, None) for k in range(8)]
+    rows += [(20, f"{prose(rng, 9)} Four quite  short WORDS {prose(rng, 30)}", None, None, None), (21, "yes indeed", None, None, None),
+             (22, f"{prose(rng, 30)} unheard", None, None, None), (23, "yes", None, None, None), (24, "four quite short", None, None, None),
+             (25, f"{items[0][1]} yes indeed unheard", None, None, None), (26, " ".join(items[1][1].split()[:30]), None, None, None)]
+    index = decontaminate.build_index(items, 5)
+    want = {}
+    for i, t, *_ in rows:
+        words = t.lower().split()
+        for item, text in items:
+            own = text.lower().split()
+            n = min(len(own), len(words))
+            for s in range(len(words) - n + 1):
+                value = brute_similarity(index, own, words[s : s + n], items)
+                if value >= 0.8 and value > want.get((i, item), (0,))[0] + 1e-6:
+                    want[i, item] = (value, s, n)
+    docs, table = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminations(docs, table).collect()}
+    assert set(got) == set(want) and {(0, 0), (20, 20), (21, 21), (22, 22), (25, 22)} <= set(got)
+    for key, r in got.items():
+        assert (r["similarity"], r["start_word"], r["n_words"]) == (pytest.approx(want[key][0], abs=1e-5), *want[key][1:])
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(docs, table).collect()} == {i for i, *_ in rows} - {i for i, _ in want}
+
+
 def brute_similarity(index, a, b, items):
     def bag(words):
         size = min(5, len(words))

@@ -116,11 +116,13 @@ def _similarity(index: Index, bag: dict[int, int], window: np.ndarray, weights:
     return shared / total
 
 
-def _in_document(index: Index, hashes: np.ndarray, size: int, least: float, hits: np.ndarray) -> dict[int, tuple]:
+def _in_document(index: Index, hashes: np.ndarray, size: int, full: bool, least: float, hits: np.ndarray) -> dict[int, tuple]:
     """Best window of every item found among a document's word hashes: (similarity, start, length, distance).
 
     ``hits``: words at which a shingle of some item begins. A window without
-    such a word has similarity 0, so only windows around them get prints.
+    such a word has similarity 0, so only windows around them get prints. Only
+    items of which ``size`` is the shingle size are looked for; a document of
+    fewer words than an item is one window.
     """
     best: dict[int, tuple] = {}
     all_shingles = shingles(hashes, np.array([0, len(hashes)]), size)[0]
@@ -128,11 +130,11 @@ def _in_document(index: Index, hashes: np.ndarray, size: int, least: float, hits
     for h in hits.tolist():
         k = np.searchsorted(index.shingle, all_shingles[h])
         for n in index.lengths_of[k].tolist():
-            by_length.setdefault(n, []).append(h)
-    for n, places in by_length.items():
+            if n == size or (full and n > size):
+                by_length.setdefault(n, []).append(h)
+    for length, places in by_length.items():
+        n = min(length, len(hashes))
         runs = max(n - size, 0) + 1
-        if len(hashes) < n:
-            continue
         first = np.zeros(len(hashes) - n + 2, np.int64)
         np.add.at(first, np.maximum(np.array(places) - runs + 1, 0), 1)
         np.add.at(first, np.minimum(np.array(places) + 1, len(hashes) - n + 1), -1)
@@ -145,7 +147,7 @@ def _in_document(index: Index, hashes: np.ndarray, size: int, least: float, hits
             weights = index.weights(span)
             sums = np.concatenate((np.zeros((1, 64)), np.cumsum(_signs(span, weights), axis=0, dtype=np.float64)))
             prints = _print(sums[runs:] - sums[:-runs])
-            for w, item, distance in _near_items(index, n, prints):
+            for w, item, distance in _near_items(index, length, prints):
                 value = _similarity(index, index.bags[item], span[w : w + runs], weights[w : w + runs])
                 if value >= least - 1e-9:
                     row = (-value, int(part[0]) + w, n, distance)
@@ -160,14 +162,20 @@ def _matches(index: Index, size: int, least: float, texts: pa.Array) -> Iterator
     for lo, hi in slices(texts):
         data, offsets = text_bytes(texts, lo, hi)
         found = words(data, offsets)
-        hashes, first = shingles(found.hashes, found.first, size)
-        maybe = np.flatnonzero(low[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(index.shingle, hashes[maybe]), len(index.shingle) - 1)
-        maybe = maybe[index.shingle[place] == hashes[maybe]]
-        owners = np.searchsorted(first, maybe, "right") - 1
-        for i in np.unique(owners).tolist():
-            begin, end = found.first[i], found.first[i + 1]
-            best = _in_document(index, found.hashes[begin:end], size, least, maybe[owners == i] - first[i])
+        bests: dict[int, dict[int, tuple]] = {}
+        for k in sorted({min(size, n) for n in index.tables}):  # shorter items are one shingle of their own length
+            hashes, first = shingles(found.hashes, found.first, k)
+            maybe = np.flatnonzero(low[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(index.shingle, hashes[maybe]), len(index.shingle) - 1)
+            maybe = maybe[index.shingle[place] == hashes[maybe]]
+            owners = np.searchsorted(first, maybe, "right") - 1
+            bounds = np.flatnonzero(np.diff(owners, prepend=-1, append=-1))
+            for lo_hit, hi_hit in zip(bounds[:-1], bounds[1:], strict=True):
+                i = int(owners[lo_hit])
+                own = found.hashes[found.first[i] : found.first[i + 1]]
+                bests.setdefault(i, {}).update(_in_document(index, own, k, k == size, least, maybe[lo_hit:hi_hit] - first[i]))
+        for i, best in sorted(bests.items()):
+            begin = found.first[i]
             if best:
                 def chars(w: int, n: int, begin=begin, i=i) -> tuple[int, int]:
                     a, b = found.starts[begin + w], found.ends[begin + w + n - 1]
@@ -191,11 +199,12 @@ def _passes(items: DataFrame, size: int) -> Iterator[Index]:
 def contaminations(docs: DataFrame, items: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """One row per document row and benchmark item that it holds, with the best window.
 
-    ``doc_id``, ``item_id``, ``start_word``, ``n_words`` (the item's), ``start``
+    ``doc_id``, ``item_id``, ``start_word``, ``n_words`` (the window's), ``start``
     and ``n_chars`` in the text, ``hamming`` and ``similarity`` (weighted Jaccard
     of ``size``-word shingles, at least ``least``; of equal windows the first).
 
-    For each item the windows of as many words are compared. Windows that share
+    For each item the windows of as many words are compared, or the whole text
+    where it has fewer. Windows that share
     no shingle with any item can't be similar and get no print; all others get a
     64-bit SimHash of their weighted shingles and look their 8 blocks up in
     tables that hold each item under every block value within 2 bits, which
@@ -204,7 +213,7 @@ def contaminations(docs: DataFrame, items: DataFrame, size: int = 5, least: floa
 
     Items are read in passes of at most ``PASS_ITEMS``, so the memory of a task
     is bounded at any size of the benchmark. Items of fewer words than ``size``
-    are one shingle; null and empty items and texts match nothing. Equal items
+    are one shingle, found wherever a text holds those words; null and empty items and texts match nothing. Equal items
     count once per id; repeated rows of documents each give their rows; null ids
     stay null. Empty tables give no rows; further columns are ignored.
     """
