@@ -110,6 +110,18 @@ def test_misspellings_within_one_edit():
             assert trie.near(word) == want, word
 
 
+def test_misspellings_of_moderate_and_four_letter_terms():
+    lexicon = ["vurk", "zolgi", "brantik"]
+    trie = toxicity.build_trie([(w + "$", 60, 5) for w in lexicon], 1000, 1000)
+    model = toxicity.Model(trie, np.zeros(len(toxicity.FEATURES)), 0.0)
+    for word in lexicon:
+        assert 1.5 < model.look(word)[0] < 3
+        for k in range(len(word)):
+            for other in (word[:k] + word[k + 1 :], word[:k] + "#" + word[k + 1 :], word[:k] + "#" + word[k:]):
+                assert model.look(other) == (0.0, model.look(word)[0]), other
+    assert model.look("vu") == (0.0, 0.0) and model.look("brantik" * 9) == (0.0, 0.0)
+
+
 def test_quotation_counts_less_than_abuse(spark):
     rng = random.Random(3)
     plain = ["lorem", "ipsum", "dolor", "amet", "elit", "sed", "magna", "erat"]

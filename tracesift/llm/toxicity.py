@@ -16,8 +16,8 @@ from tracesift.session import discard, written_once
 
 #: Labelled documents that a fit reads at most, and toxic documents that a term must occur in.
 SAMPLE, LEAST_TOXIC = 20_000, 3
-#: Characters of the shortest and longest stem; shortest word that misspellings are looked for.
-STEM, LONGEST, FUZZY = 3, 14, 5
+#: Characters of the shortest and longest stem; shortest lexicon word of which misspellings are looked for.
+STEM, LONGEST, FUZZY = 3, 14, 4
 #: Words on either side of a term that its context takes in.
 WINDOW = 6
 #: Words whose values a worker keeps; when full it starts anew.
@@ -49,6 +49,7 @@ class Trie:
         self.value: list[float | None] = [None]
         self.word: list[bool] = [False]
         self.halves: set[str] = set()
+        self.longest = 0
         self.lexicon: list[dict[str, int]] = [{}]
         self.lexicon_value: list[float | None] = [None]
 
@@ -78,6 +79,7 @@ class Trie:
         if word:
             plain = term.rstrip("$")
             self._add_word(plain, value)
+            self.longest = max(self.longest, len(plain))
             self.halves.add("<" + plain[: len(plain) // 2])
             self.halves.add(">" + plain[len(plain) // 2 :])
 
@@ -142,7 +144,7 @@ class Model:
         found = self.cache.get(word)
         if found is None:
             value, known = self.trie.best(word)
-            near = 0.0 if known or value > 1 or not FUZZY <= len(word) <= 40 else self.trie.near(word)
+            near = 0.0 if known or value > 1 or not FUZZY - 1 <= len(word) <= self.trie.longest + 1 else self.trie.near(word)
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
             found = self.cache[word] = (value, near)
@@ -213,7 +215,7 @@ def build_trie(counted: list[tuple[str, int, int]], toxic: int, other: int) -> T
     for term in sorted(values, key=lambda t: (len(t), t)):
         if values[term] > 1 or any(term[:k] in kept for k in range(STEM, len(term))):
             kept.add(term)
-            trie.add(term, float(values[term]), term.endswith("$") and values[term] > 3 and len(term) > FUZZY)
+            trie.add(term, float(values[term]), term.endswith("$") and values[term] > 1 and len(term) > FUZZY)
     return trie
 
 
