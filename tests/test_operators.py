@@ -361,3 +361,26 @@ def test_reports_build_and_run(spark):
     assert triage.security_triage(t, persist=True)["beacons"].count() == 1
     assert triage.industrial_report(t)["protocols"].count() == 0
     assert triage.operations_report(t)["dns_unanswered"].head().query == "a.b.com"
+
+
+# --- ranks ---------------------------------------------------------------------------------
+
+
+def test_numbered_equals_row_number_with_a_hot_key(spark):
+    rows = [("hot" if i % 3 else None if i % 7 == 0 else f"k{i % 11}", (i * 7919) % 5000) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = {(r["k"], r["v"]): r["rank"] for r in ranking.numbered(df, ["k"], F.desc("v")).collect()}
+    by_key = {}
+    for k, v in rows:
+        by_key.setdefault(k, []).append(v)
+    assert got == {(k, v): i for k, vs in by_key.items() for i, v in enumerate(sorted(vs, reverse=True), 1)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join these few rows again
+    try:
+        spread = ranking.placed(df, ["k"], F.asc("v")).where("k = 'hot'")
+        assert spread.select("_bucket").distinct().count() > 1
+        ranked = ranking.numbered(df, ["k"], F.desc("v"))
+        assert {(r["k"], r["v"]): r["rank"] for r in ranked.collect()} == got
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["rank"] for r in ranking.numbered(df, [], F.asc("v")).orderBy("v").collect()] == list(range(1, 5001))
+    assert ranking.numbered(df.limit(0), ["k"], F.asc("v")).count() == 0

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesift.functions.times import epoch_bucket
+from tracesift.session import written_once
 
 
 def positive(name: str, value: int) -> int:
@@ -50,6 +51,58 @@ def top_per_group(df: DataFrame, keys: Sequence[str], n: int, *order: Column, na
     return out if name else out.drop(rank)
 
 
+def placed(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """``df`` sorted by keys and order over range partitions and written once, with
+    each row's ``_bucket`` (its partition) and ``_place`` (ascending within it).
+
+    A key with many rows spans several buckets. Rows equal in keys and order share
+    one, so the order should be all but unique.
+    """
+    by = [*[F.asc(k) for k in keys], *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return written_once(
+        rows.select("*", F.spark_partition_id().alias("_bucket"), F.monotonically_increasing_id().alias("_place"))
+    )
+
+
+def bucket_shifts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key and bucket of ``placed`` rows: ``_shift``, which turns a place into the
+    0-based rank within the key, and ``_size``, the key's rows.
+
+    A prefix sum over the buckets of a key: one row per bucket, not per row.
+    """
+    pieces = rows.groupBy(*keys, "_bucket").agg(F.min("_place").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))
+    return pieces.select(
+        *keys, "_bucket", (before - F.col("_from")).alias("_shift"), F.sum("_n").over(whole).alias("_size")
+    )
+
+
+def with_shifts(rows: DataFrame, shifts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``placed`` rows next to their bucket's facts; keys may be null."""
+    on = ["_bucket", *keys]
+    facts = shifts.select(*[F.col(c).alias(f"_of_{c}") if c in on else F.col(c) for c in shifts.columns])
+    same = F.col("_bucket") == F.col("_of__bucket")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(facts, same).drop(*[f"_of_{c}" for c in on])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], *order: Column, name: str = "rank") -> DataFrame:
+    """Every row with its exact 1-based rank within its key, however many rows a key has.
+
+    Range partitions cut a key into buckets; a row's rank is its place in its
+    bucket plus the rows of the key's earlier buckets. No window sees a whole key,
+    unlike ``row_number``, which sorts it in one task. Without keys the whole table
+    is numbered.
+    """
+    rows = placed(df, keys, *order)
+    ranked = with_shifts(rows, bucket_shifts(rows, keys), keys)
+    return ranked.select(*df.columns, (F.col("_place") + F.col("_shift") + 1).alias(name))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """The first row of each key by the given columns."""
     rest = [c for c in df.columns if c not in keys]
