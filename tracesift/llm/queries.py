@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import covertree, decontaminate, htmltext, langid, neardup, packing, paragraphs, preference, quality, toxicity
+from tracesift.llm import covertree, decontaminate, htmltext, langid, merkle, neardup, packing, paragraphs, preference, quality, toxicity
 from tracesift.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return preference.formatted(preference.exchanged_replies(table(spark, folder, "conversations")), "conv_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": quality.score_documents,
     "op2_exact_top_k": op2_exact_top_k,
@@ -60,7 +64,10 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": toxicity.score_documents,
     "op10_chat_formatting": op10_chat_formatting,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it in reasonable time.
-ORACLES: dict[str, str] = {"op2_exact_top_k": covertree.ORACLE, "op10_chat_formatting": preference.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_exact_top_k": covertree.ORACLE, "op10_chat_formatting": preference.ORACLE, "op13_merkle_manifest": merkle.ORACLE,
+}
