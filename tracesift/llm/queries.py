@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import covertree, decontaminate, htmltext, langid, merkle, neardup, packing, paragraphs, preference, quality, toxicity
+from tracesift.llm import (
+    covertree, decontaminate, htmltext, langid, merkle, neardup, packing, paragraphs, periodic, preference, quality,
+    tokencount, toxicity,
+)
 from tracesift.llm.common import table
 
 
@@ -49,6 +52,14 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return preference.formatted(preference.exchanged_replies(table(spark, folder, "conversations")), "conv_id")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_digests(table(spark, folder, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.counted_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verified_documents(table(spark, folder, "documents"))
 
@@ -64,6 +75,8 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": toxicity.score_documents,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_counts": op12_token_counts,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
