@@ -112,3 +112,13 @@ def test_bad_arguments_fail_at_plan_time(spark):
 def test_registry_lists_operators():
     names = registry.describe()
     assert "hunts.beacons" in names and all(not n.split(".")[1].startswith("_") for n in names)
+
+
+def test_running_totals(spark, one):
+    for n in (0, 1, 5, 256, 257, 1000):
+        numbers = F.array(*[F.lit(i % 7 - 2) for i in range(n)]) if n <= 5 else F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i % 7 - 2)
+        want, total = [], 0
+        for i in range(n):
+            total += i % 7 - 2
+            want.append(total)
+        assert one(tx.running_totals(numbers.cast("array<int>"))) == want

@@ -384,3 +384,19 @@ def test_numbered_equals_row_number_with_a_hot_key(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [r["rank"] for r in ranking.numbered(df, [], F.asc("v")).orderBy("v").collect()] == list(range(1, 5001))
     assert ranking.numbered(df.limit(0), ["k"], F.asc("v")).count() == 0
+
+
+def test_matches_in_a_text_with_very_many_hits(spark):
+    words = [f"w{i} 10.{i % 7}.0.{i % 200}\n" if i % 3 else f"{'x' * (i % 90)} évil.example.com " for i in range(75_000)]
+    text = "".join(words)
+    reports = spark.createDataFrame([("r", text), ("none", "nothing here"), ("empty", ""), ("null", None)], "report_path string, text string")
+    got = {r.value: (r.start, r.context) for r in intel.extract_indicators(reports, ["ip"]).where("report_path = 'r'").collect()}
+    import re
+    for value in ("10.1.0.1", "10.3.0.150", "10.6.0.199"):
+        found = re.search(rf"(?<![\d.]){re.escape(value)}(?![\d.])", text)
+        if found is None:
+            assert value not in got
+            continue
+        around = text[max(0, found.start() - 150) : found.end() + 150].replace("\n", " ").strip()[:300]
+        assert got[value] == (found.start() + 1, around)
+    assert len(got) > 500

@@ -14,6 +14,29 @@ from . import fixed_values as fv
 from .network import col, lookup
 
 
+def running_totals(numbers: Column, block: int = 256) -> Column:
+    """The sums of the first 1, 2, ... elements of an array of integers.
+
+    A fold that appends copies its array at each step. Done in blocks, and over the
+    blocks' sums, the copies stay short: at 50,000 elements a two-hundredth of the work.
+    """
+
+    def sums(part: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("all"))
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["all"], acc["sum"] + x).alias("all"))
+        return F.aggregate(part, start, step, lambda acc: acc["all"])
+
+    count = F.ceil(F.size(numbers) / block).cast("int")
+    cuts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    inner = F.transform(cuts, lambda b: sums(F.slice(numbers, b * block + 1, F.lit(block))))
+
+    def joined(blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), sums(F.transform(blocks, lambda x: F.element_at(x, -1))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda x, more: F.transform(x, lambda v: v + more)))
+
+    return F.get(F.transform(F.array(inner), joined), 0)
+
+
 def strip(text: Column | str) -> Column:
     return F.btrim(col(text), F.lit(fv.WHITESPACE))
 

@@ -12,7 +12,7 @@ from tracesift.functions import network as nw
 from tracesift.functions import text as tx
 
 from .flows import span, tls_by_name, with_locations
-from .ranking import gap_statistics, top_n, top_per_group
+from .ranking import gap_statistics, numbered, top_n, top_per_group
 
 
 # --- ports ---------------------------------------------------------------------------
@@ -188,11 +188,12 @@ def lateral_movement(convs: DataFrame, scan_above: int = 5) -> DataFrame:
 
 
 def lateral_flows(convs: DataFrame, per_source: int | None = None) -> DataFrame:
-    """First flows of every such source, by target and port."""
-    ranked = top_per_group(
-        _management_flows(convs), ["src_ip"], per_source or 1 << 30,
-        F.asc("dst_ip"), F.asc("dst_port"), F.asc("proto"), name="flow_no",
-    )
+    """Flows of every such source, numbered by target and port; optionally the first ones of each."""
+    order = (F.asc("dst_ip"), F.asc("dst_port"), F.asc("proto"))
+    if per_source:
+        ranked = top_per_group(_management_flows(convs), ["src_ip"], per_source, *order, name="flow_no")
+    else:
+        ranked = numbered(_management_flows(convs), ["src_ip"], *order, name="flow_no")
     return ranked.select("src_ip", "flow_no", "dst_ip", "dst_port", "service", "packets", "bytes_out")
 
 

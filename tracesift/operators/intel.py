@@ -13,7 +13,7 @@ from tracesift.functions import text as tx
 from tracesift.functions.times import epoch_bucket
 from tracesift.session import written_once
 
-from .ranking import evaluated_once, first_per_key, top_per_group
+from .ranking import evaluated_once, first_per_key, numbered, top_per_group
 
 # Unicode noncharacters, which valid text never contains, mark matches in place.
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
@@ -36,19 +36,23 @@ def _marked(kind: str) -> Column:
 
 def _located(pieces: Column, kind: str) -> Column:
     """Array of (ioc_type, raw_value, start): all matches with their 1-based position."""
-    first = F.struct(
-        F.length(F.get(pieces, 0)).alias("used"),
-        F.array().cast("array<struct<ioc_type:string,raw_value:string,start:int>>").alias("found"),
+    own = F.transform(pieces, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
+    return F.zip_with(
+        F.slice(pieces, F.lit(2), F.size(pieces)), F.slice(tx.running_totals(own), F.lit(1), F.size(pieces) - 1),
+        lambda piece, used: F.struct(
+            F.lit(kind).alias("ioc_type"), F.substring_index(piece, _CLOSE, 1).alias("raw_value"), (used + 1).cast("int").alias("start")
+        ),
     )
 
-    def step(acc: Column, piece: Column) -> Column:
-        hit = F.struct(
-            F.lit(kind).alias("ioc_type"), F.substring_index(piece, _CLOSE, 1).alias("raw_value"),
-            (acc["used"] + 1).cast("int").alias("start"),
-        )
-        return F.struct((acc["used"] + F.length(piece) - 1).alias("used"), F.concat(acc["found"], F.array(hit)).alias("found"))
 
-    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, step, lambda a: a["found"])
+#: Characters of a block of a text. A context lies within two blocks, so its cost doesn't go with the text's length.
+_BLOCK = 4096
+
+
+def _blocks() -> Column:
+    return F.when(F.length("text") <= _BLOCK, F.array("text")).otherwise(
+        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    )
 
 
 def extract_indicators(reports: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -65,14 +69,19 @@ def extract_indicators(reports: DataFrame, types: list[str] | None = None) -> Da
     texts = reports.select("report_path", "text")
     cut = evaluated_once(texts, "_cut", F.struct(*[_marked(kind).alias(kind) for kind in types]))
     found = evaluated_once(cut, "_found", F.concat(*[_located(F.col("_cut")[kind], kind) for kind in types])).drop("_cut")
+    found = evaluated_once(found.where(F.size("_found") > 0), "_blocks", _blocks()).drop("text")
 
     def with_context(m: Column) -> Column:
         left = F.greatest(m["start"] - 150, F.lit(1))
-        around = F.substring("text", left, m["start"] + F.length(m["raw_value"]) + 150 - left)
+        block = F.floor((left - 1) / _BLOCK).cast("int")
+        two = F.concat(F.get("_blocks", block), F.coalesce(F.get("_blocks", block + 1), F.lit("")))
+        # a match holds no white space, so what lies beyond 450 characters never shows
+        size = F.least(m["start"] + F.length(m["raw_value"]) + 150 - left, F.lit(450))
+        around = F.substring(two, (left - block * _BLOCK).cast("int"), size)
         text = F.substring(tx.strip(F.replace(around, F.lit("\n"), F.lit(" "))), 1, 300)
         return F.struct(m["ioc_type"], m["raw_value"], m["start"], text.alias("context"))
 
-    hits = evaluated_once(found, "_hits", F.transform("_found", with_context)).drop("text", "_found")
+    hits = evaluated_once(found, "_hits", F.transform("_found", with_context)).drop("_blocks", "_found")
     rows = hits.select("report_path", F.inline("_hits")).select(
         "report_path", "ioc_type", tx.refang("raw_value").alias("value"), "raw_value", "start", "context"
     ).withColumn("value_key", F.lower("value"))
@@ -324,7 +333,10 @@ def search_reports(reports: DataFrame, query: str, per_report: int | None = None
         raise ValueError("query is required")
     lines = reports.select("report_path", "name", "subdirectory", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
     hits = lines.where(F.col("line").contains(query.lower()))
-    shown = top_per_group(hits, ["report_path"], per_report or 1 << 30, F.asc("pos"), name="hit_no")
+    if per_report:
+        shown = top_per_group(hits, ["report_path"], per_report, F.asc("pos"), name="hit_no")
+    else:
+        shown = numbered(hits, ["report_path"], F.asc("pos"), name="hit_no")
     text = F.concat(F.lit("Line "), (F.col("pos") + 1).cast("string"), F.lit(": "), F.substring(tx.strip("line"), 1, 200))
     return shown.select("report_path", "name", "subdirectory", "hit_no", text.alias("match"))
 
@@ -376,8 +388,9 @@ def merged_paths(chunks: DataFrame) -> DataFrame:
         "report_path", "chunk_no", "pos", "_path.path_id", "_path.steps"
     )
     first = first_per_key(rows, ["report_path", "path_id"], "chunk_no", "pos")
-    order = Window.partitionBy("report_path").orderBy("chunk_no", "pos")
-    return first.withColumn("path_no", F.row_number().over(order)).select("report_path", "path_no", "path_id", "steps")
+    return numbered(first, ["report_path"], F.asc("chunk_no"), F.asc("pos"), name="path_no").select(
+        "report_path", "path_no", "path_id", "steps"
+    )
 
 
 def merged_points(chunks: DataFrame) -> DataFrame:
@@ -421,6 +434,21 @@ def path_steps(paths: DataFrame) -> DataFrame:
     ).where(F.coalesce("technique_id", F.lit("")) != "")
 
 
+def _latest_tactic(allowed: str) -> Column:
+    """The allowed tactic that comes latest in the tactic order and is not entry-only; null if there is none."""
+    order = {t.lower(): no for no, t in enumerate(fv.TACTIC_ORDER, 1)}
+    entry_only = [t.lower() for t in fv.ENTRY_ONLY_TACTICS]
+    ranked = F.transform(
+        F.filter(allowed, lambda t: ~F.lower(t).isin(*entry_only) & F.lower(t).isin(*order)),
+        lambda t: nw.lookup(F.lower(t), order),
+    )
+    return nw.lookup(F.array_max(ranked), dict(enumerate(fv.TACTIC_ORDER, 1)))
+
+
+def _late_entry(step_no: Column, tactic: Column) -> Column:
+    return (step_no >= 1) & tactic.isin(*fv.ENTRY_ONLY_TACTICS)
+
+
 def repair_tactics(steps: DataFrame, techniques: DataFrame) -> DataFrame:
     """Replace entry-only tactics after a path's first step.
 
@@ -428,94 +456,121 @@ def repair_tactics(steps: DataFrame, techniques: DataFrame) -> DataFrame:
     tactic order and is not entry-only itself; without one it stays. Tactics
     compare without regard to case.
     """
-    order = {t.lower(): no for no, t in enumerate(fv.TACTIC_ORDER, 1)}
-    entry_only = [t.lower() for t in fv.ENTRY_ONLY_TACTICS]
-    ranked = F.transform(
-        F.filter("tactics", lambda t: ~F.lower(t).isin(*entry_only) & F.lower(t).isin(*order)),
-        lambda t: nw.lookup(F.lower(t), order),
-    )
-    best = nw.lookup(F.array_max(ranked), dict(enumerate(fv.TACTIC_ORDER, 1)))
-    late_entry = (F.col("step_no") >= 1) & F.col("tactic").isin(*fv.ENTRY_ONLY_TACTICS)
+    best = _latest_tactic("tactics")
     dim = techniques.select("technique_id", "tactics")
     joined = steps.join(dim, "technique_id", "left")
-    return joined.withColumn("reassigned", late_entry & best.isNotNull()).withColumn(
+    reassigned = _late_entry(F.col("step_no"), F.col("tactic")) & best.isNotNull()
+    return joined.withColumn("reassigned", reassigned).withColumn(
         "tactic", F.when(F.col("reassigned"), best).otherwise(F.col("tactic"))
     ).select(*steps.columns, "reassigned")
 
 
+_MAP = "struct<tactic:string,technique_name:string,confidence:string,report_context:string>"
+_STEP = "struct<path_no:int,step_no:int,path_id:string,tactic:string>"
+
+
+def _mentions(mappings: DataFrame, paths: DataFrame) -> DataFrame:
+    """(report, technique) with what names it: a mapping, a path's step, or neither for a ``leads_to`` target."""
+    named = mappings.select(
+        "report_path", "technique_id",
+        F.struct(
+            F.coalesce("tactic", F.lit("")).alias("tactic"), F.coalesce("technique_name", F.lit("")).alias("technique_name"),
+            "confidence", "report_context",
+        ).cast(_MAP).alias("map"),
+        F.lit(None).cast(_STEP).alias("step"),
+    )
+    step = F.struct("path_no", "step_no", "path_id", "tactic").cast(_STEP)
+    nothing = F.array().cast("array<string>")
+    own = F.array(F.struct(F.col("technique_id"), step.alias("step")))
+    led = F.transform(
+        F.coalesce("leads_to", nothing), lambda t: F.struct(t.alias("technique_id"), F.lit(None).cast(_STEP).alias("step"))
+    )
+    stepped = path_steps(paths).select("report_path", F.inline(F.concat(own, led))).select(
+        "report_path", "technique_id", F.lit(None).cast(_MAP).alias("map"), "step"
+    )
+    return named.unionByName(stepped).where(F.coalesce("technique_id", F.lit("")) != "")
+
+
 def reconcile_mappings(mappings: DataFrame, paths: DataFrame, techniques: DataFrame, validate: bool = True) -> DataFrame:
     """Mappings completed from attack paths and checked against the technique table.
 
     Order: repair path tactics, attach paths to equal (technique, tactic) pairs,
     promote the entry with an empty tactic, add pairs only the paths have, add
     ``leads_to`` targets that are no step, fill names and tactics, validate.
-    ``mappings`` holds one row per (report, technique, tactic). The repaired
-    steps are read four times and therefore written once to the checkpoint folder.
+    ``mappings`` holds one row per (report, technique, tactic).
+
+    All of it depends on one (report, technique) alone, so mappings, steps and
+    targets are gathered in one aggregate, meet their row of the technique table
+    once, and the rest is array expressions. A group holds the mappings and steps
+    of one technique in one report, which the resulting rows list too.
     """
-    pair, tech = ["report_path", "technique_id", "tactic"], ["report_path", "technique_id"]
-    base = mappings.where(F.coalesce("technique_id", F.lit("")) != "").select(
-        *tech, F.coalesce("tactic", F.lit("")).alias("tactic"), F.coalesce("technique_name", F.lit("")).alias("technique_name"),
-        "confidence", "report_context",
-    )
-    steps = written_once(repair_tactics(path_steps(paths), techniques).drop("technique_name", "reassigned"))
-    pairs = steps.groupBy(*pair).agg(
-        F.min(F.struct("path_no", "step_no")).alias("first_at"),
-        F.transform(
-            F.array_sort(F.collect_set(F.struct("path_no", "path_id"))), lambda s: s["path_id"]
-        ).alias("context_paths"),
-    )
+    gathered = _mentions(mappings, paths).groupBy("report_path", "technique_id").agg(
+        F.collect_list("map").alias("maps"), F.collect_list("step").alias("steps")
+    )
+    rows = gathered.join(_dim(techniques), "technique_id", "left")
+    best = _latest_tactic("allowed")
+    late = lambda s: _late_entry(s["step_no"], s["tactic"]) & F.col("_best").isNotNull()
+    repaired = F.transform(
+        F.array_sort("steps"), lambda s: s.withField("tactic", F.when(late(s), F.col("_best")).otherwise(s["tactic"]))
+    )
+    rows = evaluated_once(rows.withColumn("_best", best), "_steps", repaired)
+    base = F.transform("maps", lambda m: m["tactic"])
+    rows = evaluated_once(rows, "_new", F.array_except(F.array_distinct(F.transform("_steps", lambda s: s["tactic"])), base))
+    first = F.get("_new", 0)
+    rows = rows.withColumn("_promoted", F.when(F.array_contains(base, "") & (first != ""), first))
     nothing = F.array().cast("array<string>")
-    new_pairs = pairs.join(base.select(*pair), pair, "left_anti").withColumn(
-        "_no", F.row_number().over(Window.partitionBy(*tech).orderBy("first_at"))
-    )
-    unplaced = base.where(F.col("tactic") == "").select(*tech)
-    promoted = new_pairs.where((F.col("_no") == 1) & (F.col("tactic") != "")).join(unplaced, tech, "left_semi")
-    promotion = promoted.select(
-        *tech, F.lit("").alias("tactic"), F.col("tactic").alias("new_tactic"), F.col("context_paths").alias("new_paths")
-    )
-    kept = (
-        base.join(pairs.select(*pair, "context_paths"), pair, "left")
-        .join(promotion, pair, "left")
-        .select(
-            *tech, "technique_name", F.coalesce("new_tactic", "tactic").alias("tactic"), "confidence", "report_context",
-            F.array_distinct(
-                F.concat(F.coalesce("context_paths", nothing), F.coalesce("new_paths", nothing))
-            ).alias("context_paths"),
+
+    def paths_of(tactic: Column) -> Column:
+        held = F.transform(F.filter("_steps", lambda s: s["tactic"] == tactic), lambda s: F.struct(s["path_no"], s["path_id"]))
+        return F.transform(F.array_distinct(held), lambda s: s["path_id"])
+
+    def entry(tactic: Column, name: Column, confidence: Column, context: Column, held: Column) -> Column:
+        return F.struct(
+            name.alias("technique_name"), tactic.alias("tactic"), confidence.alias("confidence"),
+            context.alias("report_context"), held.alias("context_paths"),
         )
+
+    def keep(m: Column) -> Column:
+        up = (m["tactic"] == "") & F.col("_promoted").isNotNull()
+        held = F.array_distinct(F.concat(paths_of(m["tactic"]), F.when(up, paths_of(F.col("_promoted"))).otherwise(nothing)))
+        tactic = F.when(up, F.col("_promoted")).otherwise(m["tactic"])
+        return entry(tactic, m["technique_name"], m["confidence"], m["report_context"], held)
+
+    def create(tactic: Column) -> Column:
+        held = paths_of(tactic)
+        context = F.concat(F.lit("Backfilled from attack_graph path(s) '"), F.array_join(held, ", "), F.lit("'"))
+        return entry(tactic, F.lit(""), F.lit("inferred"), context, held)
+
+    created = F.transform(F.filter("_new", lambda t: ~t.eqNullSafe(F.col("_promoted"))), create)
+    orphan = entry(
+        F.lit(""), F.lit(""), F.lit("inferred"), F.lit("Backfilled - referenced as leads_to target in attack_graph"), nothing
     )
-    created = new_pairs.join(promoted.select(*pair), pair, "left_anti").select(
-        *tech, F.lit("").alias("technique_name"), "tactic", F.lit("inferred").alias("confidence"),
-        F.concat(
-            F.lit("Backfilled from attack_graph path(s) '"), F.array_join("context_paths", ", "), F.lit("'")
-        ).alias("report_context"),
-        "context_paths",
-    )
-    targets = steps.select("report_path", F.explode("leads_to").alias("technique_id")).where(F.col("technique_id") != "").distinct()
-    orphans = (
-        targets.join(steps.select(*tech).distinct(), tech, "left_anti")
-        .join(base.select(*tech).distinct(), tech, "left_anti")
-        .select(
-            *tech, F.lit("").alias("technique_name"), F.lit("").alias("tactic"), F.lit("inferred").alias("confidence"),
-            F.lit("Backfilled - referenced as leads_to target in attack_graph").alias("report_context"),
-            nothing.alias("context_paths"),
-        )
+    alone = (F.size("maps") == 0) & (F.size("_steps") == 0)
+    entries = F.when(alone, F.array(orphan)).otherwise(F.concat(F.transform("maps", keep), created))
+    found = rows.select("report_path", "technique_id", "dim_name", "allowed", "known", F.inline(entries))
+    columns = ["report_path", "technique_id", "technique_name", "tactic", "confidence", "report_context", "context_paths"]
+    return _checked(found, columns, validate)
+
+
+def _dim(techniques: DataFrame) -> DataFrame:
+    return techniques.select(
+        "technique_id", F.col("name").alias("dim_name"), F.col("tactics").alias("allowed"), F.lit(True).alias("known")
     )
-    return check_mappings(kept.unionByName(created).unionByName(orphans), techniques, validate)
 
 
 def check_mappings(mappings: DataFrame, techniques: DataFrame, validate: bool = True) -> DataFrame:
     """Fill empty names and tactics from the technique table, then validate ids
     and tactics; a tactic that differs in case only takes the table's spelling."""
-    dim = techniques.select(
-        "technique_id", F.col("name").alias("dim_name"), F.col("tactics").alias("allowed"), F.lit(True).alias("known")
-    )
-    joined = mappings.join(dim, "technique_id", "left")
+    return _checked(mappings.join(_dim(techniques), "technique_id", "left"), mappings.columns, validate)
+
+
+def _checked(joined: DataFrame, columns: list[str], validate: bool) -> DataFrame:
     joined = joined.withColumn(
         "technique_name", F.coalesce(tx.empty_to_null("technique_name"), F.col("dim_name"), F.lit(""))
     ).withColumn("tactic", F.coalesce(tx.empty_to_null("tactic"), F.get("allowed", 0), F.lit("")))
     if not validate:
         flags = [F.lit(None).cast("boolean").alias("mitre_validated"), F.lit(None).cast("boolean").alias("tactic_mismatch")]
-        return joined.select(*mappings.columns, *flags)
+        return joined.select(*columns, *flags)
     known = F.coalesce("known", F.lit(False))
     same_word = F.get(F.filter("allowed", lambda t: F.lower(t) == F.lower(F.col("tactic"))), 0)
     exact = F.coalesce(F.array_contains("allowed", F.col("tactic")), F.lit(False))
@@ -528,13 +583,13 @@ def check_mappings(mappings: DataFrame, techniques: DataFrame, validate: bool =
         .otherwise(F.concat("technique_name", F.lit(" " + mark)))
     )
     out = joined.select(
-        *[c for c in mappings.columns if c not in ("technique_name", "tactic")],
+        *[c for c in columns if c not in ("technique_name", "tactic")],
         name.alias("technique_name"),
         F.when(checked & ~exact, F.coalesce(same_word, F.col("tactic"))).otherwise(F.col("tactic")).alias("tactic"),
         known.alias("mitre_validated"),
         (checked & ~exact & same_word.isNull()).alias("tactic_mismatch"),
     )
-    return out.select(*mappings.columns, "mitre_validated", "tactic_mismatch")
+    return out.select(*columns, "mitre_validated", "tactic_mismatch")
 
 
 def stages_from_mappings(mappings: DataFrame) -> DataFrame:

@@ -350,25 +350,25 @@ QUERIES["repair_tactics"] = (
         f"SELECT report_path, path_id, step_no, technique_id, fixed AS tactic, reassigned FROM ({_REPAIRED}) r", "path_steps", "technique_dim"
     ),
 )
-_RECONCILED = f"""WITH st AS ({_REPAIRED}),
-g AS (SELECT report_path, technique_id, fixed AS tactic, min(path_no * 1000 + step_no) AS first_at,
+_RECONCILED = f"""WITH st AS MATERIALIZED ({_REPAIRED}),
+m AS MATERIALIZED (SELECT * FROM technique_mappings),
+g AS MATERIALIZED (SELECT report_path, technique_id, fixed AS tactic, min(path_no * 1000 + step_no) AS first_at,
   string_agg(DISTINCT path_id, ',' ORDER BY path_id) AS paths FROM st GROUP BY 1, 2, 3),
-fresh AS (SELECT g.*, row_number() OVER (PARTITION BY report_path, technique_id ORDER BY first_at) AS no FROM g
-  WHERE NOT EXISTS (SELECT 1 FROM technique_mappings m WHERE m.report_path = g.report_path AND m.technique_id = g.technique_id AND m.tactic = g.tactic)),
-promo AS (SELECT * FROM fresh f WHERE no = 1 AND tactic <> '' AND EXISTS (SELECT 1 FROM technique_mappings m
-  WHERE m.report_path = f.report_path AND m.technique_id = f.technique_id AND m.tactic = '')),
+fresh AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY report_path, technique_id ORDER BY first_at) AS no
+  FROM g ANTI JOIN m USING (report_path, technique_id, tactic)),
+promo AS MATERIALIZED (SELECT * FROM fresh SEMI JOIN (SELECT report_path, technique_id FROM m WHERE tactic = '') e USING (report_path, technique_id)
+  WHERE no = 1 AND tactic <> ''),
 kept AS (SELECT m.report_path, m.technique_id, m.technique_name, coalesce(p.tactic, m.tactic) AS tactic, m.confidence, m.report_context,
-  array_to_string(list_sort(list_distinct(string_split(concat_ws(',', g.paths, p.paths), ','))), ',') AS paths FROM technique_mappings m
+  array_to_string(list_sort(list_distinct(string_split(concat_ws(',', g.paths, p.paths), ','))), ',') AS paths FROM m
   LEFT JOIN g ON g.report_path = m.report_path AND g.technique_id = m.technique_id AND g.tactic = m.tactic
-  LEFT JOIN promo p ON p.report_path = m.report_path AND p.technique_id = m.technique_id AND m.tactic = ''),
+  LEFT JOIN (SELECT *, '' AS was FROM promo) p ON p.report_path = m.report_path AND p.technique_id = m.technique_id AND m.tactic = p.was),
 added AS (SELECT report_path, technique_id, '' AS technique_name, tactic, 'inferred' AS confidence,
-  concat('Backfilled from attack_graph path(s) ''', replace(paths, ',', ', '), '''') AS report_context, paths FROM fresh f
-  WHERE NOT EXISTS (SELECT 1 FROM promo p WHERE p.report_path = f.report_path AND p.technique_id = f.technique_id AND p.tactic = f.tactic)),
-orphan AS (SELECT DISTINCT report_path, t AS technique_id, '' AS technique_name, '' AS tactic, 'inferred' AS confidence,
+  concat('Backfilled from attack_graph path(s) ''', replace(paths, ',', ', '), '''') AS report_context, paths
+  FROM fresh ANTI JOIN promo USING (report_path, technique_id, tactic)),
+orphan AS (SELECT DISTINCT report_path, technique_id, '' AS technique_name, '' AS tactic, 'inferred' AS confidence,
   'Backfilled - referenced as leads_to target in attack_graph' AS report_context, '' AS paths
-  FROM (SELECT report_path, unnest(string_split(leads_to, ',')) AS t FROM st) u WHERE t <> ''
-  AND NOT EXISTS (SELECT 1 FROM st s WHERE s.report_path = u.report_path AND s.technique_id = u.t)
-  AND NOT EXISTS (SELECT 1 FROM technique_mappings m WHERE m.report_path = u.report_path AND m.technique_id = u.t)),
+  FROM (SELECT report_path, unnest(string_split(leads_to, ',')) AS technique_id FROM st) u
+  ANTI JOIN st USING (report_path, technique_id) ANTI JOIN m USING (report_path, technique_id) WHERE technique_id <> ''),
 filled AS (SELECT a.report_path, a.technique_id, coalesce(nullif(a.technique_name, ''), d.name, '') AS technique_name,
   coalesce(nullif(a.tactic, ''), split_part(d.tactics, ',', 1), '') AS tactic, a.confidence, a.report_context, a.paths, d.tactics IS NOT NULL AS known,
   string_split(d.tactics, ',') AS allowed FROM (SELECT * FROM kept UNION ALL SELECT * FROM added UNION ALL SELECT * FROM orphan) a LEFT JOIN technique_dim d USING (technique_id)),
