@@ -400,3 +400,15 @@ def test_matches_in_a_text_with_very_many_hits(spark):
         around = text[max(0, found.start() - 150) : found.end() + 150].replace("\n", " ").strip()[:300]
         assert got[value] == (found.start() + 1, around)
     assert len(got) > 500
+
+
+def test_names_containing_equals_brute_force(spark):
+    rng = random.Random(12)
+    names = ["".join(rng.choice("ab.cé") for _ in range(rng.randrange(1, 40))) for _ in range(300)] + ["WWW.Evil.com", "", None, "hot.example.com"]
+    names += [f"h{i}.hot.example.com" for i in range(200)]
+    values = {"".join(rng.choice("ab.cé") for _ in range(rng.randrange(1, 7))) for _ in range(80)} | {"evil.com", "example.com", "zzz.nowhere", "a", "é.", ""}
+    df = spark.createDataFrame([(n,) for n in names], "text string")
+    made = intel.names_containing(df, "text", spark.createDataFrame([(v,) for v in values], "ioc_value string"))
+    got = [(r["name"], r.ioc_value) for r in made.collect()]
+    want = {(n.lower(), v) for n in names if n for v in values if v and v in n.lower()}
+    assert len(got) == len(set(got)) and set(got) == want

@@ -188,34 +188,36 @@ def answer_matches(iocs: DataFrame, responses: DataFrame) -> DataFrame:
     return _evidence(hits, "ip", "dns_answer", F.concat_ws(" -> ", "query", "ioc_value"))
 
 
+#: Characters of the pieces that file indicator values; shorter values are filed whole.
+_GRAM = 3
+
+
+def _grams(text: str, size: Column) -> Column:
+    places = F.sequence(F.lit(1), F.length(text) - size + 1)
+    parts = F.transform(places, lambda i: F.substring(F.col(text), i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+
 def names_containing(names: DataFrame, name: str, values: DataFrame) -> DataFrame:
     """Pairs of a distinct lower-case name and an indicator value inside it.
 
-    Exact substring matching as an equi-join. A value with a dot can only lie
-    where its last dot meets a dot of the name, so a name yields one candidate
-    per dot and value shape (length, length from the last dot on); values
-    without a dot are tried at every place. Names are at most 253 characters
-    long, which bounds the shapes whatever the number of values.
+    Exact substring matching over an index of three-character pieces: each value is
+    filed under the one of its pieces that the fewest names have, a name looks up
+    each of its pieces once, and ``contains`` decides. A name makes at most as many
+    candidates as it has characters, however many values there are, and meets only
+    values whose rarest piece it has. Values of one or two characters are filed
+    whole; names make such pieces only if there are such values.
     """
-    size = F.length("ioc_value")
-    ending = F.when(F.col("ioc_value").contains("."), F.length(F.substring_index("ioc_value", ".", -1)) + 1).otherwise(0)
-    shapes = values.agg(F.array_sort(F.collect_set(F.struct(size.alias("size"), ending.alias("ending"))))).scalar()
     distinct = names.select(F.lower(name).alias("name")).where(F.col("name") != "").distinct()
-    length = F.length("name")
-    dots = F.filter(F.sequence(F.lit(1), length), lambda i: F.substring(F.col("name"), i, F.lit(1)) == ".")
-    ready = evaluated_once(distinct.withColumn("_shapes", shapes), "_dots", dots)
-
-    def starts(shape: Column) -> Column:
-        by_dot = F.transform("_dots", lambda dot: dot + shape["ending"] - shape["size"])
-        fits = F.filter(by_dot, lambda start: (start >= 1) & (start + shape["size"] - 1 <= length))
-        return F.when(shape["ending"] > 0, fits).otherwise(F.sequence(F.lit(1), length - shape["size"] + 1))
-
-    fitting = F.filter("_shapes", lambda shape: shape["size"] <= length)
-    parts = F.flatten(
-        F.transform(fitting, lambda shape: F.transform(starts(shape), lambda at: F.substring(F.col("name"), at, shape["size"])))
-    )
-    candidates = evaluated_once(ready, "_parts", F.array_distinct(parts))
-    return candidates.select("name", F.explode("_parts").alias("ioc_value")).join(values, "ioc_value")
+    known = values.where(F.length("ioc_value") > 0).withColumn("_size", F.least(F.length("ioc_value"), F.lit(_GRAM)))
+    sizes = known.agg(F.array_sort(F.collect_set("_size"))).scalar()
+    sized = evaluated_once(distinct.withColumn("_sizes", sizes), "_parts", F.flatten(F.transform("_sizes", lambda n: _grams("name", n))))
+    probes = sized.select("name", F.explode("_parts").alias("gram"))
+    common = probes.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    own = known.select("ioc_value", F.explode(_grams("ioc_value", F.col("_size"))).alias("gram"))
+    rarest = F.struct(F.coalesce("names", F.lit(0).cast("long")), "gram")  # a piece that no name has: the value is in none
+    filed = own.join(common, "gram", "left").groupBy("ioc_value").agg(F.min_by("gram", rarest).alias("gram"))
+    return probes.join(filed, "gram").where(F.col("name").contains(F.col("ioc_value"))).select("name", "ioc_value")
 
 
 def labels_containing(names: DataFrame, name: str, values: DataFrame) -> DataFrame:
