@@ -412,3 +412,42 @@ def test_names_containing_equals_brute_force(spark):
     got = [(r["name"], r.ioc_value) for r in made.collect()]
     want = {(n.lower(), v) for n in names if n for v in values if v and v in n.lower()}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_update_bursts_of_a_storm(spark):
+    rng = random.Random(13)
+    times = sorted([100 + rng.randrange(5000) / 5000 for _ in range(100_000)] + [rng.randrange(2000) / 4 for _ in range(500)] + [50.0] * 25)
+    df = spark.createDataFrame([(t,) for t in times], "ts double").selectExpr("'c' AS capture", "'OSPF' AS protocol", "'LSUpdate' AS msg_type", "ts")
+    want = sorted((a, b - a) for a, b in zip(times, times[10:]) if b - a <= 5)
+    got = sorted((r.burst_start, r.span) for r in netops.ospf_update_bursts(df).collect())
+    assert got == want
+
+
+def test_events_of_a_hot_bucket_near_report_times(spark):
+    rng = random.Random(14)
+    events = [(1000.0 + rng.random() * 200, f"h{i % 300}") for i in range(4000)] + [(rng.random() * 20_000, f"h{i % 7}") for i in range(2000)]
+    marks = [("a", 1100.0), ("a", 1150.0), ("a", 9000.0), ("b", 950.0), ("c", 99_999.0)]
+    made = intel.near_report_times(spark.createDataFrame(events, "ts double, src_ip string"), spark.createDataFrame(marks, "report_path string, ts double"))
+    got = {(r.report_path, r.src_ip): (r.events, r.first_seen, r.last_seen) for r in made.collect()}
+    want = {}
+    for report in "abc":
+        for t, host in events:
+            if any(r == report and abs(t - m) <= 300 for r, m in marks):
+                want.setdefault((report, host), []).append(t)
+    assert got == {k: (len(v), min(v), max(v)) for k, v in want.items()}
+
+
+def test_flows_of_a_hot_source_and_hits_of_a_long_report_are_numbered(spark):
+    rng = random.Random(15)
+    rows = [conn("10.0.0.1" if i % 3 else f"10.0.1.{i % 20}", f"192.168.{i % 9}.{i % 250}", rng.choice([22, 445, 3389]), i) for i in range(3000)]
+    convs = flows.conversations(table(spark, "connections", rows))
+    got = {}
+    for r in hunts.lateral_flows(convs).collect():
+        got.setdefault(r.src_ip, []).append((r.flow_no, r.dst_ip, r.dst_port))
+    for source, found in got.items():
+        want = sorted({(r["dst_ip"], r["dst_port"]) for r in rows if r["src_ip"] == source})
+        assert sorted(found) == [(no, *flow) for no, flow in enumerate(want, 1)]
+    text = "\n".join("a Needle here" if i % 2 else "nothing" for i in range(5000))
+    reports = spark.createDataFrame([("r", "n", "s", text), ("q", "n", "s", "needle")], "report_path string, name string, subdirectory string, text string")
+    hits = sorted((r.report_path, r.hit_no, r.match) for r in intel.search_reports(reports, "needle").collect())
+    assert hits == [("q", 1, "Line 1: needle")] + [("r", no, f"Line {2 * no}: a needle here") for no in range(1, 2501)]

@@ -304,12 +304,19 @@ def unmatched(iocs: DataFrame, evidence: DataFrame) -> DataFrame:
     return keys.join(evidence.select("ioc_type", "ioc_value").distinct(), ["ioc_type", "ioc_value"], "left_anti")
 
 
+#: Pieces that one time bucket's events are dealt into by host.
+_DEALT = 256
+
+
 def near_report_times(events: DataFrame, marks: DataFrame, seconds: float = 300.0) -> DataFrame:
     """Per report: events and hosts within ``seconds`` of any time it names.
 
     The report times are merged into disjoint intervals per report and cut at
     time buckets, so an event meets each report at most once; events are
-    counted per (second, host) before they meet any interval.
+    counted per (second, host) before they meet any interval. A bucket's events are
+    dealt into pieces by host, and its intervals are copied to just those pieces that
+    hold events, so a bucket with a third of all events is spread over many tasks
+    and a quiet one costs no copies beyond the pairs that are compared anyway.
     """
     edges = marks.select("report_path", (F.col("ts") - seconds).alias("lo"), (F.col("ts") + seconds).alias("hi")).distinct()
     by_start = Window.partitionBy("report_path").orderBy("lo", "hi")
@@ -319,7 +326,9 @@ def near_report_times(events: DataFrame, marks: DataFrame, seconds: float = 300.
     merged = islands.groupBy("report_path", "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     cut = merged.withColumn("bucket", F.explode(F.sequence(epoch_bucket("lo", seconds), epoch_bucket("hi", seconds))))
     counted = events.groupBy("ts", "src_ip").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", epoch_bucket("ts", seconds))
-    hits = counted.join(cut, "bucket").where(F.col("ts").between(F.col("lo"), F.col("hi")))
+    counted = counted.withColumn("piece", F.pmod(F.xxhash64("src_ip"), F.lit(_DEALT)))
+    placed = cut.join(counted.select("bucket", "piece").distinct(), "bucket")
+    hits = counted.join(placed, ["bucket", "piece"]).where(F.col("ts").between(F.col("lo"), F.col("hi")))
     per_host = hits.groupBy("report_path", "src_ip").agg(
         F.sum("n").alias("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesift.functions import network as nw
-from tracesift.functions.times import epoch_bucket
 
 from .flows import CONVERSATION_KEYS
-from .ranking import gap_statistics, top_n, top_per_group, value_changes, with_group_totals
+from .ranking import gap_statistics, numbered, top_n, top_per_group, value_changes, with_group_totals
 
 FIN, SYN, RST = 1, 2, 4
 
@@ -401,19 +400,22 @@ def ospf_neighbor_gaps(control_plane: DataFrame, gap_seconds: float = 40.0, dead
 def ospf_update_bursts(control_plane: DataFrame, steps: int = 10, seconds: float = 5.0) -> DataFrame:
     """Windows of a capture in which the update ``steps`` places later comes within ``seconds``.
 
-    Such a pair lies in one time bucket or in two neighbouring ones. Every row
-    is therefore also copied to the bucket before its own, and each bucket is
-    scanned by itself; only rows of the bucket proper start a window.
+    Updates are numbered in their capture over range partitions and meet the update
+    ``steps`` numbers further on by an equi-join, so a storm is spread over many
+    tasks. Of updates at one instant only the last ``steps`` can reach another
+    instant and only the first ``steps`` can be reached: the others begin windows of
+    span 0 and need no number.
     """
-    updates = _messages(control_plane, "OSPF").where(F.col("msg_type") == "LSUpdate").select("capture", "ts")
-    bucket = epoch_bucket("ts", seconds)
-    copies = updates.select(
-        "capture", "ts", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")),
-                                F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("own")))).alias("_copy")
-    ).select("capture", "ts", "_copy.bucket", "_copy.own")
-    order = Window.partitionBy("capture", "bucket").orderBy("ts", F.desc("own"))
-    spans = copies.withColumn("span", F.lead("ts", steps).over(order) - F.col("ts"))
-    found = spans.where(F.col("own") & (F.col("span") <= seconds))
+    updates = _messages(control_plane, "OSPF").where(F.col("msg_type") == "LSUpdate").where(F.col("ts").isNotNull())
+    instants = updates.groupBy("capture", "ts").agg(F.count(F.lit(1)).alias("n"))
+    some = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(steps))))
+    ranked = numbered(instants.select("capture", "ts", some.alias("i")), ["capture"], F.asc("ts"), F.asc("i"), name="no")
+    later = ranked.select(F.col("capture").alias("_capture"), (F.col("no") - steps).alias("_no"), F.col("ts").alias("end"))
+    same = F.col("capture").eqNullSafe(F.col("_capture")) & (F.col("no") == F.col("_no"))
+    apart = ranked.join(later, same).select("capture", "ts", (F.col("end") - F.col("ts")).alias("span"))
+    more = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - steps))
+    crowded = instants.where(F.col("n") > steps).select("capture", "ts", F.lit(0.0).alias("span"), more.alias("i")).drop("i")
+    found = apart.unionByName(crowded).where(F.col("span") <= seconds)
     rate = F.when(F.col("span") > 0, F.lit(float(steps)) / F.col("span")).otherwise(999.0)
     return found.select("capture", F.col("ts").alias("burst_start"), "span", rate.alias("rate"))
 

@@ -41,6 +41,11 @@ def line_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> Data
     return raw.select(F.col("value").alias("line"), F.current_timestamp().alias("event_time"))
 
 
+def entry_stream(spark: SparkSession, folder: str, schema: str, max_files: int = 1000) -> DataFrame:
+    """Parsed rows as they arrive in a folder of Parquet files, oldest files first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
+
+
 def start(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", once: bool = False) -> StreamingQuery:
     """Append finished windows to files; with ``once`` all present input, then stop."""
     writer = df.writeStream.outputMode("append").format(fmt).option("path", path).option("checkpointLocation", checkpoint)
