@@ -451,3 +451,18 @@ def test_flows_of_a_hot_source_and_hits_of_a_long_report_are_numbered(spark):
     reports = spark.createDataFrame([("r", "n", "s", text), ("q", "n", "s", "needle")], "report_path string, name string, subdirectory string, text string")
     hits = sorted((r.report_path, r.hit_no, r.match) for r in intel.search_reports(reports, "needle").collect())
     assert hits == [("q", 1, "Line 1: needle")] + [("r", no, f"Line {2 * no}: a needle here") for no in range(1, 2501)]
+
+
+def test_layers_of_a_long_chain_and_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_TARGETS", 7)
+    writes = []
+    monkeypatch.setattr(graph, "written_once", lambda df, own=graph.written_once: writes.append(1) or own(df))
+    chain = [("chain", f"n{i:03}", f"n{i + 1:03}") for i in range(119)]
+    hub = [("hub", "h", f"t{i}") for i in range(40)] + [("hub", "t3", "h2")] + [("hub", "h2", f"u{i}") for i in range(20)]
+    ring = [("ring", "a", "b"), ("ring", "b", "c"), ("ring", "c", "b"), ("all", "x", "y"), ("all", "y", "x")]
+    got = {(r.report_path, r.node): r.layer for r in graph.layers(spark.createDataFrame(chain + hub + ring, "report_path string, source string, target string")).collect()}
+    want = {("chain", f"n{i:03}"): i for i in range(120)}
+    want |= {("hub", "h"): 0, ("hub", "h2"): 2} | {("hub", f"t{i}"): 1 for i in range(40)} | {("hub", f"u{i}"): 3 for i in range(20)}
+    want |= {("ring", "a"): 0, ("ring", "b"): 1, ("ring", "c"): 1, ("all", "x"): 0, ("all", "y"): 0}
+    assert got == want
+    assert len(writes) <= 12  # a tenth of the depth

@@ -183,3 +183,28 @@ def test_streams(spark, tmp_path):
         out = spark.read.parquet(str(tmp_path / name))
         value = "denies" if name == "deny" else "cnt"
         assert sorted(r[value] for r in out.collect()) == [1, 2]
+
+
+def test_dns_and_tls_messages_of_every_length(spark):
+    from tracesift.plans.bindings import DNS_CASES, TLS_CASES
+
+    def payloads(cases, proto):
+        rows = []
+        for no, case in enumerate(cases):
+            whole = bytes.fromhex(case[0])
+            rows += [("c", float(no), proto, 53, 40000, bytearray(whole[:n])) for n in range(1, len(whole) + 1)]
+        return spark.createDataFrame(rows, "capture string, ts double, ip_proto int, src_port int, dst_port int, payload binary").selectExpr("*", "'a' AS src_ip", "'b' AS dst_ip")
+
+    dns = payloads(DNS_CASES, 17)
+    found = packets.dns_messages(dns).collect()
+    assert len(found) == dns.count()
+    for no, (_, kind, query, qtype, answer, code) in enumerate(DNS_CASES):
+        sound = [(r.kind, r.query, r.qtype, r.answer, r.rcode) for r in found if r.ts == no and r.kind != "malformed"]
+        assert all(s[1] == query for s in sound)
+        assert not sound if kind == "malformed" else sound[-1] == (kind, query, qtype, answer, code)
+    assert packets.dns_queries(dns).where("qtype = '16'").count() == 1 and packets.dns_responses(dns).count() > 3
+    hellos = packets.tls_client_hellos(payloads(TLS_CASES, 6)).collect()
+    # a hello that ends where its extensions would begin is whole too
+    assert {(r.sni, r.malformed) for r in hellos if r.ts == 0} == {(None, True), (None, False), ("host7.example.net", False)}
+    whole = {no: sum(not r.malformed for r in hellos if r.ts == no) for no in range(len(TLS_CASES))}
+    assert whole == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0}

@@ -221,6 +221,64 @@ SELECT concat('pa-', l_suppkey % 8) AS file_path, {_LINE_NO} AS line_no,
     CAST(l_quantity * 100 AS BIGINT), ',', CAST(l_quantity * 7 AS BIGINT), CASE WHEN l_linenumber = 7 THEN ',1' ELSE ',1,2,3' END) AS line
 FROM {{lineitem}}"""
 
+# --- DNS and TLS payloads ------------------------------------------------------------------
+
+
+def _labels(name: str) -> str:
+    return "".join(f"{len(x):02X}{x.encode().hex().upper()}" for x in name.split("."))
+
+
+def _dns(flags: str, name: str, kind: int, *answers: str, tail: str = "00") -> str:
+    return f"1234{flags}0001{len(answers):04X}00000000{_labels(name)}{tail}{kind:04X}0001{''.join(answers)}"
+
+
+def _answer(kind: int, data: str) -> str:
+    return f"C00C{kind:04X}00010000003C{len(data) // 2:04X}{data}"
+
+
+#: Payload, and what it means: kind, query, type, answer, code.
+DNS_CASES = (
+    (_dns("0100", "www.example.com", 1), "query", "www.example.com", "1", None, None),
+    (_dns("0100", "a.b.test", 16), "query", "a.b.test", "16", None, None),
+    (_dns("8180", "www.example.com", 1, _answer(1, "CB007107"), _answer(1, "CB007108")), "response", "www.example.com", "1", "203.0.113.7", "NOERROR"),
+    (_dns("8180", "cdn.example.com", 5, _answer(5, "0465646765C010")), "response", "cdn.example.com", "5", "edge.example.com.", "NOERROR"),
+    (_dns("8180", "v6.test", 28, _answer(28, "20010DB8000000000000000000000001")), "response", "v6.test", "28", "2001:db8::1", "NOERROR"),
+    (_dns("8180", "t.test", 16, _answer(16, "0B763D73706631202D616C6C")), "response", "t.test", "16", "v=spf1 -all", "NOERROR"),
+    (_dns("8183", "gone.test", 1), "no_answer", "gone.test", "1", None, "NXDOMAIN"),
+    (_dns("0100", "loop.test", 1, tail="C00C"), "malformed", None, None, None, None),
+    ("12340100000100000000000003777777C00C00010001", "malformed", None, None, None, None),
+    ("1234010000010000", "malformed", None, None, None, None),
+    (_dns("0100", "cut.test", 1)[:-14], "malformed", None, None, None, None),
+    (_dns("8180", "short.test", 1, _answer(1, "CB007107"))[:-4], "malformed", None, None, None, None),
+)
+
+
+def _hello(*extensions: str, session: str = "", cut: int = 0) -> str:
+    tail = "".join(extensions)
+    body = f"0303{'AB' * 32}{len(session) // 2:02X}{session}0004130113020100" + (f"{len(tail) // 2:04X}{tail}" if extensions else "")
+    message = f"01{len(body) // 2:06X}{body}"
+    whole = f"160301{len(message) // 2:04X}{message}"
+    return whole[: len(whole) - 2 * cut]
+
+
+def _named(name: str) -> str:
+    data = name.encode().hex().upper()
+    n = len(name)
+    return f"0000{n + 5:04X}{n + 3:04X}00{n:04X}{data}"
+
+
+#: Payload, and what it means: whether it is a ClientHello, its name, and whether it is malformed.
+TLS_CASES = (
+    (_hello(_named("host7.example.net")), True, "host7.example.net", False),
+    (_hello("000A00040002001D", "FF01000100", _named("cdn3.evil-corp1.com"), session="CD" * 32), True, "cdn3.evil-corp1.com", False),
+    (_hello("000A00040002001D"), True, None, False),
+    (_hello(), True, None, False),
+    (_hello(_named("cut.example.net"), cut=4), True, None, True),
+    (_hello(_named("early.example.net"), "000A00040002001D", cut=3), True, "early.example.net", True),
+    (_hello(session="CD" * 32, cut=20), True, None, True),
+    ("16030300040E000000", False, None, False),
+)
+
 # --- packets ---------------------------------------------------------------------------------
 _PORTS = "502,102,20000,21,80,443,161,23,25,53,5900,47808"
 _SERVICE = "service"
@@ -256,6 +314,8 @@ SELECT concat('cap-', l_orderkey % 3) AS capture, {_LINE_NO} AS pkt_no,
         'PUT /f HTTP/1.1\r\n\r\n', 'DELETE /g HTTP/1.1\r\nHOST:  d.test \r\n\r\n')), 'l_orderkey')}
     WHEN {_SERVICE} = '23' THEN {_pick(','.join(t.encode().hex().upper() for t in ('host Login: ', 'ls -la')), 'l_orderkey')}
     WHEN {_SERVICE} = '25' THEN {_pick(','.join(t.encode().hex().upper() for t in ('AUTH LOGIN', 'EHLO example')), 'l_orderkey')}
+    WHEN {_SERVICE} = '53' AND l_linenumber = 5 THEN {_pick(','.join(c[0] for c in DNS_CASES), 'l_orderkey')}
+    WHEN {_SERVICE} = '443' AND l_linenumber <= 4 THEN {_pick(','.join(c[0] for c in TLS_CASES), 'l_orderkey')}
     WHEN {_SERVICE} = '161' THEN {_pick('302601,3026010104', 'l_orderkey')}
     ELSE '0102030405' END AS payload_hex
 FROM (SELECT *, {_pick(_PORTS, 'l_partkey')} AS service FROM {{lineitem}}) l"""

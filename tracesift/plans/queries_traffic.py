@@ -12,7 +12,7 @@ from tracesift.operators import flows, hunts, netops, ot
 from tracesift.sources import packets as pk
 from tracesift.sources import zeek
 
-from .bindings import Inputs
+from .bindings import DNS_CASES, TLS_CASES, Inputs
 from .oracle_sql import case_of, internal, loc, oracle, ports, service
 from .queries_logs import joined
 
@@ -499,6 +499,40 @@ WHERE regexp_matches(body, '^(GET |POST|PUT |HEAD|DELE|PATC|OPTI)')""",
         "packets",
     ),
 )
+_CASE = lambda cases, field: "CASE l_no " + " ".join(
+    f"WHEN {no} THEN {'NULL' if case[field] is None else repr(case[field]) if isinstance(case[field], str) else case[field]}" for no, case in enumerate(cases)
+) + " END"
+
+
+def _by_payload(cases, which: str) -> str:
+    arms = " ".join(f"WHEN '{case[0]}' THEN {no}" for no, case in enumerate(cases))
+    return f"(SELECT *, CASE payload_hex {arms} END AS l_no FROM packets WHERE {which})"
+
+
+QUERIES["packet_dns_messages"] = (
+    lambda x: pk.dns_messages(x.packets),
+    oracle(
+        f"""SELECT capture, ts, src_ip, dst_ip, {', '.join(f"{_CASE(DNS_CASES, no)} AS {name}" for no, name in enumerate(('kind', 'query', 'qtype', 'answer', 'rcode'), 1))}
+FROM {_by_payload(DNS_CASES, 'ip_proto = 17 AND (src_port = 53 OR dst_port = 53)')}""",
+        "packets",
+    ),
+)
+QUERIES["packet_dns_totals"] = (
+    lambda x: pk.dns_messages(x.packets).groupBy("capture", "kind").agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("query").alias("names")),
+    oracle(
+        f"""SELECT capture, kind, count(*) AS messages, count(DISTINCT query) AS names FROM (SELECT capture, {_CASE(DNS_CASES, 1)} AS kind, {_CASE(DNS_CASES, 2)} AS query
+FROM {_by_payload(DNS_CASES, 'ip_proto = 17 AND (src_port = 53 OR dst_port = 53)')}) q GROUP BY capture, kind""",
+        "packets",
+    ),
+)
+QUERIES["packet_tls_names"] = (
+    lambda x: pk.tls_client_hellos(x.packets),
+    oracle(
+        f"""SELECT capture, ts, src_ip, dst_ip, dst_port, {_CASE(TLS_CASES, 2)} AS sni, {_CASE(TLS_CASES, 3)} AS malformed
+FROM {_by_payload(TLS_CASES, "ip_proto = 6")} WHERE {_CASE(TLS_CASES, 1)}""",
+        "packets",
+    ),
+)
 QUERIES["arp_messages"] = (
     lambda x: pk.arp_messages(x.packets),
     oracle(
