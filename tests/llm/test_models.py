@@ -331,3 +331,13 @@ def test_pipeline_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, FOLDER)
     same = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert whole.select(same).exceptAll(before.select(same)).count() == 0
+
+
+def test_every_language_gets_a_profile(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26)}x{chr(97 + i // 676)} " * 20, f"l{i:04}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["lang"] for r in docs.where(fold(F.col("doc_id"), 4) != 2).select("lang").collect()}
+    profiles = langid.learn(docs)
+    assert set(profiles.names) == kept and len(kept) > 1000
+    few = langid.learn(docs.where("doc_id < 8").unionByName(docs.where("doc_id < 8")), most=1)
+    assert len(few.names) == docs.where("doc_id < 8").where(fold(F.col("doc_id"), 4) != 2).count()

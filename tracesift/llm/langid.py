@@ -8,10 +8,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracesift.llm.common import fold, sampled, strings
+from tracesift.llm.common import fold, strings
 from tracesift.session import discard, written_once
 
 #: N-grams in a profile, n-gram sizes, and texts per language that a profile is learnt from.
@@ -80,21 +80,21 @@ class Profiles:
         return self.names[best], float(1 - distance[best] / (RANKS * len(codes)))
 
 
-def learn(docs: DataFrame, parts: int = 4, held: int = 2, most: int = SAMPLE, languages: int = 1000) -> Profiles:
-    """Profiles from at most ``most`` texts of each language outside the held-out fold.
+def _first(rows: DataFrame, key: str, most: int, *order) -> DataFrame:
+    ranks = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_rank", ranks).where(F.col("_rank") <= most).drop("_rank")
 
-    N-grams are counted per batch on the executors and summed by Spark; the
-    driver gets the ``RANKS`` most frequent of each language. At most
-    ``languages`` languages, those with the most texts; others are no profile.
+
+def learn(docs: DataFrame, parts: int = 4, held: int = 2, most: int = SAMPLE) -> Profiles:
+    """Profiles from at most ``most`` texts of each language outside the held-out fold, of every language there.
+
+    The sample, those with the smallest hash of the id, and the ``RANKS`` most
+    frequent n-grams are ranks within a language, which Spark prunes before it
+    shuffles. N-grams are counted per batch on the executors and summed by Spark;
+    the driver gets ``RANKS`` rows a language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), parts) != held)
-    names = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    ids = None
-    for name in names:
-        part = sampled(usable.where(F.col("lang") == name).select("doc_id"), most).withColumn("_lang", F.lit(name))
-        ids = part if ids is None else ids.union(part)
-    if ids is None:
-        return Profiles({})
+    ids = _first(usable.select("doc_id", F.col("lang").alias("_lang")), "_lang", most, F.xxhash64("doc_id"), F.col("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +110,9 @@ def learn(docs: DataFrame, parts: int = 4, held: int = 2, most: int = SAMPLE, la
     texts = usable.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), "lang").join(
         F.broadcast(ids.withColumnRenamed("doc_id", "_id").distinct()), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
     counts = written_once(texts.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
-    ranked = {}
-    top = None
-    for name in names:
-        part = counts.where(F.col("lang") == name).orderBy(F.desc("n"), "code").limit(RANKS)
-        top = part if top is None else top.union(part)
-    for lang, code, n in sorted(top.collect(), key=lambda r: (r[0], -r[2], r[1])):
+    ranked: dict[str, list[int]] = {}
+    top = _first(counts, "lang", RANKS, F.desc("n"), F.asc("code")).collect()
+    for lang, code, _ in sorted(top, key=lambda r: (r[0], -r[2], r[1])):
         ranked.setdefault(lang, []).append(code)
     discard(counts)
     return Profiles({k: np.array(v, np.int64).view(np.uint64) for k, v in ranked.items()})
