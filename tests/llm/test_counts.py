@@ -128,6 +128,14 @@ def test_counts_of_spliced_texts_equal_the_tokenizer(spark):
     assert tokencount.token_counts(docs_of(spark, []), PATH).count() == 0
 
 
+def test_counts_by_units_equal_the_tokenizer():
+    rng = random.Random(10)
+    texts = [*hard_texts(rng), *(" ".join(t) for t in hard_texts(rng)), "", " ", "a  b", "a\u3000 b", "a\u00a0 b", "a\x1f b", "x\n y", "<|endoftext|> <|endoftext|>", "a <|endof text|>"]
+    encode = tokencount._tokenizer(PATH).encode
+    for _ in range(2):
+        assert tokencount._counts(PATH, texts) == [len(encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_counts_with_production_sizes(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(hard_texts(rng)[:20]) * 60) for i in range(3)] + [(9, "z" * 150_000), (10, "short")]

@@ -15,6 +15,7 @@ So x begins a word of the whole text too, and words are encoded one by one.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
@@ -45,14 +46,37 @@ def margin_of(path: str) -> int:
     return max([len(t.content) for t in _tokenizer(path).get_added_tokens_decoder().values()], default=0) + 3
 
 
+#: A space after a visible ASCII character always begins a word of the pre-tokenizer, and no special string holds one.
+_CUT = re.compile("(?<=[!-~])(?= )")
+#: Units whose counts a worker keeps, and the characters of the longest kept; when full it starts anew.
+_KEPT_UNITS, _KEPT_CHARS = 1_000_000, 64
+
+
+@cache
+def _kept(path: str) -> dict[str, int]:
+    return {}
+
+
+def _counts(path: str, texts: list[str]) -> list[int]:
+    """The tokens of each text, as the sum over its units; each distinct short unit is encoded once a worker."""
+    kept = _kept(path)
+    if len(kept) > _KEPT_UNITS:
+        kept.clear()
+    cut = [_CUT.split(text) for text in texts]
+    missing = list({unit for units in cut for unit in units if unit not in kept})
+    new = dict(zip(missing, map(len, _tokenizer(path).encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+    kept.update((unit, n) for unit, n in new.items() if len(unit) <= _KEPT_CHARS)
+    return [sum(kept[unit] if unit in kept else new[unit] for unit in units) for units in cut]
+
+
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch, "text")
             kept = batch.drop_columns(["text"])
             for lo, hi in slices(texts):
-                encoded = _tokenizer(path).encode_batch_fast(texts.slice(lo, hi - lo).to_pylist(), add_special_tokens=False)
-                yield kept.slice(lo, hi - lo).append_column("n_tokens", pa.array([len(e) for e in encoded], pa.int64()))
+                counts = _counts(path, texts.slice(lo, hi - lo).to_pylist())
+                yield kept.slice(lo, hi - lo).append_column("n_tokens", pa.array(counts, pa.int64()))
 
     return run
 
