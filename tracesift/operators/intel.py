@@ -477,7 +477,7 @@ def repair_tactics(steps: DataFrame, techniques: DataFrame) -> DataFrame:
 
 
 _MAP = "struct<tactic:string,technique_name:string,confidence:string,report_context:string>"
-_STEP = "struct<path_no:int,step_no:int,path_id:string,tactic:string>"
+_STEP = "struct<path_no:bigint,step_no:int,path_id:string,tactic:string>"
 
 
 def _mentions(mappings: DataFrame, paths: DataFrame) -> DataFrame:
