@@ -163,3 +163,26 @@ def _written(x: Inputs) -> DataFrame:
 
 
 QUERIES["files_result"] = (_written, queries_logs.QUERIES["fw_deny_windows"][1])
+
+
+def _artifacts(x: Inputs) -> DataFrame:
+    """Nested chunk results, one JSON document a report."""
+    folder = _scratch(x)
+    names = [n for n, _ in x.chunks.dtypes]
+    whole = x.chunks.groupBy("report_path").agg(F.to_json(F.collect_list(F.struct(*names))).alias("text"))
+    whole.withColumnRenamed("report_path", "report").write.partitionBy("report").text(folder)
+    return reports.read_artifacts(x.spark, folder).select(
+        "report_path", "chunk_no", F.size("refined_iocs").cast("long").alias("indicators"),
+        F.size("additional_mitre_techniques").cast("long").alias("mappings"), F.get("refined_iocs", 0)["value"].alias("first_value"),
+    )
+
+
+QUERIES["files_artifacts"] = (
+    _artifacts,
+    oracle(
+        """SELECT report_path, chunk_no, i.n AS indicators, m.n AS mappings, first_value
+FROM (SELECT report_path, chunk_no, count(*) AS n, min_by(value, pos) AS first_value FROM chunk_indicators GROUP BY 1, 2) i
+JOIN (SELECT report_path, chunk_no, count(*) AS n FROM chunk_mappings GROUP BY 1, 2) m USING (report_path, chunk_no)""",
+        "chunk_indicators", "chunk_mappings",
+    ),
+)
