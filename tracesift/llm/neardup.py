@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracesift.llm import similar_sets
 from tracesift.llm.common import slices, strings, text_bytes
 from tracesift.llm.textkernel import mix, shingles, words
-from tracesift.session import written_once
+from tracesift.session import discard, written_once
 
 _SIGNED = "rid long, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>"
 
@@ -62,8 +62,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                           .mapInArrow(_signer(size, bands, rows), _SIGNED))
     classes = written_once(signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("rid").alias("class_id")).where("class_id is not null"))
     items = signed.join(classes, ["f1", "f2", "n_shingles"]).where("rid = class_id").select("rid", "bands", "sig").dropDuplicates(["rid", "bands"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text"))
-    found = similar_sets.similar_components(written_once(items), texts, size, percent)
+    items = written_once(items)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text")).join(items.select("rid", "sig"), "rid")
+    found = similar_sets.similar_components(items, texts, size, percent)
+    discard(items)
     rows_ = signed.select("rid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("f1")).alias("f1"), "f2")
     return (
         rows_.join(classes.select("f1", "f2", F.col("n_shingles").alias("size_"), "class_id"), ["f1", "f2"], "left")

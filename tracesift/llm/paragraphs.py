@@ -11,6 +11,7 @@ both directions, as far as they are equal.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,48 +29,125 @@ RUN, SPAN = 20, 31
 
 _RUNS = "doc_id long, print long, at int"
 _STRETCHES = "doc_id long, kept boolean, lo int, hi int, line int, start long, end long, first_doc long, first_line int, copies long"
-_SIGNED = "doc_id long, paragraph int, start long, n_chars long, n_words int, rid long, bands array<long>, sig array<long>, text string"
+_PLACES = "doc_id long, paragraph int, start long, n_chars long, n_words int, rid long, bands array<long>"
+#: Paragraphs that a task remembers, so as not to emit copies again; when full it starts anew.
+REMEMBERED = 1 << 19
+
+
+@dataclass
+class _Lines:
+    """The paragraphs of a slice of texts: who holds them, their words, shingles, places and prints."""
+
+    ids: pa.Array
+    numbers: np.ndarray
+    lengths: np.ndarray
+    hashes: np.ndarray
+    shingle_ends: tuple[np.ndarray, np.ndarray]
+    prints: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+    data: np.ndarray
+    text_starts: np.ndarray
+
+    def minima(self, which: np.ndarray, count: int) -> np.ndarray:
+        lo, hi = self.shingle_ends
+        return np.stack([similar_sets.minima(self.hashes[lo[k] : hi[k]], count) for k in which]) if len(which) else np.zeros((0, count), np.uint64)
+
+
+def _lines(batch: pa.RecordBatch, size: int, least_words: int) -> Iterator[_Lines]:
+    texts, ids = strings(batch, "text"), batch.column(0)
+    for lo, hi in slices(texts):
+        data, offsets = text_bytes(texts, lo, hi)
+        lines, owner = newline_units(data, offsets)
+        found = words(data, lines)
+        lengths = np.diff(found.first)
+        chosen = np.flatnonzero(lengths >= max(least_words, 1))
+        if not len(chosen):
+            continue
+        hashes, first = shingles(found.hashes, found.first, size)
+        within = (np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes) * (2 * within + np.uint64(1)), dtype=np.uint64)))
+        numbers = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        yield _Lines(ids.take(pa.array(owner[chosen] + lo)), numbers[chosen], lengths[chosen], hashes, (first[chosen], first[chosen + 1]),
+                     mix(sums[first[chosen + 1]] - sums[first[chosen]]), found.starts[found.first[chosen]], found.ends[found.first[chosen + 1] - 1],
+                     data, offsets[owner[chosen]])
+
+
+def _longs(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
 
 
-def _signer(size: int, bands: int, rows: int, count: int, least_words: int):
+def _unseen(prints: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Where prints first occur that are not among the ``seen`` ones, which then hold them."""
+    values, first = np.unique(prints, return_index=True)
+    new = [v not in seen for v in values.tolist()]
+    if len(seen) >= REMEMBERED:
+        seen.clear()
+    seen.update(values.tolist())
+    return first[np.array(new, bool)]
+
+
+def _placer(size: int, bands: int, rows: int, least_words: int):
+    """The places of all paragraphs; with band keys where the print falls into the sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts, ids = strings(batch, "text"), batch.column(0)
-            for lo, hi in slices(texts):
-                data, offsets = text_bytes(texts, lo, hi)
-                lines, owner = newline_units(data, offsets)
-                found = words(data, lines)
-                lengths = np.diff(found.first)
-                chosen = np.flatnonzero(lengths >= max(least_words, 1))
-                if not len(chosen):
-                    continue
-                hashes, first = shingles(found.hashes, found.first, size)
-                begins, ends = found.starts[found.first[chosen]], found.ends[found.first[chosen + 1] - 1]
-                within = (np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes) * (2 * within + np.uint64(1)), dtype=np.uint64)))
-                rids = sums[first[chosen + 1]] - sums[first[chosen]]
-                # of equal paragraphs only the first of a slice is signed
-                fresh = np.unique(rids, return_index=True)[1]
-                values = np.stack([similar_sets.minima(hashes[first[i] : first[i + 1]], count) for i in chosen[fresh]])
-                row = np.full(len(chosen), -1)
-                row[fresh] = np.arange(len(fresh))
-                row = pa.array(row, mask=row < 0)
-                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                numbers = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                raw = data.tobytes()
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())).take(row)
-                         for x in (similar_sets.band_keys(values, bands, rows), similar_sets.packed(values))]
-                signed = pa.array([raw[begins[k] : ends[k]].decode() for k in fresh], pa.string())
+            for part in _lines(batch, size, least_words):
+                counted = np.zeros(len(part.prints), bool)
+                counted[_unseen(part.prints, seen)] = True
+                chosen = np.flatnonzero(counted & (mix(part.prints, 5) % np.uint64(similar_sets.SAMPLED) == 0))
+                row = np.full(len(part.prints), -1)
+                row[chosen] = np.arange(len(chosen))
+                keys = _longs(similar_sets.band_keys(part.minima(chosen, bands * rows), bands, rows))
+                chars = np.concatenate(([0], np.cumsum((part.data & 0xC0) != 0x80)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner[chosen] + lo)), pa.array(numbers[chosen], pa.int32()),
-                     pa.array(chars[begins] - chars[offsets[owner[chosen]]], pa.int64()), pa.array(chars[ends] - chars[begins], pa.int64()),
-                     pa.array(lengths[chosen], pa.int32()), pa.array(mix(rids).view(np.int64)), *lists,
-                     signed.take(row)],
-                    names=["doc_id", "paragraph", "start", "n_chars", "n_words", "rid", "bands", "sig", "text"])
+                    [part.ids, pa.array(part.numbers, pa.int32()), pa.array(chars[part.begins] - chars[part.text_starts], pa.int64()),
+                     pa.array(chars[part.ends] - chars[part.begins], pa.int64()), pa.array(part.lengths, pa.int32()),
+                     pa.array(part.prints.view(np.int64)), keys.take(pa.array(row, mask=row < 0))],
+                    names=["doc_id", "paragraph", "start", "n_chars", "n_words", "rid", "bands"])
+
+    return run
+
+
+def _keyer(size: int, bands: int, rows: int, least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in _lines(batch, size, least_words):
+                fresh = _unseen(part.prints, seen)
+                keys = similar_sets.band_keys(part.minima(fresh, bands * rows), bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(part.prints[fresh].view(np.int64)), _longs(keys)], names=["rid", "bands"])
 
     return run
 
 
+def _texter(size: int, least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in _lines(batch, size, least_words):
+                fresh, raw = _unseen(part.prints, seen), part.data.tobytes()
+                own = pa.array([raw[part.begins[k] : part.ends[k]].decode() for k in fresh], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(part.prints[fresh].view(np.int64)), own], names=["rid", "text"])
+
+    return run
+
+
+def _signed(texts: DataFrame, size: int, count: int) -> DataFrame:
+    """``rid``, ``text``, ``sig`` of single paragraphs ``rid``, ``text``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = strings(batch, "text")
+            for lo, hi in slices(column):
+                found = words(*text_bytes(column, lo, hi))
+                hashes, first = shingles(found.hashes, found.first, size)
+                values = np.stack([similar_sets.minima(hashes[a:b], count) for a, b in zip(first[:-1], first[1:], strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column.slice(lo, hi - lo), _longs(similar_sets.packed(values))],
+                                                 names=["rid", "text", "sig"])
+
+    return texts.select("rid", "text").mapInArrow(run, "rid long, text string, sig array<long>")
+
+
 def _sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
     """``pick`` over every stretch of ``size`` values, by doubling."""
     out, done = values, 1
@@ -244,10 +322,12 @@ def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least
     """
     count = bands * rows
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = written_once(texts.mapInArrow(_signer(size, bands, rows, count, least_words), _SIGNED))
-    classes = signed.where("text is not null")
-    found = similar_sets.similar_components(classes.select("rid", "bands", "sig"), classes.select("rid", "text"), size, percent, count)
-    places = signed.select("doc_id", "paragraph", "start", "n_chars", "n_words", "rid").join(
+    placed = written_once(texts.mapInArrow(_placer(size, bands, rows, least_words), _PLACES))
+    found = similar_sets.similar_components(
+        texts.mapInArrow(_keyer(size, bands, rows, least_words), "rid long, bands array<long>"),
+        texts.mapInArrow(_texter(size, least_words), "rid long, text string"), size, percent, count,
+        sample=placed.where("bands is not null").select("rid", "bands").dropDuplicates(["rid"]), sign=lambda own: _signed(own, size, count))
+    places = placed.select("doc_id", "paragraph", "start", "n_chars", "n_words", "rid").join(
         found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")).drop("rid")
     groups = places.groupBy("component").agg(
         F.min("doc_id").alias("component_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("copies"),

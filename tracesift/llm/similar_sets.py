@@ -1,7 +1,7 @@
 """Links between similar shingle sets: band candidates, b-bit estimates, exact checks, components.
 
 The items are classes of equal sets, each with band keys and a packed
-signature. Groups are never expanded into all pairs: in each bucket members are
+signature. Band keys are shuffled once. Groups are never expanded into all pairs: in each bucket members are
 first tested against one hub; only buckets whose members still lie in several
 components are then compared pairwise, in blocks of bounded size, and only
 pairs between components whose finer signatures agree well enough leave the
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracesift.llm.common import components, slices, strings, text_bytes
 from tracesift.llm.textkernel import LOWER_BYTES, mix, shingles, words
@@ -31,6 +32,10 @@ BLOCK = 1024
 HUB_ROUNDS = 2
 #: Standard errors by which an estimate may fall short of the threshold.
 MARGIN = 5.5
+#: One of so many items is counted to find keys of large buckets; such a key has this many counted items at least.
+SAMPLED, EVIDENCE = 64, 16
+#: A bucket of a larger share of the items than one in so many is dealt over several tasks.
+SHARE = 10_000
 
 _A = mix(np.arange(FINE, dtype=np.uint64), 3) | np.uint64(1)
 _B = mix(np.arange(FINE, dtype=np.uint64), 4)
@@ -167,22 +172,59 @@ def _block_pairs(members: DataFrame, signatures: DataFrame, percent: int, count:
     ]).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
 
 
-def similar_components(items: DataFrame, texts: DataFrame, size: int, percent: int, count: int = MINIMA) -> DataFrame:
+def _large_buckets(sample: DataFrame) -> DataFrame:
+    """``key``, ``salts`` of the keys that hold more than one in ``SHARE`` of the sampled items.
+
+    Every item has a fixed number of keys, so there are at most that number
+    times ``SHARE`` of them, whatever the size of the data.
+    """
+    total = sample.agg(F.count("*").alias("total"))
+    counts = sample.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= EVIDENCE)
+    return counts.join(F.broadcast(total), F.col("n") * SHARE > F.col("total")).select(
+        "key", F.ceil(F.col("n") * SHARE / F.col("total")).cast("int").alias("salts"))
+
+
+def _members(items: DataFrame, sample: DataFrame) -> DataFrame:
+    """``key``, ``hub`` (the smallest item), ``rid`` of all items in buckets of two or more, as a written table.
+
+    The keys are shuffled once. Sorted by key and item, an item needs only the
+    bucket's first and the next one, so no bucket is held in memory; those of
+    ``_large_buckets`` are dealt over several tasks, and their hubs are found in a second step.
+    """
+    large = written_once(_large_buckets(sample))
+    postings = items.select("rid", F.explode("bands").alias("key")).join(F.broadcast(large), "key", "left").select(
+        "key", "rid", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int") + 1).otherwise(0).alias("salt"))
+    order = Window.partitionBy("key", "salt").orderBy("rid")
+    dealt = postings.select("key", "rid", "salt", F.first("rid").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"),
+                            F.lead("rid").over(order).alias("after"))
+    last_copy = F.col("after").isNull() | (F.col("after") != F.col("rid"))
+    shared = written_once(dealt.where(last_copy & ((F.col("salt") > 0) | (F.col("rid") != F.col("hub")) | F.col("after").isNotNull()))
+                          .select("key", "rid", "salt", "hub"))
+    tops = shared.where("salt > 0").groupBy("key").agg(F.min("rid").alias("top"))  # no more keys than in ``large``
+    members = written_once(shared.join(F.broadcast(tops), "key", "left").select("key", F.coalesce("top", "hub").alias("hub"), "rid"))
+    discard(shared)
+    discard(large)
+    return members
+
+
+def similar_components(items: DataFrame, texts: DataFrame, size: int, percent: int, count: int = MINIMA, sample: DataFrame | None = None,
+                       sign=None) -> DataFrame:
     """``node``, ``component`` of all items that have a similar other item.
 
-    ``items``: ``rid`` (orderable), ``bands`` and ``sig`` of ``count`` minima;
-    ``texts``: ``rid``, ``text``. Rows with the same ``rid`` are copies. Two
+    ``items``: ``rid`` (orderable) and ``bands``, read once; ``sample``: the
+    same of about one in ``SAMPLED`` items; ``texts``: ``rid``, ``text`` and
+    ``sig`` of ``count`` minima, which otherwise ``sign`` adds to the texts
+    that share a bucket. Rows with the same ``rid`` are copies. Two
     items are linked if 100 * intersection >= ``percent`` * union of their
     distinct shingles of ``size`` words. The component is its smallest ``rid``.
     Large intermediates are deleted when done; the result is a written table.
     """
     least = least_estimate(percent / 100, count)
-    postings = items.select("rid", F.explode("bands").alias("key"))
-    shared = postings.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub <> last")
-    members = written_once(postings.join(shared.select("key", "hub"), "key").dropDuplicates(["key", "rid"]))
-    ids = members.select("rid").distinct()
-    needed = written_once(texts.select("rid", "text").join(
-        items.select("rid", "sig").join(ids, "rid", "left_semi").dropDuplicates(["rid"]), "rid").dropDuplicates(["rid"]))
+    if sample is None:
+        sample = items.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0)
+    members = _members(items, sample)
+    held = texts.join(members.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
+    needed = written_once(sign(held) if sign else held)
     signatures = needed.select("rid", "sig")
 
     def tested(pairs: DataFrame) -> DataFrame:
