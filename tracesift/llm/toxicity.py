@@ -41,29 +41,71 @@ def terms(word: str) -> list[str]:
     return [word[:k] for k in range(STEM, min(len(word), LONGEST) + 1)] + [word + "$"]
 
 
-class Trie:
-    """Learnt terms: a value at every node, and which nodes end a lexicon word."""
+class Lexicon:
+    """A trie of the words whose misspellings are looked for."""
 
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.value: list[float | None] = [None]
-        self.word: list[bool] = [False]
-        self.halves: set[str] = set()
-        self.longest = 0
-        self.lexicon: list[dict[str, int]] = [{}]
-        self.lexicon_value: list[float | None] = [None]
 
-    def _add_word(self, plain: str, value: float) -> None:
-        """Lexicon words also stand in a trie of their own, which is small to walk with an automaton."""
+    def add(self, word: str, value: float) -> None:
         node = 0
-        for c in plain:
-            after = self.lexicon[node].get(c)
+        for c in word:
+            after = self.next[node].get(c)
             if after is None:
-                after = self.lexicon[node][c] = len(self.lexicon)
-                self.lexicon.append({})
-                self.lexicon_value.append(None)
+                after = self.next[node][c] = len(self.next)
+                self.next.append({})
+                self.value.append(None)
             node = after
-        self.lexicon_value[node] = value
+        self.value[node] = value
+
+    def near(self, word: str, same: int) -> float:
+        """The largest value of a word that shares its first ``same`` characters with ``word`` and is within one edit of it.
+
+        The trie is walked together with the Levenshtein automaton of ``word``:
+        a state holds, for no and for one edit, the positions reached in
+        ``word`` as bits; a branch ends when no position is left.
+        """
+        node = 0
+        for c in word[:same]:
+            node = self.next[node].get(c)
+            if node is None:
+                return 0.0
+        n = len(word)
+        if n < same:
+            return 0.0
+        masks: dict[str, int] = {}
+        for i in range(same, n):
+            masks[word[i]] = masks.get(word[i], 0) | 1 << i
+        full = (1 << (n + 1)) - 1
+        best = 0.0
+        stack = [(node, 1 << same, 1 << (same + 1) & full)]
+        while stack:
+            node, exact, edited = stack.pop()
+            value = self.value[node]
+            if value is not None and value > best and (exact | edited) >> n & 1:
+                best = value
+            branches = self.next[node]
+            if not branches:
+                continue
+            for c in branches if exact else masks.keys() & branches.keys():
+                mask = masks.get(c, 0)
+                unedited, once = (exact & mask) << 1, (edited & mask) << 1
+                once = (once | exact | exact << 1 | unedited << 1) & full
+                if unedited | once:
+                    stack.append((branches[c], unedited, once))
+        return best
+
+
+class Trie:
+    """Learnt terms: a value at every node, and which nodes end a lexicon word."""
+
+    def __init__(self) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.value: list[float | None] = [None]
+        self.word: list[bool] = [False]
+        self.longest = 0
+        self.forward, self.backward = Lexicon(), Lexicon()
 
     def add(self, term: str, value: float, word: bool) -> None:
         node = 0
@@ -78,10 +120,9 @@ class Trie:
         self.value[node], self.word[node] = value, word
         if word:
             plain = term.rstrip("$")
-            self._add_word(plain, value)
+            self.forward.add(plain, value)
+            self.backward.add(plain[::-1], value)
             self.longest = max(self.longest, len(plain))
-            self.halves.add("<" + plain[: len(plain) // 2])
-            self.halves.add(">" + plain[len(plain) // 2 :])
 
     def best(self, word: str) -> tuple[float, bool]:
         """The value at the deepest learnt stem of ``word``, and whether the whole word is known."""
@@ -97,36 +138,13 @@ class Trie:
     def near(self, word: str) -> float:
         """The largest value of a lexicon word within one edit of ``word``.
 
-        The trie is walked together with the Levenshtein automaton of ``word``:
-        a state holds, for each number of edits, the positions reached in
-        ``word`` as bits; a branch ends when no position is left. A word within one
-        edit shares its first or second half with the lexicon word, so words
-        that share neither are not walked.
+        One edit leaves the first or the last half of the lexicon word as it
+        is, so the word is followed without edits through half of the shortest
+        possible match, forwards and, in a trie of reversed words, backwards;
+        the automaton walks only what lies below.
         """
-        n = len(word)
-        h = n // 2
-        ends = {word[:h], word[: h + 1], word[: max(h - 1, 0)]}
-        tails = {word[k:] for k in (h - 1, h, h + 1) if 0 <= k <= n}
-        if not any("<" + x in self.halves for x in ends) and not any(">" + x in self.halves for x in tails):
-            return 0.0
-        masks: dict[str, int] = {}
-        for i, c in enumerate(word):
-            masks[c] = masks.get(c, 0) | 1 << i
-        full = (1 << (n + 1)) - 1
-        best = 0.0
-        stack = [(0, 1, 0b11 & full)]
-        while stack:
-            node, exact, edited = stack.pop()
-            if self.lexicon_value[node] is not None and (exact | edited) >> n & 1:
-                best = max(best, self.lexicon_value[node])
-            for c, after in self.lexicon[node].items():
-                mask = masks.get(c, 0)
-                same = (exact & mask) << 1
-                once = ((edited & mask) << 1) | exact | (exact << 1)
-                once = (once | (same << 1)) & full
-                if same | once:
-                    stack.append((after, same & full, once))
-        return best
+        half = max((len(word) - 1) // 2, FUZZY // 2)
+        return max(self.forward.near(word, half), self.backward.near(word[::-1], half))
 
 
 @dataclass
