@@ -410,3 +410,21 @@ def test_packed_pieces_equal_the_tokenizer(spark):
     assert packing.packed(docs.limit(0), tokenizer_path()).count() == 0
     twice = docs.where("doc_id = 0").union(docs.where("doc_id = 0"))
     assert packing.packed(twice, tokenizer_path()).count() == 2
+
+
+def test_large_buckets_are_dealt_and_keep_one_hub(spark, monkeypatch):
+    monkeypatch.setattr(similar_sets, "EVIDENCE", 3)
+    rng = random.Random(4)
+    rows = [(k, [7, 1000 + rng.randrange(30), 5000 + k]) for k in rng.sample(range(200), 80)]
+    rows += rows[:10] + [(300, [-1]), (301, [-1]), (302, [-2]), (302, [-2])]
+    items = spark.createDataFrame(rows, "rid long, bands array<long>")
+    want = {}
+    for rid, keys in rows:
+        for key in keys:
+            want.setdefault(key, set()).add(rid)
+    expected = sorted((key, min(own), rid) for key, own in want.items() if len(own) > 1 for rid in own)
+    for sample in (items, items.limit(0)):
+        found = similar_sets._members(items.repartition(5), sample)
+        assert sorted(tuple(r) for r in found.select("key", "hub", "rid").collect()) == expected
+    assert similar_sets._large_buckets(items).where("key = 7").count() == 1
+    assert similar_sets._members(items.limit(0), items.limit(0)).count() == 0
