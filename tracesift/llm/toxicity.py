@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesift.llm.common import fold, strings, table, training_texts
@@ -20,11 +20,13 @@ SAMPLE, LEAST_TOXIC = 20_000, 3
 STEM, LONGEST, FUZZY = 3, 14, 4
 #: Words on either side of a term that its context takes in.
 WINDOW = 6
-#: Words whose values a worker keeps; when full it starts anew.
+#: Words without a hit that a worker remembers; when full it starts anew.
 CACHED_WORDS = 400_000
 #: What a term counts for when its context quotes it.
 QUOTED = 0.3
 
+#: By name of the model a worker process scores with: its words with a hit, and those without. Later tasks go on with it.
+_LOOKED: dict[str, tuple[dict[str, tuple[float, float]], set[str]]] = {}
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡"
 _QUOTES = frozenset("\"«»“”„‘’'")
 #: Words that report speech rather than address anyone (fixed values).
@@ -152,30 +154,35 @@ class Model:
     trie: Trie
     weight: np.ndarray
     bias: float
-    cache: dict[str, tuple[float, float]] = field(default_factory=dict)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def __getstate__(self):
-        return {"trie": self.trie, "weight": self.weight, "bias": self.bias, "cache": {}}
+    def looked(self) -> tuple[dict[str, tuple[float, float]], set[str]]:
+        """The words that this process has looked up for this model, with and without a hit."""
+        if self.name not in _LOOKED:
+            _LOOKED.clear()
+            _LOOKED[self.name] = {}, set()
+        return _LOOKED[self.name]
 
     def look(self, word: str) -> tuple[float, float]:
         """The value of the word as learnt, and of the lexicon word it may be a misspelling of."""
-        found = self.cache.get(word)
-        if found is None:
-            value, known = self.trie.best(word)
-            near = 0.0 if known or value > 1 or not FUZZY - 1 <= len(word) <= self.trie.longest + 1 else self.trie.near(word)
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            found = self.cache[word] = (value, near)
-        return found
+        value, known = self.trie.best(word)
+        near = 0.0 if known or value > 1 or not FUZZY - 1 <= len(word) <= self.trie.longest + 1 else self.trie.near(word)
+        return value, near
 
     def features(self, text: str) -> list[float]:
         """What the lexicon and the contexts say about a text; all zero without a term."""
         words = tokens(text)
+        known, misses = self.looked()
         hits = {}
-        for w in set(words):
-            value, near = self.look(w)
-            if value > 1 or near > 1:
-                hits[w] = (value, near)
+        for w in set(words).difference(misses):
+            found = known.get(w) or self.look(w)
+            if found[0] > 1 or found[1] > 1:
+                hits[w] = known[w] = found
+                continue
+            if len(misses) >= CACHED_WORDS:
+                misses.clear()
+                known.clear()
+            misses.add(w)
         if not hits:
             return [0.0] * len(FEATURES)
         raw = text.split()
@@ -205,7 +212,10 @@ FEATURES = ("strongest", "five strongest", "terms", "strong terms", "distinct st
 
 def _is_quoted(raw: list[str], words: list[str], i: int) -> bool:
     """Whether the window around word ``i`` opens a quotation before it and closes one after it, or reports speech."""
-    before = sum(x[0] in _QUOTES for x in raw[max(0, i - WINDOW) : i + 1])
+    opened = [x[0] for x in raw[max(0, i - WINDOW) : i + 1]]
+    if _QUOTES.isdisjoint(opened):
+        return False
+    before = sum(x in _QUOTES for x in opened)
     ended = sum(x.rstrip(".,;:!?")[-1:] in _QUOTES for x in raw[max(0, i - WINDOW) : i])
     after = any(x.rstrip(".,;:!?")[-1:] in _QUOTES for x in raw[i : i + WINDOW + 1])
     if before > ended and after:
@@ -251,27 +261,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1.0) -> tuple[np.nda
     return w[:-1], float(w[-1])
 
 
-def _counted(chosen: DataFrame, half: int | None) -> tuple[Trie, int, int]:
-    """The lexicon from all chosen documents, or those of one half of them."""
-    part = chosen if half is None else chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == half)
+def _half() -> Column:
+    """Which half of the sample, 0 or 1, a document belongs to."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int")
+
+
+def _term_counts(texts: list[str], groups: list[int]) -> tuple[list[str], np.ndarray]:
+    """All terms of some texts, and in how many texts of each of four groups each occurs; the empty term stands for every text."""
+    numbers: dict[str, int] = {}
+    own = [[numbers.setdefault(w, len(numbers)) for w in set(tokens(text)) if w] for text in texts]
+    ids: dict[str, int] = {"": 0}
+    of_word = [np.array([ids.setdefault(t, len(ids)) for t in terms(w)], np.int64) for w in numbers]
+    counts = np.zeros((4, len(ids)), np.int64)
+    for words, group in zip(own, groups, strict=True):
+        counts[group, 0] += 1
+        if words:
+            counts[group, np.unique(np.concatenate([of_word[w] for w in words]))] += 1
+    return list(ids), counts
+
 
+def _counted(chosen: DataFrame) -> list[tuple]:
+    """Per term: toxic and other documents of the first half that hold it, and of the second half."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, Counter] = {0: Counter({"": 0}), 1: Counter({"": 0})}
-            for text, label in zip(strings(batch, "text").to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {t for w in set(tokens(text)) if w for t in terms(w)}
-                seen[int(label > 0)].update(own)
-                seen[int(label > 0)][""] += 1
-            for label, counts in seen.items():
-                n = len(counts)
-                values = pa.array(list(counts.values()), pa.int64())
-                zero = pa.array(np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *((values, zero) if label else (zero, values))], names=["term", "a", "b"])
-
-    sums = part.select("text", "_label").mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = [tuple(r) for r in sums.where((F.col("a") >= LEAST_TOXIC) | (F.col("term") == "")).orderBy("term").collect()]
-    totals = next(((a, b) for t, a, b in rows if t == ""), (0, 0))
-    return build_trie([r for r in rows if r[0]], *totals), *totals
+            groups = [2 * half + int(label <= 0) for label, half in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            names, counts = _term_counts(strings(batch, "text").to_pylist(), groups)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, counts)], names=["term", "a0", "b0", "a1", "b1"])
+
+    sums = chosen.select("text", "_label", _half().alias("half")).mapInArrow(run, "term string, a0 long, b0 long, a1 long, b1 long").groupBy("term").agg(
+        *(F.sum(c).alias(c) for c in ("a0", "b0", "a1", "b1")))
+    return [tuple(r) for r in sums.where((F.col("a0") + F.col("a1") >= LEAST_TOXIC) | (F.col("term") == "")).collect()]
+
+
+def _lexicon(counted: list[tuple], halves: tuple[int, ...]) -> Trie:
+    """The lexicon from the documents of some halves of the sample."""
+    rows = [(r[0], sum(r[1 + 2 * h] for h in halves), sum(r[2 + 2 * h] for h in halves)) for r in counted]
+    toxic, other = next(((a, b) for t, a, b in rows if t == ""), (0, 0))
+    return build_trie([r for r in rows if r[0] and r[1] >= LEAST_TOXIC], toxic, other)
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, most: int = SAMPLE) -> Model:
@@ -284,10 +310,11 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, mos
     """
     chosen = written_once(training_texts(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, "toxic", most, parts, held))
+    counted = _counted(chosen)
     x, y = [], []
     for half in (0, 1):
-        model = Model(_counted(chosen, half)[0], np.zeros(len(FEATURES)), 0.0)
-        other = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 1 - half)
+        model = Model(_lexicon(counted, (half,)), np.zeros(len(FEATURES)), 0.0)
+        other = chosen.where(_half() == 1 - half)
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -300,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, mos
         rows = other.select("doc_id", "text", "_label").mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
         x += rows.column("x").to_pylist()
         y += rows.column("label").to_pylist()
-    trie = _counted(chosen, None)[0]
+    trie = _lexicon(counted, (0, 1))
     discard(chosen)
     weight, bias = _logistic(np.array(x), (np.array(y) > 0).astype(float)) if x else (np.zeros(len(FEATURES)), 0.0)
     return Model(trie, weight, bias)
