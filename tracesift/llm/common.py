@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.session import discard, written_once
@@ -78,8 +78,15 @@ def text_bytes(texts: pa.Array, start: int, end: int) -> tuple[np.ndarray, np.nd
     return data, offsets - offsets[0]
 
 
-def _edge_print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).head())
+def _printed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and their number and print, observed by the write itself.
+
+    Rows that a lost executor makes Spark count twice change the print, which costs one more round.
+    """
+    seen = Observation()
+    table = written_once(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
+                                       F.sum(F.xxhash64("b", "a") % 1000003).alias("s")))
+    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -93,9 +100,8 @@ def components(links: DataFrame) -> DataFrame:
     short and lost executors cost one round; older rounds are deleted.
     Self-links and repeated links change nothing. No links: no rows.
     """
-    edges = written_once(links.where(F.col("a") != F.col("b")).select(
+    edges, seen = _printed(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = _edge_print(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m"))
@@ -103,8 +109,7 @@ def components(links: DataFrame) -> DataFrame:
             F.col("b").alias("a"), F.least("a", "_m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("_m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("_m").alias("b")).distinct()
-        after = written_once(small)
-        now = _edge_print(after)
+        after, now = _printed(small)
         discard(edges)
         edges = after
         if now == seen:

@@ -145,6 +145,50 @@ def _finely_signed(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("rid", "text", "sig").mapInArrow(run, f"rid {kind}, fine array<long>, sig array<long>")
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The lists of a column, all of one length, as rows."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.view(np.uint64).reshape(len(column), -1)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray, count: int, bits: int, least: float) -> np.ndarray:
+    """Which packed signatures allow the threshold, by the estimate of ``estimate``."""
+    x = a ^ b
+    if bits == 4:
+        x |= x >> np.uint64(1)
+        x = (x | x >> np.uint64(2)) & np.uint64(0x1111111111111111)
+    chance = 1 / 2**bits
+    return (1 - np.bitwise_count(x).sum(axis=-1, dtype=np.int64) / count - chance) / (1 - chance) >= least
+
+
+def _pairer(percent: int, count: int):
+    """Pairs of one block (two chunks of about ``BLOCK`` members of a hub, or one with itself), compared a few rows at a time."""
+    least, least_fine = least_estimate(percent / 100, count), least_estimate(percent / 100, FINE, FINE_BITS)
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("rid")
+        _, group = np.unique(block["component"].to_numpy(), return_inverse=True)
+        chunk, sig, fine = block["chunk"].to_numpy(), _matrix(block["sig"]), _matrix(block["fine"])
+        n, between = len(block), block["lo"][0].as_py() != block["hi"][0].as_py()
+        hub, hubs = block["hub"][0].as_py(), [frozenset(h) for h in block["hubs"].to_pylist()]
+        found = []
+        step = max(1, (1 << 18) // (n * sig.shape[1]))
+        for k in range(0, n, step):
+            top = min(k + step, n)
+            apart = (group[k:top, None] != group[k:]) & np.triu(np.ones((top - k, n - k), bool), 1)
+            if between:
+                apart &= chunk[k:top, None] != chunk[k:]
+            a, b = np.nonzero(apart & _agreeing(sig[k:top, None], sig[None, k:], count, BITS, least))
+            for m in range(0, len(a), 1 << 14):
+                x, y = a[m : m + (1 << 14)] + k, b[m : m + (1 << 14)] + k
+                close = _agreeing(fine[x], fine[y], FINE, FINE_BITS, least_fine)
+                found += [(i, j) for i, j in zip(x[close].tolist(), y[close].tolist(), strict=True) if min(hubs[i] & hubs[j]) == hub]
+        rid = block["rid"]
+        return pa.table({name: rid.take(pa.array([pair[side] for pair in found], pa.int64())) for side, name in enumerate("ab")})
+
+    return run
+
+
 def _block_pairs(members: DataFrame, signatures: DataFrame, percent: int, count: int) -> DataFrame:
     """Pairs between components, by joins of blocks of about ``BLOCK`` members of one hub's buckets with fine signatures.
 
@@ -161,15 +205,8 @@ def _block_pairs(members: DataFrame, signatures: DataFrame, percent: int, count:
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
         .select("hub", "rid", "component", "fine", "sig", "hubs", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
     )
-    a, b = rows.alias("a"), rows.alias("b")
-    apart = (F.col("a.chunk") != F.col("b.chunk")) | (F.col("a.lo") == F.col("a.hi"))
-    return a.join(b, [
-        F.col("a.hub") == F.col("b.hub"), F.col("a.lo") == F.col("b.lo"), F.col("a.hi") == F.col("b.hi"),
-        F.col("a.rid") < F.col("b.rid"), F.col("a.component") != F.col("b.component"), apart,
-        estimate(F.col("a.sig"), F.col("b.sig"), count) >= least_estimate(percent / 100, count),
-        estimate(F.col("a.fine"), F.col("b.fine"), FINE, FINE_BITS) >= least_estimate(percent / 100, FINE, FINE_BITS),
-        F.col("a.hub") == F.array_min(F.array_intersect("a.hubs", "b.hubs")),
-    ]).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
+    kind = members.schema["rid"].dataType.simpleString()
+    return rows.groupBy("hub", "lo", "hi").applyInArrow(_pairer(percent, count), f"a {kind}, b {kind}")
 
 
 def _large_buckets(sample: DataFrame) -> DataFrame:
