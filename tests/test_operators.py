@@ -466,3 +466,25 @@ def test_layers_of_a_long_chain_and_a_hub(spark, monkeypatch):
     want |= {("ring", "a"): 0, ("ring", "b"): 1, ("ring", "c"): 1, ("all", "x"): 0, ("all", "y"): 0}
     assert got == want
     assert len(writes) <= 12  # a tenth of the depth
+
+
+def test_layers_by_rows_and_by_peels(spark, monkeypatch):
+    rng = random.Random(16)
+    graphs = {f"r{g}": {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(4 + 3 * g)} for g in range(5)}
+    edges = spark.createDataFrame([(g, *e) for g, links in graphs.items() for e in links], "report_path string, source string, target string")
+    want = {(g, n): layer for g, links in graphs.items() for n, layer in layers_by_hand(sorted({n for e in links for n in e}), links).items()}
+    peeled = []
+    monkeypatch.setattr(graph, "_peeled_layers", lambda *a, own=graph._peeled_layers: peeled.append(1) or own(*a))
+    for most in (graph._LINKS, 8):
+        monkeypatch.setattr(graph, "_LINKS", most)
+        assert {(r.report_path, r.node): r.layer for r in graph.layers(edges).collect()} == want
+    assert len(peeled) == 1
+
+
+def test_report_graphs_shuffle_each_table_once(spark):
+    from tracesift.plans.bindings import Inputs
+
+    x = Inputs(spark, "/root/testdata/sf0.001")
+    edges = graph.edges(x.paths, x.mappings)
+    for df, most in ((edges, 2), (graph.degrees(edges), 2), (graph.nodes(x.paths, x.mappings, edges), 4)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= most
