@@ -488,3 +488,26 @@ def test_report_graphs_shuffle_each_table_once(spark):
     edges = graph.edges(x.paths, x.mappings)
     for df, most in ((edges, 2), (graph.degrees(edges), 2), (graph.nodes(x.paths, x.mappings, edges), 4)):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= most
+
+
+def test_reports_with_the_same_times_are_searched_once(spark):
+    events = spark.createDataFrame([(float(t), f"h{t % 400}") for t in range(0, 4000, 5)], "ts double, src_ip string")
+    marks = spark.createDataFrame([(f"r{i}", t) for i in range(300) for t in (1000.0, 2000.0)] + [("other", 2000.0), ("none", None)], "report_path string, ts double")
+    found = intel.near_report_times(events, marks)
+    got = {(r.report_path, r.src_ip): r.events for r in found.collect()}
+    near = lambda t, *marks: any(abs(t - m) <= 300 for m in marks)
+    want = {}
+    for t in range(0, 4000, 5):
+        for report in [*[f"r{i}" for i in range(300) if near(t, 1000, 2000)], *["other"] * near(t, 2000)]:
+            want[report, f"h{t % 400}"] = want.get((report, f"h{t % 400}"), 0) + 1
+    assert got == want
+    assert "first_report" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_loop_packets_of_one_number_go_by_ttl(spark):
+    from tracesift.sources import packets as pk
+
+    rows = [dict(capture="c", pkt_no=n, src_ip="10.0.0.1", dst_ip="10.0.0.2", ip_proto=6, ip_id=5, ttl=ttl) for n, ttl in ((1, 64), (2, 9), (2, 60), (2, 30))]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.ttl, r.prev_ttl) for r in pk.loop_packets(table(spark, "packets", order).coalesce(1)).collect())
+        assert got == [(9, 64), (30, 9), (60, 30)]
