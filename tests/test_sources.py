@@ -208,3 +208,10 @@ def test_dns_and_tls_messages_of_every_length(spark):
     assert {(r.sni, r.malformed) for r in hellos if r.ts == 0} == {(None, True), (None, False), ("host7.example.net", False)}
     whole = {no: sum(not r.malformed for r in hellos if r.ts == no) for no in range(len(TLS_CASES))}
     assert whole == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0}
+
+
+def test_mixed_files_are_parsed_without_shuffling_their_lines(spark):
+    rows = [("a", n, f"kernel: x SRC=10.0.0.{n} DST=10.0.1.1 ") for n in range(1, 9)] + [("b", n, f'type=traffic srcip=10.1.0.{n} dstport=5') for n in range(1, 9)]
+    parsed = fw.parse_detected(spark.createDataFrame(rows, SCHEMAS["log_lines"]))
+    assert "hashpartitioning" not in parsed._jdf.queryExecution().executedPlan().toString()
+    assert {(r.file_path, r.log_format) for r in parsed.collect()} >= {("b", "fortinet_syslog")}
