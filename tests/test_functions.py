@@ -122,3 +122,11 @@ def test_running_totals(spark, one):
             total += i % 7 - 2
             want.append(total)
         assert one(tx.running_totals(numbers.cast("array<int>"))) == want
+
+
+@pytest.mark.parametrize("text, want", [("\n\n\nab", 1.3709505944546687), ("😀😀éa", 1.5), ("a" * 5000 + "b" * 5000, 1.0)])
+def test_entropy_of_runs(one, spark, text, want):
+    entropy = tx.shannon_entropy(F.lit(text))
+    assert one(entropy) == pytest.approx(want, abs=1e-12)
+    step = spark.createDataFrame([(text,)], "text string").select(tx.shannon_entropy("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in step and "split" in step  # characters are sorted without a comparing lambda
