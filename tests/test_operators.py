@@ -511,3 +511,12 @@ def test_loop_packets_of_one_number_go_by_ttl(spark):
     for order in (rows, rows[::-1]):
         got = sorted((r.ttl, r.prev_ttl) for r in pk.loop_packets(table(spark, "packets", order).coalesce(1)).collect())
         assert got == [(9, 64), (30, 9), (60, 30)]
+
+
+def test_pattern_profile_runs_each_pattern_once(spark):
+    lines = spark.createDataFrame([("f", 1, "10.0.0.1 GET /a?b user=bob"), ("f", 2, "-"), ("f", 3, None)], "file_path string, line_no long, line string")
+    found = logs.pattern_profile(lines, ["IP", "IPV4", "PATH", "URI", "USER", "EMAIL"])
+    assert {r["pattern"]: (r["matches"], r["distinct_values"]) for r in found.collect()} == {
+        "IP": (1, 1), "IPV4": (1, 1), "PATH": (1, 1), "URI": (1, 1), "USER": (1, 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 5 and "RLIKE" not in plan
