@@ -1,10 +1,13 @@
 """Every registered query with an oracle gives the oracle's rows."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from tracesift.plans.bindings import TABLES
+from tracesift.session import ensure_checkpoint_dir
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -37,3 +40,15 @@ def test_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_oracle(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_stream_takes_a_delivery_a_batch(spark, duck, tmp_path):
+    """A table in many files makes no more micro-batches than one in a single file."""
+    lineitem = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    lineitem.repartition(12).write.parquet(str(tmp_path / "lineitem.parquet"))
+    home = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    known = set(home.glob("stream-*"))
+    got = QUERIES["stream_deny_windows"](spark, str(tmp_path)).count()
+    assert got == duck.execute(f"SELECT count(*) FROM ({ORACLES['stream_deny_windows']}) q").fetchone()[0]
+    (folder,) = set(home.glob("stream-*")) - known
+    assert len(list((folder / "state" / "commits").glob("[0-9]*"))) <= 20
