@@ -223,6 +223,30 @@ def test_extraction_context_and_duplicates(spark):
     assert intel.extract_indicators(report(spark, "")).count() == 0
 
 
+@pytest.mark.parametrize("text, kind, value", [
+    ("x" * 40000 + ".ru a" + "b" * 30 + " " + "ab" * 16, "hash_md5", "ab" * 16),
+    ("see\u00a0(10[.]0[.]0[.]7),", "ip", "10[.]0[.]0[.]7"),
+    ("end. at hxxps[:]//a-b.c/d?e=f.", "url", "hxxps[:]//a-b.c/d?e=f."),
+])
+def test_indicators_inside_words(spark, text, kind, value):
+    """Only words that may hold an indicator are searched, long ones and ones without a digit among them."""
+    (row,) = intel.extract_indicators(report(spark, text), [kind]).collect()
+    assert (row.raw_value, row.start) == (value, text.index(value) + 1)
+
+
+def test_words_that_may_hold_indicators_are_few(spark):
+    """Prose is passed over: of these words only the last three are searched."""
+    df = report(spark, "Plain words, end. " * 50 + "(x.y) T1001 " + "f" * 32)
+    pieces = df.select(F.size(intel._cut_before(F.col("text"), intel._CANDIDATE)).alias("n")).head().n
+    assert pieces - 1 == 3
+
+
+def test_correlator_indicators_inside_words(spark):
+    df = report(spark, "mac AA-bb-cc-dd-ee-ff, DPORT =\n 443 dst.port: 8080, xport:70000 " + "AB" * 16)
+    got = sorted((r.ioc_type, r.value) for r in intel.extract_correlator_indicators(df).collect())
+    assert got == [("mac", "AA-BB-CC-DD-EE-FF"), ("md5", "ab" * 16), ("port", "443"), ("port", "8080")]
+
+
 def test_substring_match_equals_brute_force(spark):
     rng = random.Random(1)
     names = ["".join(rng.choice("ab.c") for _ in range(rng.randint(3, 14))) for _ in range(120)]
