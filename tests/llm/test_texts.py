@@ -428,3 +428,15 @@ def test_large_buckets_are_dealt_and_keep_one_hub(spark, monkeypatch):
         assert sorted(tuple(r) for r in found.select("key", "hub", "rid").collect()) == expected
     assert similar_sets._large_buckets(items).where("key = 7").count() == 1
     assert similar_sets._members(items.limit(0), items.limit(0)).count() == 0
+
+
+def test_evenly_spaced_runs_are_one_row(spark):
+    """A text that repeats two words has one row a print, and the passages it shares are one row a text."""
+    places = np.array([3, 5, 7, 9, 20, 4, 6])
+    rows, step, more = paragraphs.progressions(np.array([0, 0, 0, 0, 0, 1, 1]), np.array([7, 7, 7, 7, 7, 7, 8]), places)
+    assert [(int(places[r]), int(s), int(m)) for r, s, m in zip(rows, step, more)] == [(3, 2, 3), (20, 0, 0), (4, 0, 0), (6, 0, 0)]
+    texts = [(1, "tick tock " * 300), (2, "tick tock " * 900), (3, "one two " * 200 + "tick tock " * 300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert df.mapInArrow(paragraphs._run_finder, paragraphs._RUNS).count() <= 10  # before: one row every two words
+    got = {(r.doc_id, r.kept): r.n_words for r in paragraphs.repeated_passages(df).collect()}
+    assert got[2, False] == 1800 and got[3, False] == 600

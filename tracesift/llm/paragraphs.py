@@ -27,7 +27,7 @@ from tracesift.session import discard, written_once
 #: Words of a run, and successive runs of which the smallest hash is kept: any 50 shared words hold a shared one.
 RUN, SPAN = 20, 31
 
-_RUNS = "doc_id long, print long, at int"
+_RUNS = "doc_id long, print long, at int, step int, more int"
 _STRETCHES = "doc_id long, kept boolean, lo int, hi int, line int, start long, end long, first_doc long, first_line int, copies long"
 _PLACES = "doc_id long, paragraph int, start long, n_chars long, n_words int, rid long, bands array<long>"
 #: Paragraphs that a task remembers, so as not to emit copies again; when full it starts anew.
@@ -172,6 +172,23 @@ def local_minima(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.n
     return places, runs[places]
 
 
+def progressions(owner: np.ndarray, prints: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows where evenly spaced places of one owner and print begin, their distance, and how many follow.
+
+    A text that repeats a few words has a shared run at each of them; as one row they
+    are no more rows than texts.
+    """
+    order = np.lexsort((places, prints, owner))
+    same = np.zeros(len(order), bool)
+    same[1:] = (owner[order][1:] == owner[order][:-1]) & (prints[order][1:] == prints[order][:-1])
+    gap = np.where(same, np.diff(places[order], prepend=0), 0)
+    goes_on = same.copy()
+    goes_on[1:] &= (gap[1:] == gap[:-1]) | ~same[:-1]
+    begins = np.flatnonzero(~goes_on)
+    more = np.diff(begins, append=len(order)) - 1
+    return order[begins], np.where(more > 0, gap[np.minimum(begins + 1, len(order) - 1)], 0), more
+
+
 def _run_finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids = strings(batch, "text"), batch.column(0)
@@ -180,9 +197,11 @@ def _run_finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places, prints = local_minima(found.hashes, found.unit)
             if len(places):
                 owner = found.unit[places]
+                rows, step, more = progressions(owner, prints, places)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner + lo)), pa.array(prints.view(np.int64)), pa.array(places - found.first[owner], pa.int32())],
-                    names=["doc_id", "print", "at"])
+                    [ids.take(pa.array(owner[rows] + lo)), pa.array(prints[rows].view(np.int64)),
+                     pa.array(places[rows] - found.first[owner[rows]], pa.int32()), pa.array(step, pa.int32()), pa.array(more, pa.int32())],
+                    names=["doc_id", "print", "at", "step", "more"])
 
 
 def _common(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -220,18 +239,32 @@ class _Text:
         return int(self.breaks[begin]), int(self.chars[begin]), int(self.chars[end])
 
 
-def _stretches(first: _Text, text: _Text, seeds: list[dict]) -> Iterator[tuple[int, int, int, int]]:
-    """(place in ``first``, place in ``text``, words, copies) of the whole equal stretch around every shared run."""
+def _stretches(first: _Text, text: _Text, seeds: list[dict], alike: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(place in ``first``, place in ``text``, words, copies) of the whole equal stretch around every shared run; ``alike``: both are one text."""
     a, b = first.words.hashes, text.words.hashes
     ends: dict[int, int] = {}
-    for seed in sorted(seeds, key=lambda x: x["at"]):
-        i, j = seed["origin_at"], seed["at"]
-        if j < ends.get(j - i, 0):  # within the stretch before, which lies on the same diagonal
+    places = ((seed["at"] + k * seed["step"], seed["origin_at"], seed["copies"]) for seed in seeds for k in range(seed["more"] + 1))
+    for j, i, copies in sorted(places):
+        if alike and i == j or j < ends.get(j - i, 0):  # within the stretch before, which lies on the same diagonal
             continue
         before, after = _common(a, b, i, j)
         if after >= RUN:
             ends[j - i] = j + after
-            yield i - before, j - before, before + after, seed["copies"]
+            yield i - before, j - before, before + after, copies
+
+
+def _islands(found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(first word, end, least origin, most copies) of what overlaps or touches among (first word, end, origin, copies)."""
+    held: tuple[int, int, int, int] | None = None
+    for lo, hi, origin, copies in sorted(found):
+        if held is not None and lo <= held[1]:
+            held = held[0], max(held[1], hi), min(held[2], origin), max(held[3], copies)
+            continue
+        if held is not None:
+            yield held
+        held = lo, hi, origin, copies
+    if held is not None:
+        yield held
 
 
 def _extender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +275,11 @@ def _extender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if first is None or text_a != last:  # rows come sorted by the first text
                 last, first = text_a, _Text(text_a)
             text = _Text(text_b)
-            for i, j, n, copies in _stretches(first, text, seeds):
-                line, begin, end = first.place(i, i + n)
-                rows.append((a, True, i, i + n, line, begin, end, a, line, copies))
-                rows.append((b, False, j, j + n, *text.place(j, j + n), a, line, copies))
+            found = [(i, j, n, first.place(i, i + n)[0], copies) for i, j, n, copies in _stretches(first, text, seeds, a == b)]
+            for lo, hi, line, copies in _islands([(i, i + n, line, copies) for i, _, n, line, copies in found]):
+                rows.append((a, True, lo, hi, *first.place(lo, hi), a, line, copies))
+            for lo, hi, line, copies in _islands([(j, j + n, line, copies) for _, j, n, line, copies in found]):
+                rows.append((b, False, lo, hi, *text.place(lo, hi), a, line, copies))
         if rows:
             kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -264,11 +298,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     runs = written_once(texts.mapInArrow(_run_finder, _RUNS))
     shared = runs.groupBy("print").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
-    places = written_once(runs.join(shared.select("print", "first_doc"), "print").dropDuplicates(["print", "doc_id", "at"]))
+    places = written_once(runs.join(shared.select("print", "first_doc"), "print").dropDuplicates(["print", "doc_id", "at", "step", "more"]))
     discard(runs)
-    first = places.groupBy("print").agg(F.min(F.when(F.col("doc_id") == F.col("first_doc"), F.col("at"))).alias("origin_at"), F.count("*").alias("copies"))
-    pairs = written_once(places.join(first, "print").where("doc_id <> first_doc or at <> origin_at").groupBy(
-        F.col("first_doc").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_list(F.struct("at", "origin_at", "copies")).alias("seeds")))
+    first = places.groupBy("print").agg(F.min(F.when(F.col("doc_id") == F.col("first_doc"), F.col("at"))).alias("origin_at"), F.sum(F.col("more").cast("long") + 1).alias("copies"))
+    pairs = written_once(places.join(first, "print").where("doc_id <> first_doc or at <> origin_at or more > 0").groupBy(
+        F.col("first_doc").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_list(F.struct("at", "step", "more", "origin_at", "copies")).alias("seeds")))
     discard(places)
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
