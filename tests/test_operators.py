@@ -234,6 +234,12 @@ def test_indicators_inside_words(spark, text, kind, value):
     assert (row.raw_value, row.start) == (value, text.index(value) + 1)
 
 
+def test_indicators_without_context(spark):
+    df = report(spark, "x1.2.3.4 1[.]2[.]3[.]4 a@b.org " * 3)
+    whole, slim = intel.extract_indicators(df), intel.extract_indicators(df, context=False)
+    assert "context" not in slim.columns and sorted(slim.collect()) == sorted(whole.drop("context").collect())
+
+
 def test_words_that_may_hold_indicators_are_few(spark):
     """Prose is passed over: of these words only the last three are searched."""
     df = report(spark, "Plain words, end. " * 50 + "(x.y) T1001 " + "f" * 32)
