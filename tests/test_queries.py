@@ -52,3 +52,17 @@ def test_stream_takes_a_delivery_a_batch(spark, duck, tmp_path):
     assert got == duck.execute(f"SELECT count(*) FROM ({ORACLES['stream_deny_windows']}) q").fetchone()[0]
     (folder,) = set(home.glob("stream-*")) - known
     assert len(list((folder / "state" / "commits").glob("[0-9]*"))) <= 20
+
+
+def test_chunk_files_share_folders(spark, tmp_path):
+    """Files of chunk results, one a report, lie in a bounded number of folders."""
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    events.withColumn("user_id", events["event_id"] % 600).write.parquet(str(tmp_path / "events.parquet"))
+    home = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    known = set(home.glob("files-*"))
+    got = QUERIES["files_artifacts"](spark, str(tmp_path))
+    assert got.select("report_path").distinct().count() == 600
+    (folder,) = set(home.glob("files-*")) - known
+    files = list(folder.rglob("*.txt"))
+    assert len(files) == 600
+    assert len({f.parent for f in files}) <= 256

@@ -24,6 +24,8 @@ QUERIES: dict[str, tuple] = {}
 
 #: Lines of a log file and documents of a report, which bound a file and the task that writes it.
 _LINES, _DOCS = 2000, 50
+#: Folders over which the files of chunk results are dealt, each written by one task and moved as a whole.
+_SHELVES = 256
 
 
 def _scratch(x: Inputs) -> str:
@@ -166,11 +168,12 @@ QUERIES["files_result"] = (_written, queries_logs.QUERIES["fw_deny_windows"][1])
 
 
 def _artifacts(x: Inputs) -> DataFrame:
-    """Nested chunk results, one JSON document a report."""
+    """Nested chunk results, one JSON document a report and file; no folder a report, which would cost more than its file."""
     folder = _scratch(x)
     names = [n for n, _ in x.chunks.dtypes]
-    whole = x.chunks.groupBy("report_path").agg(F.to_json(F.collect_list(F.struct(*names))).alias("text"))
-    whole.withColumnRenamed("report_path", "report").write.partitionBy("report").text(folder)
+    dealt = x.chunks.withColumn("shelf", F.pmod(F.xxhash64("report_path"), F.lit(_SHELVES))).repartition(_SHELVES, "shelf")
+    whole = dealt.groupBy("shelf", "report_path").agg(F.to_json(F.collect_list(F.struct(*names))).alias("text"))
+    whole.select("shelf", "text").write.partitionBy("shelf").option("maxRecordsPerFile", 1).text(folder)
     return reports.read_artifacts(x.spark, folder).select(
         "report_path", "chunk_no", F.size("refined_iocs").cast("long").alias("indicators"),
         F.size("additional_mitre_techniques").cast("long").alias("mappings"), F.get("refined_iocs", 0)["value"].alias("first_value"),
