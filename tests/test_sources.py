@@ -215,3 +215,22 @@ def test_mixed_files_are_parsed_without_shuffling_their_lines(spark):
     parsed = fw.parse_detected(spark.createDataFrame(rows, SCHEMAS["log_lines"]))
     assert "hashpartitioning" not in parsed._jdf.queryExecution().executedPlan().toString()
     assert {(r.file_path, r.log_format) for r in parsed.collect()} >= {("b", "fortinet_syslog")}
+
+
+def test_listing_takes_few_tasks(spark, tmp_path):
+    """Reports in many folders are listed by tasks of many folders each."""
+    for no in range(40):
+        (tmp_path / f"v{no}").mkdir()
+        (tmp_path / f"v{no}" / "r.txt").write_text(f"report {no}")
+    context, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    context.setJobGroup("listing", "listing")
+    try:
+        found = reports.read_reports(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("listing")]
+    tasks = [context.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism < 40
+    assert spark.conf.get(name) == before
+    assert found.count() == 40
