@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracesift.llm import decontaminate, neardup, packing, paragraphs, similar_sets, textkernel
-from tracesift.llm.common import components, slices, text_bytes
+from tracesift.llm.common import components, marked, slices, text_bytes
 from tracesift.llm.queries import tokenizer_path
 
 WORDS = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("lo", "rin", "tas", "mu")]
@@ -440,3 +441,47 @@ def test_evenly_spaced_runs_are_one_row(spark):
     assert df.mapInArrow(paragraphs._run_finder, paragraphs._RUNS).count() <= 10  # before: one row every two words
     got = {(r.doc_id, r.kept): r.n_words for r in paragraphs.repeated_passages(df).collect()}
     assert got[2, False] == 1800 and got[3, False] == 600
+
+
+def test_marked_rows_hold_all_ids_and_few_others(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") != 7, F.col("id").cast("int")).alias("k"))
+    marks = marked(rows, "k", spark.range(0, 100_000, 100).select(F.col("id").alias("x")))
+    told = {r["k"]: r["_maybe"] for r in marks.collect()}
+    assert len(told) == 100_000 and all(told[k] for k in range(0, 100_000, 100)) and told[None] is False and sum(told.values()) < 1100
+    assert marked(rows, "k", spark.range(0).select("id")).where("_maybe").count() == 0
+
+
+def test_texts_that_share_nothing_are_not_shuffled(spark):
+    rng = random.Random(5)
+    own = lambda n, size: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size)) for _ in range(n))
+    passage, line = own(60, 6), own(8, 6)
+    texts = [own(40, 300) for _ in range(300)]
+    for k in (3, 250):
+        texts[k] = f"{own(5, 6)} {passage} {own(5, 6)}\n{line}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def shuffled():
+        store = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(store.apply(k).totalShuffleWrite() for k in range(store.size()))
+
+    before = shuffled()
+    after = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs).collect()}
+    assert shuffled() - before < sum(map(len, texts)) / 5
+    assert passage in after[3] and line in after[3] and passage not in after[250] and line not in after[250]
+    assert all(after[k] == t for k, t in enumerate(texts) if k != 250)
+
+
+def test_a_vocabulary_holds_few_bytes_a_run():
+    path, rng = tokenizer_path(), random.Random(6)
+    runs = [f"{rng.choice('abc')}{k:05d}" for k in range(40_000)]
+    packing._tokenizer(path), textkernel.powers(1 << 18)
+    tracemalloc.start()
+    held = packing.Vocabulary(path)
+    for part in (runs[:15_000], runs[10_000:]):
+        data = np.frombuffer(" ".join(part).encode(), np.uint8)
+        ids, bounds = held.encode(data, np.array([0, len(data)]), 1)
+        assert ids.tolist() == [*packing._tokenizer(path).encode(" ".join(part), add_special_tokens=False).ids, 1] and bounds.tolist() == [0, len(ids)]
+    del ids, bounds, data
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 120 * len(runs)

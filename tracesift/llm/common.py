@@ -13,6 +13,8 @@ from tracesift.session import discard, written_once
 
 #: Rows and bytes that one Arrow batch brings into a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Bits of a filter of ``marked``, 64 to a row.
+FILTER_BITS = 1 << 24
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +49,25 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, pa
     return docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
+def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``_maybe``: true where ``key`` is one of the ``ids`` (of one column), false for nearly all other rows and nulls.
+
+    Every id sets one bit by its hash. However many there are, at most
+    ``FILTER_BITS`` / 64 rows are broadcast; more ids mark more rows. A join of
+    the marked rows decides; the others need not be shuffled for it.
+    """
+    (name, kind), = ids.dtypes
+
+    def bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    own = ids.select(bit(F.col(name)).alias("_bit"))
+    bits = own.groupBy(F.floor(F.col("_bit") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
+    at = bit(F.col(key).cast(kind))
+    found = df.withColumn("_word", F.when(F.col(key).isNotNull(), F.floor(at / 64))).join(F.broadcast(bits), "_word", "left")
+    return found.withColumn("_maybe", F.coalesce(F.getbit("_bits", (at % 64).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")
+
+
 def strings(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column without nulls (null becomes empty)."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tracesift.llm.common import slices, strings, text_bytes
 from tracesift.llm.textkernel import words
 
-#: Runs without white space whose ids a worker keeps; when full it starts anew.
-CACHED_RUNS = 1_200_000
+#: Runs without white space whose ids a worker keeps, and their ids; when full it starts anew.
+CACHED_RUNS, CACHED_IDS = 1_200_000, 1 << 23
 
 _PLAIN, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _PLAIN[[c for c in range(128) if chr(c).isalnum()]] = True
@@ -90,22 +90,23 @@ class Vocabulary:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.begin, self.size, self.ids, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4"), 0
+        self.known = np.empty(0, np.uint64)
+        self.begin, self.size, self.ids, self.used = np.empty(0, np.int32), np.empty(0, np.int32), np.zeros(1 << 14, "<u4"), 0
 
-    def _add(self, hashes: list[int], runs: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, runs: list[str]) -> None:
+        """Takes up ``hashes``, ascending and not known yet, of the ``runs``."""
         encode = _tokenizer(self.path).encode_batch_fast
+        sizes, begin = np.empty(len(runs), np.int32), self.used
         for k in range(0, len(runs), 8192):
             found = [e.ids for e in encode(runs[k : k + 8192], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            ids = np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum()))
-            n = len(self.index)
-            self.begin, self.size, self.ids = (_roomy(x, need) for x, need in ((self.begin, n + len(sizes)), (self.size, n + len(sizes)), (self.ids, self.used + len(ids))))
-            self.begin[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(sizes)] = sizes
+            sizes[k : k + 8192] = [len(x) for x in found]
+            ids = np.fromiter(chain.from_iterable(found), "<u4", int(sizes[k : k + 8192].sum()))
+            self.ids = _roomy(self.ids, self.used + len(ids))
             self.ids[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self.index.update(zip(hashes[k : k + 8192], range(n, n + len(sizes)), strict=True))
+        at = np.searchsorted(self.known, hashes)
+        self.begin = np.insert(self.begin, at, (begin + np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32))
+        self.size, self.known = np.insert(self.size, at, sizes), np.insert(self.known, at, hashes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts that ``offsets`` cut ``data`` into, each followed by ``end_id``, and where each text's begin."""
@@ -114,16 +115,16 @@ class Vocabulary:
         cuts[1:] = (plain[:-1] & mark[1:]) | (mark[:-1] & plain[1:])
         found = words(data, offsets, cuts)
         unique, at, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
-        if len(self.index) + len(unique) > CACHED_RUNS:
+        if len(self.known) + len(unique) > CACHED_RUNS or self.used > CACHED_IDS:
             self._clear()
-        keys = unique.tolist()
-        missing = [k for k, h in enumerate(keys) if h not in self.index]
-        if missing:
+        left, right = np.searchsorted(self.known, unique), np.searchsorted(self.known, unique, "right")
+        missing = np.flatnonzero(left == right)
+        if len(missing):
             raw = data.tobytes()
             spans = zip(found.starts[at[missing]].tolist(), found.ends[at[missing]].tolist(), strict=True)
-            self._add([keys[k] for k in missing], [raw[a:b].decode() for a, b in spans])
-        place = np.array([self.index[h] for h in keys], np.int64)[inverse]
-        sizes, starts = self.size[place], self.begin[place]
+            self._add(unique[missing], [raw[a:b].decode() for a, b in spans])
+        place = np.searchsorted(self.known, unique)[inverse]
+        sizes, starts = self.size[place].astype(np.int64), self.begin[place]
         total = np.concatenate(([0], np.cumsum(sizes)))
         shift = np.repeat(starts - total[:-1], sizes)
         body = self.ids[shift + np.arange(total[-1])]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracesift.llm import similar_sets
-from tracesift.llm.common import slices, strings, text_bytes
+from tracesift.llm.common import marked, slices, strings, text_bytes
 from tracesift.llm.textkernel import mix, newline_units, run_hashes, shingles, words
 from tracesift.session import discard, written_once
 
@@ -304,8 +304,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pairs = written_once(places.join(first, "print").where("doc_id <> first_doc or at <> origin_at or more > 0").groupBy(
         F.col("first_doc").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_list(F.struct("at", "step", "more", "origin_at", "copies")).alias("seeds")))
     discard(places)
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    paired = marked(texts, "doc_id", pairs.select(F.explode(F.array("a", "b")))).where("_maybe")
+    joined = pairs.join(paired.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
+        paired.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     stretches = joined.select("a", "b", "text_a", "text_b", "seeds").mapInArrow(_extender, _STRETCHES)
     longest = stretches.groupBy("doc_id", "kept", "lo").agg(
         F.max(F.struct("hi", "end")).alias("_last"), F.min("line").alias("line"), F.min("start").alias("start"),
@@ -374,8 +375,10 @@ def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, least
 def _cut_out(docs: DataFrame, spans: DataFrame, fill: Callable) -> DataFrame:
     """``docs`` with the ``spans`` of their texts replaced by ``fill``; ``_cut`` is null where there are none."""
     span = F.struct("start", F.col("n_chars").alias("length"))
-    cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_set(span)).alias("_cut"))
-    joined = docs.join(cuts, F.col("doc_id") == F.col("_cut_id"), "left")
+    cuts = written_once(spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_set(span)).alias("_cut")))
+    told = marked(docs, "doc_id", cuts.select("_cut_id"))  # whole texts aren't shuffled
+    joined = told.where("_maybe").join(cuts, F.col("doc_id") == F.col("_cut_id"), "left").unionByName(
+        told.where("not _maybe").select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in cuts.dtypes))).drop("_maybe")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state, cut):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracesift.llm.common import components, slices, strings, text_bytes
+from tracesift.llm.common import components, marked, slices, strings, text_bytes
 from tracesift.llm.textkernel import LOWER_BYTES, mix, shingles, words
 from tracesift.session import discard, written_once
 
@@ -260,6 +260,8 @@ def similar_components(items: DataFrame, texts: DataFrame, size: int, percent: i
     if sample is None:
         sample = items.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0)
     members = _members(items, sample)
+    if sign:  # texts as they are read, of which few may share a bucket
+        texts = marked(texts, "rid", members.select("rid")).where("_maybe").drop("_maybe")
     held = texts.join(members.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
     needed = written_once(sign(held) if sign else held)
     signatures = needed.select("rid", "sig")
