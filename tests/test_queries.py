@@ -66,3 +66,14 @@ def test_chunk_files_share_folders(spark, tmp_path):
     files = list(folder.rglob("*.txt"))
     assert len(files) == 600
     assert len({f.parent for f in files}) <= 256
+
+
+@pytest.mark.parametrize("name", ["files_artifacts", "files_report_list"])
+def test_scratch_files_have_no_checksum_files(spark, name):
+    """On a local disk each would take as long as the file it belongs to."""
+    home = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    known = set(home.glob("files-*"))
+    assert QUERIES[name](spark, FOLDER).count()
+    (folder,) = set(home.glob("files-*")) - known
+    assert len(list(folder.rglob("part-*.txt"))) > 1
+    assert not list(folder.rglob(".part-*.txt.crc"))

@@ -26,6 +26,8 @@ QUERIES: dict[str, tuple] = {}
 _LINES, _DOCS = 2000, 50
 #: Folders over which the files of chunk results are dealt, each written by one task and moved as a whole.
 _SHELVES = 256
+#: Of files on a local disk: no checksum file beside each, which would cost as much as the file.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def _scratch(x: Inputs) -> str:
@@ -110,8 +112,8 @@ def _report_files(x: Inputs) -> str:
     texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda d: d["text"])
     rows = docs.groupBy(number.alias("report")).agg(F.array_join(texts, "\n\n").alias("text"))
     rows = rows.withColumn("vendor", F.concat(F.lit("v"), (F.col("report") % 4).cast("string")))
-    rows.write.partitionBy("vendor", "report").text(folder)
-    x.spark.range(1).select(F.lit("a summary")).write.text(f"{folder}/generated/summaries")
+    rows.write.options(**_PLAIN).partitionBy("vendor", "report").text(folder)
+    x.spark.range(1).select(F.lit("a summary")).write.options(**_PLAIN).text(f"{folder}/generated/summaries")
     return folder
 
 
@@ -173,7 +175,7 @@ def _artifacts(x: Inputs) -> DataFrame:
     names = [n for n, _ in x.chunks.dtypes]
     dealt = x.chunks.withColumn("shelf", F.pmod(F.xxhash64("report_path"), F.lit(_SHELVES))).repartition(_SHELVES, "shelf")
     whole = dealt.groupBy("shelf", "report_path").agg(F.to_json(F.collect_list(F.struct(*names))).alias("text"))
-    whole.select("shelf", "text").write.partitionBy("shelf").option("maxRecordsPerFile", 1).text(folder)
+    whole.select("shelf", "text").write.partitionBy("shelf").options(maxRecordsPerFile=1, **_PLAIN).text(folder)
     return reports.read_artifacts(x.spark, folder).select(
         "report_path", "chunk_no", F.size("refined_iocs").cast("long").alias("indicators"),
         F.size("additional_mitre_techniques").cast("long").alias("mappings"), F.get("refined_iocs", 0)["value"].alias("first_value"),
