@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,13 @@ def test_listing_takes_few_tasks(spark, tmp_path):
     assert tasks and max(tasks) <= 4 * context.defaultParallelism < 40
     assert spark.conf.get(name) == before
     assert found.count() == 40
+
+
+def test_fortinet_lookups_are_compiled(spark):
+    """No lambda looks a key up, and no generated method exceeds the 8,000 bytes up to which the JVM compiles."""
+    entries = fw.parse_fortinet(log(spark, ['date=2024-01-01 time=10:00:00 src=10.0.0.1 src="10.0.0.2" dstip=8.8.8.8 action="deny"', "dstip=1.1.1.1"]))
+    assert [(r.timestamp, r.src_ip, r.dst_ip, r.action, r.dst_port) for r in entries.collect()] == [("2024-01-01 10:00:00", "10.0.0.2", "8.8.8.8", "deny", None)]
+    plan = entries._jdf.queryExecution().executedPlan()
+    assert "lambda" not in plan.toString()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(plan)
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
