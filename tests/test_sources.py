@@ -245,3 +245,15 @@ def test_fortinet_lookups_are_compiled(spark):
     assert "lambda" not in plan.toString()
     code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(plan)
     assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+
+
+def test_paloalto_cells_are_compiled(spark):
+    cells = ["1", "2024-01-01", *["x"] * 5, "10.0.0.1", '"8.8.8.8"', *["y"] * 15, "1024", "443", *["z"] * 3, "tcp", "deny", "10", "", "e", "f"]
+    broken = [*cells[:24], "n/a", *cells[25:]]
+    entries = fw.parse_paloalto(log(spark, [",".join(cells), ",".join(broken), ",".join(cells[:34]), None]))
+    assert [(r.line_no, r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.action, r.bytes_recv) for r in entries.collect()] == [
+        (1, "10.0.0.1", "8.8.8.8", 1024, 443, "deny", None)]
+    plan = entries._jdf.queryExecution().executedPlan()
+    assert "lambda" not in plan.toString()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(plan)
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
